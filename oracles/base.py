@@ -78,15 +78,15 @@ RULE_SQL = [
      "'Device linked to ' || CAST(device_account_count_30d AS BIGINT) || ' accounts in 30 days'"),
     ("R003", "vpn_proxy_tor", "medium", 0.15, "proxy_vpn_tor_flag >= 1", "'Transaction originated from VPN/proxy/Tor'"),
     ("R004", "amount_exceeds_3x_p95", "medium", 0.15, "amount_vs_customer_p95_ratio > 3.0",
-     "'Amount is ' || printf('%.1f', amount_vs_customer_p95_ratio) || 'x customer''s p95'"),
+     "'Amount is ' || printf('%.1f', floor(amount_vs_customer_p95_ratio * 10 + 0.5) / 10) || 'x customer''s p95'"),
     ("R005", "multi_card_ip_7d", "high", 0.3, "ip_card_count_7d >= 5",
      "'IP used with ' || CAST(ip_card_count_7d AS BIGINT) || ' different cards in 7 days'"),
     ("R006", "rapid_fire_under_30s", "high", 0.3, "coalesce(nullif(seconds_since_last_txn, 0) < 30, false)",
      "'Only ' || CAST(seconds_since_last_txn AS BIGINT) || 's since last transaction'"),
     ("R007", "emulator_rooted_device", "medium", 0.15, "device_risk_score >= 0.4::DOUBLE",
-     "'Device risk score is ' || printf('%.2f', device_risk_score) || ' (emulator/rooted)'"),
+     "'Device risk score is ' || printf('%.2f', floor(device_risk_score * 100 + 0.5) / 100) || ' (emulator/rooted)'"),
     ("R008", "high_spend_24h", "low", 0.05, "customer_spend_24h > 5000",
-     "'Customer spent $' || printf('%.0f', customer_spend_24h) || ' in 24h'"),
+     "'Customer spent $' || printf('%.0f', floor(customer_spend_24h + 0.5)) || ' in 24h'"),
 ]
 
 
@@ -116,7 +116,7 @@ _reasons = "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for
 REASON_CODES = f"(CASE WHEN len({_reasons}) = 0 THEN ['BASELINE_RISK'] ELSE list_slice({_reasons}, 1, 5) END)"
 
 VECTOR = ", ".join(f"coalesce(CAST({name} AS DOUBLE), 0) AS {name}" for name in C.FEATURES)
-OTHERS = "auth_event_id, event_time, customer_id, account_id, card_id, merchant_id, device_id, ip_address, auth_type, " \
+OTHERS = "auth_event_id, transaction_id, event_time, customer_id, account_id, card_id, merchant_id, device_id, ip_address, auth_type, " \
     "channel, auth_amount, currency_code, merchant_country_code, billing_amount_usd, event_type"
 
 FRAGMENTS = {

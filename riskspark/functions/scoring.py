@@ -39,15 +39,15 @@ DEFAULT_RULES = [
     Rule("R003", "vpn_proxy_tor", "medium", "proxy_vpn_tor_flag >= 1",
          "'Transaction originated from VPN/proxy/Tor'"),
     Rule("R004", "amount_exceeds_3x_p95", "medium", "amount_vs_customer_p95_ratio > 3.0D",
-         "concat('Amount is ', format_string('%.1f', amount_vs_customer_p95_ratio), 'x customer\\'s p95')"),
+         "concat('Amount is ', format_string('%.1f', floor(amount_vs_customer_p95_ratio * 10D + 0.5D) / 10D), 'x customer\\'s p95')"),
     Rule("R005", "multi_card_ip_7d", "high", "ip_card_count_7d >= 5",
          "concat('IP used with ', cast(ip_card_count_7d as bigint), ' different cards in 7 days')"),
     Rule("R006", "rapid_fire_under_30s", "high", "nullif(seconds_since_last_txn, 0D) < 30",
          "concat('Only ', cast(seconds_since_last_txn as bigint), 's since last transaction')"),
     Rule("R007", "emulator_rooted_device", "medium", "device_risk_score >= 0.4D",
-         "concat('Device risk score is ', format_string('%.2f', device_risk_score), ' (emulator/rooted)')"),
+         "concat('Device risk score is ', format_string('%.2f', floor(device_risk_score * 100D + 0.5D) / 100D), ' (emulator/rooted)')"),
     Rule("R008", "high_spend_24h", "low", "customer_spend_24h > 5000",
-         "concat('Customer spent $', format_string('%.0f', customer_spend_24h), ' in 24h')"),
+         "concat('Customer spent $', format_string('%.0f', cast(floor(customer_spend_24h + 0.5D) as double)), ' in 24h')"),
 ]
 
 
