@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["core"]
+FAMILIES = ["core", "economics"]
 
 
 def all_oracles() -> dict[str, str]:

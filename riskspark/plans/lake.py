@@ -15,8 +15,8 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 class Lake:
-    """Input tables of one folder. Frames are lazy plans; only the scored events are persisted, because most reports
-    start from them (a feature store and a decision log would hold them on a cluster)."""
+    """Input tables of one folder. Frames are lazy plans; only the feature rows are persisted, because most reports
+    start from them (a feature store would hold them on a cluster)."""
 
     _open: dict[tuple[int, str], Lake] = {}
 
@@ -35,8 +35,8 @@ class Lake:
     def forget(cls) -> None:
         """Release persisted frames (the benchmark times every query from the files)."""
         for lake in cls._open.values():
-            if "scored_events" in lake.__dict__:
-                lake.scored_events.unpersist()
+            if "feature_events" in lake.__dict__:
+                lake.feature_events.unpersist()
         cls._open.clear()
 
     def scan(self, table: str) -> DataFrame:
@@ -118,11 +118,24 @@ class Lake:
         from riskspark.plans.features import event_features
 
         return event_features(
-            self.auth_events, self.chargebacks, self.customers, self.devices, self.ips, self.gazetteer)
+            self.auth_events, self.chargebacks, self.customers, self.devices, self.ips, self.gazetteer).persist()
 
     @cached_property
     def scored_events(self) -> DataFrame:
         """Events with features, rule and model scores and the decision."""
         from riskspark.plans.decisions import score_events
 
-        return score_events(self.feature_events).persist()
+        return score_events(self.feature_events)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """The decision log: no row for some events, and a later manual override for others."""
+        from riskspark.plans.economics import decision_log
+
+        return decision_log(self.scored_events)
+
+    @cached_property
+    def model_scores(self) -> DataFrame:
+        from riskspark.plans.scoring_views import model_scores
+
+        return model_scores(self.scored_events)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.constants import FEATURES
+from riskspark.constants import FEATURES, HOUR
 from riskspark.functions import scoring as S
 from riskspark.functions.geo import haversine_km, with_coordinates
-from riskspark.functions.numeric import rnd
-from riskspark.plans import dashboard, features, intake
+from riskspark.functions.numeric import micros, rnd
+from riskspark.operators import curves, ranges
+from riskspark.plans import dashboard, economics, features, intake
 from riskspark.plans import scoring_views as views
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
@@ -143,3 +144,59 @@ job("recent_decisions")(lambda lake: dashboard.recent_decisions(lake.scored_even
 job("queue_summary")(lambda lake: dashboard.queue_summary(views.cases(lake.scored_events)))
 job("queue_age")(lambda lake: dashboard.queue_age(views.cases(lake.scored_events), lake.as_of))
 job("ops_summary")(dashboard.ops_summary)
+
+# Joins
+job("j_chargeback_event")(lambda lake: lake.chargebacks.join(
+    lake.auth_events.select("auth_event_id", "merchant_id"), "auth_event_id").groupBy("merchant_id").agg(
+    F.count("*").alias("n_chargebacks"), F.sum("chargeback_amount").cast("decimal(18,2)").alias("amount")))
+job("j_merchant_mcc")(lambda lake: lake.auth_events.join(lake.merchants, "merchant_id").select("auth_event_id", "mcc"))
+
+
+@job("j_score_event")
+def score_event(lake: Lake) -> DataFrame:
+    times = lake.auth_events.where(
+        (F.col("event_time") >= F.lit("2024-01-01").cast("timestamp_ntz")) & (F.col("event_time") < lake.as_of))
+    return lake.model_scores.where("not shadow").select(
+        "auth_event_id", "model_version", "calibrated_probability").join(
+        times.select("auth_event_id", "auth_amount"), "auth_event_id")
+
+
+job("j_fraud_semi")(lambda lake: economics.fraud_events(lake.auth_events, lake.labels).select(
+    "auth_event_id", "customer_id", "auth_amount"))
+job("j_nonfraud_anti")(lambda lake: economics.nonfraud_events(lake.auth_events, lake.labels).select(
+    "auth_event_id", "customer_id", "auth_amount"))
+job("j_decision_left")(lambda lake: lake.auth_events.select("auth_event_id").join(
+    economics.latest_decision(lake.decisions), "auth_event_id", "left"))
+job("j_label_asof")(lambda lake: lake.auth_events.select("auth_event_id").join(
+    economics.latest_label(lake.labels, F.lit("2024-03-15").cast("timestamp_ntz")), "auth_event_id").select(
+    "auth_event_id", "is_fraud", "label_received_at"))
+job("j_prev_txn_asof")(lambda lake: features.previous_events(lake.auth_events).select(
+    "auth_event_id", F.timestamp_micros("prev_t").cast("timestamp_ntz").alias("prev_time"), "prev_ip"))
+
+
+@job("j_range_velocity")
+def range_velocity(lake: Lake) -> DataFrame:
+    """Earlier events of the same customer within an hour: a range self-join written as gains and losses."""
+    rows = lake.auth_events.select("auth_event_id", "customer_id", micros(F.col("event_time")).alias("t"))
+    changes = ranges.expiring(rows, F.col("t") + F.lit(HOUR + 1), {"n_1h": F.lit(1)}, ["customer_id"])
+    live = ranges.running_totals(changes.groupBy("customer_id", "t").agg(F.sum("n_1h").alias("n_1h")),
+                                 ["customer_id"], ["n_1h"])
+    return rows.join(live, ["customer_id", "t"]).select("auth_event_id", "n_1h")
+
+
+job("j_threshold_cross")(lambda lake: curves.threshold_totals(
+    curves.score_histogram(lake.scored_lines), economics.SWEEP).select("threshold", "tp", "fp", "fn", "tn"))
+job("j_dim_star")(lambda lake: lake.auth_events.join(lake.devices, "device_id", "left").join(
+    lake.ips, "ip_address", "left").join(lake.customers, "customer_id", "left").select(
+    "auth_event_id", "emulator_flag", "geo_country_code", "home_country_code"))
+job("j_champion_score")(lambda lake: views.champion_scores(lake.model_scores))
+
+# Economics
+job("economics_summary")(economics.summary)
+job("economics_by_segment")(economics.by_segment)
+job("threshold_economics")(lambda lake: economics.threshold_economics(
+    economics.scored_labelled(lake), economics.SCREEN_SWEEP))
+job("threshold_optimize")(lambda lake: economics.optimize_threshold(lake.scored_lines))
+job("threshold_multi")(lambda lake: economics.optimize_triple(lake.scored_lines))
+job("best_threshold_ui")(economics.best_threshold)
+job("loss_curve")(lambda lake: economics.loss_curve(economics.scored_labelled(lake)))
