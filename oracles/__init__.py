@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["core", "economics"]
+FAMILIES = ["core", "economics", "evaluation"]
 
 
 def all_oracles() -> dict[str, str]:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark import constants as C
 from riskspark.constants import FEATURES, HOUR
 from riskspark.functions import scoring as S
 from riskspark.functions.geo import haversine_km, with_coordinates
 from riskspark.functions.numeric import micros, rnd
 from riskspark.operators import curves, ranges
-from riskspark.plans import dashboard, economics, features, intake
+from riskspark.plans import dashboard, economics, evaluation, features, intake, jobs, replay
 from riskspark.plans import scoring_views as views
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
@@ -200,3 +201,84 @@ job("threshold_optimize")(lambda lake: economics.optimize_threshold(lake.scored_
 job("threshold_multi")(lambda lake: economics.optimize_triple(lake.scored_lines))
 job("best_threshold_ui")(economics.best_threshold)
 job("loss_curve")(lambda lake: economics.loss_curve(economics.scored_labelled(lake)))
+
+# Evaluation, drift, parity
+job("model_eval")(evaluation.model_eval)
+
+
+def _harness(lake: Lake) -> DataFrame:
+    return evaluation.eval_harness(lake.scored_lines, lake.challenger_lines)
+
+
+job("eval_harness")(_harness)
+job("eval_compare")(lambda lake: evaluation.eval_compare(
+    _harness(lake).where("segment = 'all'"), C.CHAMPION_VERSION, evaluation.CHALLENGER))
+job("eval_regression")(lambda lake: evaluation.eval_regression(
+    _harness(lake).where("segment = 'all'"), C.CHAMPION_VERSION, evaluation.CHALLENGER))
+job("drift_psi")(lambda lake: evaluation.feature_drift(lake.feature_events).select("feature", "psi"))
+job("drift_js")(lambda lake: evaluation.feature_drift(lake.feature_events).select("feature", "js"))
+job("drift_feature")(lambda lake: evaluation.feature_drift(lake.feature_events))
+job("drift_daily")(lambda lake: evaluation.daily_drift(lake.feature_events, lake.feature_events, "2024-02-03"))
+job("shadow_experiment")(lambda lake: evaluation.shadow_experiment(lake.model_scores))
+
+
+def _parity(lake: Lake) -> DataFrame:
+    return evaluation.parity_long(evaluation.online_offline(lake))
+
+
+job("j_online_offline")(lambda lake: evaluation.online_offline(lake).select("auth_event_id", "feature_version"))
+job("parity_event")(lambda lake: evaluation.parity_events(_parity(lake)))
+job("parity_report")(lambda lake: evaluation.parity_report(_parity(lake)))
+job("worst_mismatch")(lambda lake: evaluation.worst_mismatches(_parity(lake)))
+
+# Operational metrics and profiles
+job("metric_scoring")(lambda lake: evaluation.metric_scoring(lake.ops_metrics))
+job("metric_decisions")(lambda lake: evaluation.metric_decisions(lake.decisions))
+job("metric_rules")(lambda lake: evaluation.top_rules(lake.scored_events))
+job("metric_parity")(lambda lake: evaluation.metric_parity(_parity(lake)))
+job("metric_copilot")(lambda lake: evaluation.metric_copilot(lake.traces))
+job("metric_api")(lambda lake: evaluation.metric_api(lake.ops_metrics))
+job("nearest_rank_pct")(lambda lake: evaluation.nearest_rank(lake.ops_metrics))
+job("fraud_type_profile")(lambda lake: evaluation.fraud_type_profile(lake.auth_events))
+job("label_delay_profile")(evaluation.label_delay_profile)
+job("feature_separation")(evaluation.feature_separation)
+job("detection_rate")(lambda lake: evaluation.detection_rate(lake.scored_events))
+job("fp_concentration")(evaluation.false_positive_concentration)
+job("ks_two_sample")(lambda lake: evaluation.ks_two_sample(lake.scored_events))
+
+# Governance
+job("model_registry")(lambda lake: evaluation.model_registry(evaluation.registry_log(lake)))
+job("model_health")(evaluation.model_health)
+job("top_importance")(evaluation.top_importance)
+job("model_card")(evaluation.model_cards)
+job("model_card_diff")(lambda lake: evaluation.model_card_diff(evaluation.model_cards(lake)))
+
+# Single features, offline features, snapshots and nightly jobs
+for _name, _columns in {
+    "w_customer_count_1h": ["customer_txn_count_1h"], "w_customer_count_24h": ["customer_txn_count_24h"],
+    "w_customer_spend_24h": ["customer_spend_24h"], "w_card_count_10m": ["card_txn_count_10m"],
+    "w_merchant_count_10m": ["merchant_txn_count_10m"], "w_merchant_cb_rate_30d": ["merchant_chargeback_rate_30d"],
+    "w_device_count_1d": ["device_txn_count_1d"], "w_device_accounts_30d": ["device_account_count_30d"],
+    "w_ip_accounts_7d": ["ip_account_count_7d"], "w_ip_cards_7d": ["ip_card_count_7d"],
+    "w_amount_p95": ["amount_vs_customer_p95_ratio", "amount_vs_merchant_p95_ratio"],
+    "w_geo_home": ["geo_distance_from_home_km"], "w_geo_last": ["geo_distance_from_last_txn_km"],
+    "w_seconds_since_last": ["seconds_since_last_txn"],
+}.items():
+    job(_name)(lambda lake, names=_columns: lake.feature_events.select("auth_event_id", *names))
+job("features_offline")(lambda lake: jobs.offline_features(lake, "2024-01-20 00:00:00").select(
+    "auth_event_id", *FEATURES))
+job("label_snapshot")(lambda lake: jobs.label_snapshot(
+    lake, "2024-02-25", 30, jobs.existing_snapshots(lake, "2024-02-25")))
+job("j_backfill_anti")(lambda lake: jobs.backfill(lake, "2024-01-25", jobs.existing_offline(lake, "2024-01-25")))
+job("job_daily")(lambda lake: jobs.daily(lake, "2024-02-03"))
+
+# Replay and case context
+job("replay_latest_label")(lambda lake: replay.label_span(lake.labels))
+job("replay_decision")(replay.replay_decisions_text)
+job("replay_compare")(replay.replay_compare)
+job("replay_batch")(replay.replay_batch)
+job("risk_summary")(replay.risk_summary)
+job("gather_context")(replay.gather_context)
+job("score_champion_shadow")(lambda lake: lake.model_scores.select(
+    "auth_event_id", "model_version", "shadow", "fraud_probability", "calibrated_probability", "predicted_label",
+    "risk_band"))
