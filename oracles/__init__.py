@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["core", "economics", "evaluation"]
+FAMILIES = ["core", "economics", "evaluation", "graph"]
 
 
 def all_oracles() -> dict[str, str]:

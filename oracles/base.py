@@ -277,4 +277,4 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
     need(body)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({fragments[name]})" for name in ordered) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({fragments[name]})" for name in ordered) + "\n" + body

@@ -139,3 +139,34 @@ class Lake:
         from riskspark.plans.scoring_views import model_scores
 
         return model_scores(self.scored_events)
+
+    @cached_property
+    def graph_nodes(self) -> DataFrame:
+        from riskspark.plans import graph
+
+        return graph.nodes(self)
+
+    @cached_property
+    def graph_edges(self) -> DataFrame:
+        from riskspark.plans import graph
+
+        return graph.edges(self.auth_events)
+
+    @cached_property
+    def graph_pairs(self) -> DataFrame:
+        from riskspark.operators.graph import undirected
+
+        return undirected(self.graph_edges)
+
+    @cached_property
+    def graph_components(self) -> DataFrame:
+        """(node, component), computed once per session from checkpointed rounds."""
+        from riskspark.operators.graph import components
+
+        return components(self.graph_nodes.select("node"), self.graph_edges)
+
+    @cached_property
+    def graph_risk(self) -> DataFrame:
+        from riskspark.plans import graph
+
+        return graph.account_risk(self)

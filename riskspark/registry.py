@@ -13,7 +13,7 @@ from riskspark.functions import scoring as S
 from riskspark.functions.geo import haversine_km, with_coordinates
 from riskspark.functions.numeric import micros, rnd
 from riskspark.operators import curves, ranges
-from riskspark.plans import dashboard, economics, evaluation, features, intake, jobs, replay
+from riskspark.plans import dashboard, economics, evaluation, features, graph, intake, jobs, replay
 from riskspark.plans import scoring_views as views
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
@@ -282,3 +282,21 @@ job("gather_context")(replay.gather_context)
 job("score_champion_shadow")(lambda lake: lake.model_scores.select(
     "auth_event_id", "model_version", "shadow", "fraud_probability", "calibrated_probability", "predicted_label",
     "risk_band"))
+
+# Graph
+job("graph_edges")(lambda lake: lake.graph_edges)
+job("edge_type_profile")(lambda lake: graph.edge_type_profile(lake.graph_edges))
+job("graph_upsert")(graph.upsert)
+job("graph_node_risk")(lambda lake: lake.graph_nodes)
+job("graph_components")(lambda lake: lake.graph_components)
+job("graph_khop")(lambda lake: graph.account_hops(lake).select(
+    "root", "n_nodes", "n_accounts", "n_devices", "n_ips"))
+job("graph_risk")(graph.graph_risk)
+job("graph_synthetic")(lambda lake: lake.graph_risk.select("account_id", "synthetic_identity"))
+job("graph_mule")(lambda lake: lake.graph_risk.select("account_id", "mule_pattern"))
+job("graph_rings")(graph.rings)
+job("top_rings")(graph.top_rings)
+job("graph_expand")(graph.expand_busiest)
+job("graph_cluster_analysis")(graph.cluster_analysis)
+job("graph_cluster_feature")(graph.cluster_feature)
+job("j_txn_360")(replay.transaction_360_text)
