@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["core", "economics", "evaluation", "graph"]
+FAMILIES = ["core", "economics", "evaluation", "graph", "streams"]
 
 
 def all_oracles() -> dict[str, str]:

@@ -309,5 +309,8 @@ _early = {
     "chargebacks": "SELECT * FROM (" + FRAGMENTS["chargebacks"] + ") WHERE chargeback_received_at < TIMESTAMP '2024-01-20'",
 }
 ORACLES["features_offline"] = sql(f"SELECT auth_event_id, {', '.join(C.FEATURES)} FROM features", _early)
-ORACLES["training_set"] = sql(f"""SELECT auth_event_id, is_fraud, {', '.join(C.FEATURES)} FROM vectors
-JOIN ({BODIES['label_snapshot'].replace('is_fraud AS is_fraud_snapshot', 'is_fraud').replace(' AND e.auth_event_id % 9 <> 0', '')}) s USING (auth_event_id)""")
+_mature = BODIES["label_snapshot"].replace("is_fraud AS is_fraud_snapshot", "is_fraud").replace(
+    " AND e.auth_event_id % 9 <> 0", "")
+ORACLES["training_set"] = sql(f"""SELECT auth_event_id, is_fraud, {', '.join(C.FEATURES)},
+  ('0x' || substr(md5(CAST(is_fraud::INT AS VARCHAR) || ':' || auth_event_id), 1, 8))::BIGINT % 5 = 0 AS is_test
+FROM vectors JOIN ({_mature}) s USING (auth_event_id)""")

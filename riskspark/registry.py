@@ -13,12 +13,14 @@ from riskspark.functions import scoring as S
 from riskspark.functions.geo import haversine_km, with_coordinates
 from riskspark.functions.numeric import micros, rnd
 from riskspark.operators import curves, ranges
-from riskspark.plans import dashboard, economics, evaluation, features, graph, intake, jobs, replay
+from riskspark.plans import dashboard, economics, evaluation, features, graph, intake, jobs, ml, replay, reports
 from riskspark.plans import scoring_views as views
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
+from riskspark.streaming import feeds
 
 Job = Callable[[Lake], DataFrame]
+VELOCITY = [f for f in FEATURES if "_count_" in f]
 JOBS: dict[str, Job] = {}
 
 
@@ -300,3 +302,22 @@ job("graph_expand")(graph.expand_busiest)
 job("graph_cluster_analysis")(graph.cluster_analysis)
 job("graph_cluster_feature")(graph.cluster_feature)
 job("j_txn_360")(replay.transaction_360_text)
+
+# Similarity, training and batch scoring
+job("similar_cases")(ml.similar_cases)
+job("case_vector_store")(ml.case_vector_store)
+job("training_set")(lambda lake: ml.training_set(lake))
+job("train_boosted")(ml.training_report)
+job("score_batch")(ml.scored_batch)
+job("contract_report")(reports.contract_report)
+
+# Streaming
+job("st_ingest")(feeds.ingested)
+job("st_velocity")(lambda lake: feeds.scored(lake).select("auth_event_id", *VELOCITY))
+job("st_score")(lambda lake: feeds.scored(lake).select(
+    "auth_event_id", "calibrated_probability", "final_score", "decision"))
+job("st_ops_tumbling")(feeds.ops_tumbling)
+job("st_ops_sliding")(feeds.ops_sliding)
+job("st_rule_topk")(feeds.rule_topk)
+job("st_label_join")(feeds.label_join)
+job("st_late")(feeds.late_rows)
