@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskspark.functions.numeric import ratio, rnd
-from riskspark.operators.ranges import running_totals
+from riskspark.operators.ranges import sliced_totals
 
 MONEY_SUM = "decimal(38,2)"
 
@@ -129,12 +129,12 @@ def top_share_totals(rows: DataFrame, shares: list[float], width: int = 1 << 20)
     straddled = placed.select("probability").distinct()
     inside = rows.withColumn("probability", rnd(F.col("probability"), 6)).join(F.broadcast(straddled), "probability")
     fraud = F.coalesce("is_fraud", F.lit(False))
-    ranked = running_totals(
+    ranked = sliced_totals(
         inside.select(
             "probability", F.col("auth_event_id").alias("t"), F.lit(1).alias("rank"),
             F.when(fraud, (F.col("amount_usd") * 100).cast("bigint")).otherwise(F.lit(0)).alias("cents"),
             F.when(F.col("is_fraud") == F.lit(False), 1).otherwise(0).alias("legit")),
-        ["probability"], ["rank", "cents", "legit"], width=width)
+        ["probability"], ["rank", "cents", "legit"], [], width)
     found = placed.join(ranked, (placed["probability"] == ranked["probability"])
                         & (F.col("rank") == F.col("cut") - F.col("n_before")), "inner")
     steps = found.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators.ranges import running_totals
+from riskspark.operators.ranges import sliced_totals
 
 
 def ranked_values(rows: DataFrame, value: Column, groups: list[str], decimals: int = 6, width: float = 1.0) -> DataFrame:
@@ -17,9 +17,9 @@ def ranked_values(rows: DataFrame, value: Column, groups: list[str], decimals: i
     keyed = rows.where(value.isNotNull()).select(*groups, F.round(value * scale).cast("bigint").alias("t"))
     counts = keyed.groupBy(*groups, "t").agg(F.count("*").alias("n"))
     # The row's own count rides along, so that a rank can be located between `upto - n` and `upto`.
-    cumulated = running_totals(
+    cumulated = sliced_totals(
         counts.withColumns({"_g": F.lit(0), "upto": F.col("n")}), [*groups, "_g"], ["upto"],
-        width=int(width * scale), keep=["n"])
+        ["n"], int(width * scale))
     return cumulated.select(*groups, (F.col("t") / F.lit(float(scale))).alias("value"), "n", "upto")
 
 

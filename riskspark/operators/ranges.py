@@ -1,13 +1,15 @@
 """Point-in-time operators over keyed timelines: range totals, range distinct counts, previous rows, percentiles.
 
-A plain window puts a whole key into one task, and a sliding range frame re-reads the frame for every row. A key here
-may hold a third of all rows, so each timeline is cut into time slices of fixed width. Every slice is a window
-partition of its own and starts from one *carry row* that stands for everything before it. Carry rows come from one
-aggregate row per (key, slice), so the only window over a whole key runs over as many rows as there are slices.
+A sliding range frame re-reads its frame for every row, and a window puts a whole key into one task. Here gains and
+losses turn range frames into running totals, which cost one step per row. Timelines of ordinary length are windows by
+key. A key may also hold a third of all rows: `hot_keys` finds such keys by count, and their timelines are cut into time
+slices. Every slice is a window partition of its own and starts from one *carry row* that stands for everything before
+it. Carry rows come from one aggregate row per (key, slice), so no window over a whole hot key reads its rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskspark.constants import DAY, HOUR
+from riskspark.session import checkpoint_dir
 
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
+HOT_ROWS = 2_000_000
+LISTED_KEYS = 10_000
+
+
+def hot_keys(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than `limit` rows, or None. One counting job; up to 10,000 keys come back as a literal table,
+    more stay a checkpointed table that Spark joins as its size allows."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key)
+    found = counted.limit(LISTED_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) <= LISTED_KEYS:
+        return rows.sparkSession.createDataFrame(found, counted.schema)
+    checkpoint_dir(rows.sparkSession)
+    return counted.checkpoint()
+
+
+def _both(rows: DataFrame, key: str, hot: DataFrame | None, plain, sliced) -> DataFrame:
+    """`plain` over the ordinary keys and `sliced` over the hot ones."""
+    if hot is None:
+        return plain(rows)
+    keys = hot.select(key)
+    return plain(rows.join(keys, key, "left_anti")).unionByName(sliced(rows.join(keys, key, "left_semi")))
 
 
 def slice_start(time: str, width: int) -> Column:
@@ -26,82 +52,107 @@ def slice_start(time: str, width: int) -> Column:
 
 
 def running_totals(
-    rows: DataFrame, keys: list[str], measures: list[str], width: int = 6 * HOUR, keep: list[str] | None = None
+    rows: DataFrame, keys: list[str], measures: list[str], keep: list[str] | None = None, width: int = HOUR,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each measure by its total over all rows of the key at or before the row's time `t`.
 
     Rows of equal time are peers and see the same totals. `rows` holds keys, `t` (microseconds), the measures and the
-    columns to `keep`.
+    columns to `keep`. `hot` lists hot values of the first key.
     """
     keep = keep or []
+    typed = rows.select(*keys, "t", *keep, *[F.col(m).cast("bigint").alias(m) for m in measures])
+
+    def plain(part: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy("t").rangeBetween(*UP_TO_HERE)
+        return part.select(*keys, "t", *keep, *[F.sum(m).over(upto).alias(m) for m in measures])
+
+    return _both(typed, keys[0], hot, plain, lambda part: sliced_totals(part, keys, measures, keep, width))
+
+
+def sliced_totals(rows: DataFrame, keys: list[str], measures: list[str], keep: list[str], width: int) -> DataFrame:
+    """Running totals of timelines of any length; see `running_totals`."""
     cut = rows.select(*keys, slice_start("t", width).alias("_slice"), "t", *keep,
                       *[F.col(m).cast("bigint").alias(m) for m in measures])
-    # The kept columns are aggregated too: both uses of `cut` then read the same columns, and Spark runs it once.
-    per_slice = cut.groupBy(*keys, "_slice").agg(
-        *[F.max(k).alias(k) for k in keep], *[F.sum(m).alias(m) for m in measures])
+    per_slice = cut.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select(
-        *keys, "_slice", F.col("_slice").alias("t"), F.lit(True).alias("_carry"), *keep,
+        *keys, "_slice", F.col("_slice").alias("t"), F.lit(True).alias("_carry"),
         *[F.sum(m).over(before).alias(m) for m in measures],
     ).where(F.col(measures[0]).isNotNull())
     upto = Window.partitionBy("_slice", *keys).orderBy("t").rangeBetween(*UP_TO_HERE)
     return (
-        cut.withColumn("_carry", F.lit(False)).unionByName(carry)
+        cut.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
         .select(*keys, "t", "_carry", *keep, *[F.sum(m).over(upto).alias(m) for m in measures])
         .where(~F.col("_carry"))
         .drop("_carry")
     )
 
 
-def with_next_time(rows: DataFrame, keys: list[str], out: str, width: int = DAY) -> DataFrame:
+def with_next_time(
+    rows: DataFrame, keys: list[str], out: str, width: int = HOUR, hot: DataFrame | None = None
+) -> DataFrame:
     """Add the time of the key's next row. `rows` holds keys and `t`, one row per (keys, t)."""
-    cut = rows.withColumn("_slice", slice_start("t", width))
-    firsts = cut.groupBy(*keys, "_slice").agg(F.min("t").alias("t"))
-    backwards = Window.partitionBy(*keys).orderBy("_slice")
-    ghosts = (
-        firsts.withColumn("_slice", F.lag("_slice").over(backwards))
-        .where(F.col("_slice").isNotNull())
-        .withColumn("_ghost", F.lit(True))
-    )
-    order = Window.partitionBy("_slice", *keys).orderBy("t")
-    return (
-        cut.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
-        .withColumn(out, F.lead("t").over(order))
-        .where(~F.col("_ghost"))
-        .drop("_slice", "_ghost")
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.lead("t").over(Window.partitionBy(*keys).orderBy("t")))
+
+    def sliced(part: DataFrame) -> DataFrame:
+        cut = part.withColumn("_slice", slice_start("t", width))
+        firsts = cut.groupBy(*keys, "_slice").agg(F.min("t").alias("t"))
+        ghosts = (
+            firsts.withColumn("_slice", F.lag("_slice").over(Window.partitionBy(*keys).orderBy("_slice")))
+            .where(F.col("_slice").isNotNull())
+            .withColumn("_ghost", F.lit(True))
+        )
+        order = Window.partitionBy("_slice", *keys).orderBy("t")
+        return (
+            cut.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+            .withColumn(out, F.lead("t").over(order))
+            .where(~F.col("_ghost"))
+            .drop("_slice", "_ghost")
+        )
+
+    return _both(rows, keys[0], hot, plain, sliced)
 
 
 def with_previous(
-    rows: DataFrame, key: str, time: str, tie: str, carried: dict[str, str], width: int = DAY
+    rows: DataFrame, key: str, time: str, tie: str, carried: dict[str, str], width: int = HOUR,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add, for each row, the previous row's time as `prev_t` and the last earlier non-null value of each column in
     `carried` ({column: output name}); earlier means strictly before in (time, tie) order within the key."""
-    cut = rows.withColumn("_slice", slice_start(time, width)).withColumn("_ghost", F.lit(False))
-    position = F.struct(F.col(time), F.col(tie))
-    lasts = cut.groupBy(key, "_slice").agg(
-        F.max(time).alias(time),
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(c) for c in carried],
-    )
-    by_slice = Window.partitionBy(key).orderBy("_slice")
-    until = by_slice.rowsBetween(*UP_TO_HERE)
-    ghosts = (
-        lasts.select(
-            key, F.lead("_slice").over(by_slice).alias("_slice"), time,
-            *[F.last(c, ignorenulls=True).over(until).alias(c) for c in carried],
+
+    def looked_back(part: DataFrame, order) -> DataFrame:
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        return part.withColumn("prev_t", F.lag(time).over(order)).withColumns(
+            {out: F.last(c, ignorenulls=True).over(earlier) for c, out in carried.items()})
+
+    def plain(part: DataFrame) -> DataFrame:
+        return looked_back(part, Window.partitionBy(key).orderBy(time, tie))
+
+    def sliced(part: DataFrame) -> DataFrame:
+        cut = part.withColumn("_slice", slice_start(time, width)).withColumn("_ghost", F.lit(False))
+        position = F.struct(F.col(time), F.col(tie))
+        lasts = cut.groupBy(key, "_slice").agg(
+            F.max(time).alias(time),
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(c) for c in carried],
         )
-        .where(F.col("_slice").isNotNull())
-        .withColumn("_ghost", F.lit(True))
-    )
-    order = Window.partitionBy(key, "_slice").orderBy(F.col(time), F.col("_ghost").desc(), F.col(tie))
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        cut.unionByName(ghosts, allowMissingColumns=True)
-        .withColumn("prev_t", F.lag(time).over(order))
-        .withColumns({out: F.last(c, ignorenulls=True).over(earlier) for c, out in carried.items()})
-        .where(~F.col("_ghost"))
-        .drop("_slice", "_ghost")
-    )
+        by_slice = Window.partitionBy(key).orderBy("_slice")
+        until = by_slice.rowsBetween(*UP_TO_HERE)
+        ghosts = (
+            lasts.select(
+                key, F.lead("_slice").over(by_slice).alias("_slice"), time,
+                *[F.last(c, ignorenulls=True).over(until).alias(c) for c in carried],
+            )
+            .where(F.col("_slice").isNotNull())
+            .withColumn("_ghost", F.lit(True))
+        )
+        order = Window.partitionBy("_slice", key).orderBy(F.col(time), F.col("_ghost").desc(), F.col(tie))
+        return looked_back(cut.unionByName(ghosts, allowMissingColumns=True), order).where(~F.col("_ghost")).drop(
+            "_slice", "_ghost")
+
+    return _both(rows, key, hot, plain, sliced)
 
 
 def expiring(rows: DataFrame, until: Column, measures: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -111,13 +162,15 @@ def expiring(rows: DataFrame, until: Column, measures: dict[str, Column], keep:
     return rows.select(*keep, both.alias("t", *measures))
 
 
-def live_members(pairs: DataFrame, keys: list[str], member: str, horizon: Column | int, out: str) -> DataFrame:
+def live_members(
+    pairs: DataFrame, keys: list[str], member: str, horizon: Column | int, out: str, hot: DataFrame | None = None
+) -> DataFrame:
     """Gains and losses whose running total per key is the number of distinct members seen in [t - horizon, t].
 
     A member's sighting counts from its time until it is seen again or its horizon has passed.
     """
     span = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    sightings = with_next_time(pairs.select(*keys, member, "t").distinct(), [*keys, member], "_next")
+    sightings = with_next_time(pairs.select(*keys, member, "t").distinct(), [*keys, member], "_next", hot=hot)
     end = F.least(F.col("t") + span + F.lit(1), F.coalesce("_next", F.lit(2**62)))
     return expiring(sightings, end, {out: F.lit(1)}, keys)
 
@@ -132,14 +185,14 @@ def _rolling_quantile(horizon: int, quantile: float):
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
+            batch = batch.assign(open=True)
             if held is not None:
                 batch = pd.concat([held, batch], ignore_index=True)
             if batch.empty:
                 continue
             t = batch["t"].to_numpy()
             new = np.ones(len(batch), dtype=bool)
-            new[1:] = ((batch["entity"].to_numpy()[1:] != batch["entity"].to_numpy()[:-1])
-                       | (batch["slice"].to_numpy()[1:] != batch["slice"].to_numpy()[:-1]))
+            new[1:] = batch["entity"].to_numpy()[1:] != batch["entity"].to_numpy()[:-1]
             step = np.diff(t, prepend=t[0])
             step[new] = horizon + 1
             clock = np.cumsum(step).astype("datetime64[us]")
@@ -152,12 +205,11 @@ def _rolling_quantile(horizon: int, quantile: float):
             closed[start:] = t[start:] < t[-1]
             last_of_time = np.ones(len(batch), dtype=bool)
             last_of_time[:-1] = new[1:] | (t[1:] != t[:-1])
-            out = batch[closed & last_of_time & batch["own"].to_numpy()]
-            yield out[["entity", "t", "quantile"]]
+            yield batch[closed & last_of_time & batch["open"].to_numpy()][["entity", "t", "quantile"]]
             held = batch.iloc[start:][t[start:] >= t[-1] - horizon].drop(columns="quantile")
-            held.loc[held["t"] < t[-1], "own"] = False
+            held.loc[held["t"] < t[-1], "open"] = False
             held = held.reset_index(drop=True)
-        if held is not None and bool(held["own"].iloc[-1]):
+        if held is not None and bool(held["open"].iloc[-1]):
             last = held.iloc[[-1]]
             yield pd.DataFrame({
                 "entity": last["entity"], "t": last["t"],
@@ -167,20 +219,75 @@ def _rolling_quantile(horizon: int, quantile: float):
     return job
 
 
-def range_quantile(rows: DataFrame, key: str, horizon: int, quantile: float) -> DataFrame:
+def range_quantile(
+    rows: DataFrame, key: str, horizon: int, quantile: float, hot: DataFrame | None = None
+) -> DataFrame:
     """Exact interpolated quantile of `value` over [t - horizon, t]: one row (key, t, quantile) per time.
 
-    `rows` holds the key, `t` and `value`. Timelines are cut into slices of one horizon; a slice also reads the rows
-    of the slice before it. A task walks its sorted slices batch by batch and keeps one horizon of one timeline.
+    `rows` holds the key, `t` and the whole number `value`. A task walks its sorted timelines batch by batch and keeps
+    one horizon of one ordinary timeline; hot ones go through `hot_range_quantile`.
     """
-    own = slice_start("t", horizon)
-    spread = rows.select(
-        F.col(key).alias("entity"), "t", F.col("value").cast("double").alias("value"), own.alias("_own"),
-        F.explode(F.array(own, own + F.lit(horizon))).alias("slice"),
-    ).withColumn("own", F.col("_own") == F.col("slice")).drop("_own")
-    return (
-        spread.repartition("entity", "slice")
-        .sortWithinPartitions("entity", "slice", "t")
-        .mapInPandas(_rolling_quantile(horizon, quantile), "entity string, t long, quantile double")
-        .withColumnRenamed("entity", key)
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        return (
+            part.select(F.col(key).alias("entity"), "t", F.col("value").cast("double").alias("value"))
+            .repartition("entity")
+            .sortWithinPartitions("entity", "t")
+            .mapInPandas(_rolling_quantile(horizon, quantile), "entity string, t long, quantile double")
+            .withColumnRenamed("entity", key)
+        )
+
+    return _both(rows, key, hot, plain, lambda part: hot_range_quantile(part, key, horizon, quantile))
+
+
+DIGIT_BITS = 4
+
+
+def hot_range_quantile(rows: DataFrame, key: str, horizon: int, quantile: float, width: int = HOUR) -> DataFrame:
+    """The same quantile for timelines too long for one task.
+
+    The value at a rank is found digit by digit, highest first. In each round every value belongs to the node of its
+    leading digits; running totals over the node's timeline count, for each next digit, the values inside the horizon;
+    a query moves to the digit that holds its rank. All rounds are sliced running totals, so nothing grows with the key.
+    """
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    points = rows.groupBy(key, "t", "value").agg(F.count("*").alias("n")).checkpoint()
+    low, high = points.agg(F.min("value"), F.max("value")).first()
+    levels = max(1, math.ceil((high - low).bit_length() / DIGIT_BITS))
+    points = points.withColumn("value", F.col("value") - F.lit(low))
+    counts = points.groupBy(key, "t").agg(F.sum("n").alias("n"))
+    live = sliced_totals(
+        expiring(counts, F.col("t") + F.lit(horizon + 1), {"n": F.col("n")}, [key]),
+        [key], ["n"], [], width).groupBy(key, "t").agg(F.max("n").alias("total"))
+    position = (F.col("total") - 1) * F.lit(quantile)
+    asked = counts.select(key, "t").join(live, [key, "t"]).withColumn("position", position)
+    queries = asked.select(key, "t", "position", F.explode(F.array(
+        F.struct(F.lit("lo").alias("which"), F.floor("position").alias("rank")),
+        F.struct(F.lit("hi").alias("which"), F.ceil("position").alias("rank")))).alias("q")).select(
+        key, "t", "position", "q.which", "q.rank", F.lit(0).cast("bigint").alias("node")).checkpoint()
+    base = 1 << DIGIT_BITS
+    measures = [f"c{i}" for i in range(base)]
+    for level in reversed(range(levels)):
+        shift = DIGIT_BITS * level
+        digit = F.shiftright("value", shift).bitwiseAND(F.lit(base - 1))
+        node = F.shiftright("value", shift + DIGIT_BITS)
+        digits = {m: F.when(digit == i, F.col("n")).otherwise(F.lit(0)) for i, m in enumerate(measures)}
+        changes = expiring(points.withColumn("node", node), F.col("t") + F.lit(horizon + 1), digits, [key, "node"])
+        timeline = changes.unionByName(queries, allowMissingColumns=True).fillna(0, measures)
+        seen = sliced_totals(timeline, [key, "node"], measures, ["position", "which", "rank"], width).where(
+            F.col("which").isNotNull())
+        below, chosen, skipped = F.lit(0), None, None
+        for i, m in enumerate(measures):
+            through = below + F.col(m)
+            hit = F.col("rank") < through
+            chosen = F.when(hit, F.lit(i)) if chosen is None else chosen.when(hit, F.lit(i))
+            skipped = F.when(hit, below) if skipped is None else skipped.when(hit, below)
+            below = through
+        queries = seen.select(
+            key, "t", "position", "which", (F.col("rank") - skipped).alias("rank"),
+            (F.col("node") * base + chosen).alias("node")).checkpoint()
+    share = F.first("position") - F.floor(F.first("position"))
+    lo = F.max(F.when(F.col("which") == "lo", F.col("node"))) + F.lit(low)
+    hi = F.max(F.when(F.col("which") == "hi", F.col("node"))) + F.lit(low)
+    return queries.groupBy(key, "t").agg((lo + (hi - lo) * share).alias("quantile"))

@@ -54,30 +54,38 @@ def entity_rows(events: DataFrame) -> DataFrame:
 
 
 def _event_changes(events: DataFrame) -> DataFrame:
-    """Every (event, entity) as a gain now and a loss when each of its horizons has passed."""
-    spend = "coalesce(cents, 0L)"
-    plan = [
-        (CUSTOMER, 0, "1L", "1L", spend), (CUSTOMER, CUSTOMER_SHORT + 1, "-1L", "0L", "0L"),
-        (CUSTOMER, CUSTOMER_LONG + 1, "0L", "-1L", f"-{spend}"),
-        (CARD, 0, "1L", "0L", "0L"), (CARD, CARD_SHORT + 1, "-1L", "0L", "0L"),
-        (MERCHANT, 0, "1L", "1L", "0L"), (MERCHANT, MERCHANT_SHORT + 1, "-1L", "0L", "0L"),
-        (MERCHANT, MERCHANT_LONG + 1, "0L", "-1L", "0L"),
-        (DEVICE, 0, "1L", "0L", "0L"), (DEVICE, DEVICE_SHORT + 1, "-1L", "0L", "0L"),
-        (IP, 0, "0L", "0L", "0L"),
+    """Events of one entity at one time collapse to a count; the count is a gain now and a loss when each horizon of
+    the entity's kind has passed."""
+    stack = _stacked([[entity_of(kind)] for kind in ENTITY_KEYS], ["entity"])
+    at_time = _timed(events).selectExpr(stack, "t", "cents").where("entity is not null").groupBy("entity", "t").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"))
+    kinds = {
+        CUSTOMER: (CUSTOMER_SHORT, CUSTOMER_LONG), CARD: (CARD_SHORT, None), MERCHANT: (MERCHANT_SHORT, MERCHANT_LONG),
+        DEVICE: (DEVICE_SHORT, None),
+    }
+
+    def horizon(which: int) -> str:
+        cases = " ".join(f"when '{k}' then {spans[which]}L" for k, spans in kinds.items() if spans[which])
+        return f"case kind {cases} end"
+
+    spend = f"if(kind = '{CUSTOMER}', cents, 0L)"
+    rows = [
+        ["t", f"if(kind = '{IP}', 0L, n)", f"if({horizon(1)} is null, 0L, n)", spend, "true"],
+        [f"t + {horizon(0)} + 1L", "-n", "0L", "0L", "false"],
+        [f"t + {horizon(1)} + 1L", "0L", "-n", f"-{spend}", "false"],
     ]
-    rows = [[entity_of(kind), f"t + {after}L", m1, m2, m3, str(after == 0).lower()]
-            for kind, after, m1, m2, m3 in plan]
-    return _timed(events).selectExpr(_stacked(rows, ["entity", "t", *MEASURES, "here"])).where("entity is not null")
+    kinded = at_time.selectExpr("entity", "substring(entity, 1, 1) as kind", "t", "n", "cents")
+    return kinded.selectExpr("entity", _stacked(rows, ["t", *MEASURES, "here"])).where("t is not null")
 
 
-def _member_changes(events: DataFrame) -> DataFrame:
+def _member_changes(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Gains and losses for distinct accounts per device and distinct accounts and cards per address."""
     rows = [
         [entity_of(DEVICE), "'m2'", "account_id"], [entity_of(IP), "'m2'", "account_id"],
         [entity_of(IP), "'m1'", "card_id"]]
     pairs = _timed(events).selectExpr(_stacked(rows, ["entity", "measure", "member"]), "t").where("entity is not null")
     horizon = F.when(F.col("entity").startswith(DEVICE), F.lit(DEVICE_ACCOUNTS)).otherwise(F.lit(IP_MEMBERS))
-    changes = ranges.live_members(pairs, ["entity", "measure"], "member", horizon, "n")
+    changes = ranges.live_members(pairs, ["entity", "measure"], "member", horizon, "n", hot)
     return changes.selectExpr(
         "entity", "t", "if(measure = 'm1', n, 0L) as m1", "if(measure = 'm2', n, 0L) as m2", "0L as m3",
         "false as here")
@@ -92,29 +100,28 @@ def _chargeback_changes(events: DataFrame, chargebacks: DataFrame) -> DataFrame:
     return changes.selectExpr("entity", "t", "0L as m1", "0L as m2", "cast(m3 as bigint) as m3", "false as here")
 
 
-def velocity_totals(events: DataFrame, chargebacks: DataFrame) -> DataFrame:
+def velocity_totals(events: DataFrame, chargebacks: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The three running measures of each entity at every time at which it has an event."""
-    changes = _event_changes(events).unionByName(_member_changes(events)).unionByName(
+    changes = _event_changes(events).unionByName(_member_changes(events, hot)).unionByName(
         _chargeback_changes(events, chargebacks))
-    # Changes of one entity at one time collapse here, before the timelines are sorted.
-    at_time = changes.groupBy("entity", "t").agg(*[F.sum(m).alias(m) for m in MEASURES], F.max("here").alias("here"))
-    return ranges.running_totals(at_time, ["entity"], MEASURES, keep=["here"]).where("here").drop("here")
+    return ranges.running_totals(changes, ["entity"], MEASURES, keep=["here"], hot=hot).where("here").drop("here")
 
 
-def amount_p95(events: DataFrame) -> DataFrame:
+def amount_p95(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """95th percentile of the amount over the last 90 days per customer and merchant: (entity, t, quantile)."""
     stack = _stacked([[entity_of(CUSTOMER)], [entity_of(MERCHANT)]], ["entity"])
-    rows = _timed(events).where("cents is not null").selectExpr(stack, "t", "cents / 100D as value").where(
+    rows = _timed(events).where("cents is not null").selectExpr(stack, "t", "cents as value").where(
         "entity is not null")
-    return ranges.range_quantile(rows, "entity", P95_HORIZON, 0.95)
+    return ranges.range_quantile(rows, "entity", P95_HORIZON, 0.95, hot).withColumn(
+        "quantile", F.col("quantile") / 100)
 
 
-def velocity_features(events: DataFrame, chargebacks: DataFrame) -> DataFrame:
+def velocity_features(events: DataFrame, chargebacks: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One row per event with the counts, rates and percentiles of all its entities."""
     found = (
         entity_rows(events)
-        .join(velocity_totals(events, chargebacks), ["entity", "t"])
-        .join(amount_p95(events), ["entity", "t"], "left")
+        .join(velocity_totals(events, chargebacks, hot), ["entity", "t"])
+        .join(amount_p95(events, hot), ["entity", "t"], "left")
     )
 
     def of(kind: str, column: str) -> Column:
@@ -140,11 +147,11 @@ def velocity_features(events: DataFrame, chargebacks: DataFrame) -> DataFrame:
     )
 
 
-def previous_events(events: DataFrame) -> DataFrame:
+def previous_events(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Per event of a customer: the time of the previous event and the last address seen before it."""
     rows = events.where(F.col("customer_id").isNotNull()).select(
-        "auth_event_id", "customer_id", micros(F.col("event_time")).alias("t"), "ip_address")
-    return ranges.with_previous(rows, "customer_id", "t", "auth_event_id", {"ip_address": "prev_ip"})
+        "auth_event_id", F.expr(f"{entity_of(CUSTOMER)} as entity"), micros(F.col("event_time")).alias("t"), "ip_address")
+    return ranges.with_previous(rows, "entity", "t", "auth_event_id", {"ip_address": "prev_ip"}, hot=hot)
 
 
 def device_risk(device_id: Column, known: Column, emulator: Column, rooted: Column) -> Column:
@@ -179,16 +186,20 @@ def with_dimensions(
 
 def event_features(
     events: DataFrame, chargebacks: DataFrame, customers: DataFrame, devices: DataFrame, ips: DataFrame,
-    places: DataFrame,
+    places: DataFrame, hot_rows: int = ranges.HOT_ROWS,
 ) -> DataFrame:
-    """Events with all 19 features as of their own time: frames are [t - horizon, t] and never see the future."""
+    """Events with all 19 features as of their own time: frames are [t - horizon, t] and never see the future.
+
+    Entities with more than `hot_rows` events are found first; their timelines are cut into slices.
+    """
+    hot = ranges.hot_keys(entity_rows(events), "entity", hot_rows)
     previous_ip = with_coordinates(ips, places, "geo_country_code", "geo_city").select(
         F.col("ip_address").alias("_last_ip"), F.col("lat").alias("last_lat"), F.col("lon").alias("last_lon"))
     joined = (
         with_dimensions(events, customers, devices, ips, places)
-        .join(previous_events(events).select("auth_event_id", "t", "prev_t", "prev_ip"), "auth_event_id", "left")
+        .join(previous_events(events, hot).select("auth_event_id", "t", "prev_t", "prev_ip"), "auth_event_id", "left")
         .join(previous_ip, F.col("prev_ip") == F.col("_last_ip"), "left")
-        .join(velocity_features(events, chargebacks), "auth_event_id", "left")
+        .join(velocity_features(events, chargebacks, hot), "auth_event_id", "left")
     )
     moved = F.when(F.col("ip_lat").isNotNull() & (F.col("prev_ip") == F.col("ip_address")), F.lit(0.0)).otherwise(
         rnd(haversine_km(F.col("last_lat"), F.col("last_lon"), F.col("ip_lat"), F.col("ip_lon")), 3))
