@@ -89,31 +89,27 @@ def sliced_totals(rows: DataFrame, keys: list[str], measures: list[str], keep: l
     )
 
 
-def with_next_time(
-    rows: DataFrame, keys: list[str], out: str, width: int = HOUR, hot: DataFrame | None = None
-) -> DataFrame:
-    """Add the time of the key's next row. `rows` holds keys and `t`, one row per (keys, t)."""
+def with_neighbours(rows: DataFrame, keys: list[str], width: int = HOUR, hot: DataFrame | None = None) -> DataFrame:
+    """Add the times of the key's previous and next row as `prev_t` and `next_t`. `rows` holds keys and `t`, one row
+    per (keys, t)."""
 
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn(out, F.lead("t").over(Window.partitionBy(*keys).orderBy("t")))
+    def both_sides(part: DataFrame, *slice_key: str) -> DataFrame:
+        order = Window.partitionBy(*slice_key, *keys).orderBy("t")
+        return part.withColumns({"prev_t": F.lag("t").over(order), "next_t": F.lead("t").over(order)})
 
     def sliced(part: DataFrame) -> DataFrame:
         cut = part.withColumn("_slice", slice_start("t", width))
-        firsts = cut.groupBy(*keys, "_slice").agg(F.min("t").alias("t"))
-        ghosts = (
-            firsts.withColumn("_slice", F.lag("_slice").over(Window.partitionBy(*keys).orderBy("_slice")))
-            .where(F.col("_slice").isNotNull())
-            .withColumn("_ghost", F.lit(True))
-        )
-        order = Window.partitionBy("_slice", *keys).orderBy("t")
-        return (
-            cut.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
-            .withColumn(out, F.lead("t").over(order))
-            .where(~F.col("_ghost"))
-            .drop("_slice", "_ghost")
-        )
+        ends = cut.groupBy(*keys, "_slice").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        by_slice = Window.partitionBy(*keys).orderBy("_slice")
+        # The last row before a slice and the first row after it stand beside its own rows.
+        outside = ends.withColumns({
+            "_before": F.lag("last").over(by_slice), "_after": F.lead("first").over(by_slice)})
+        ghosts = outside.select(*keys, "_slice", F.lit(True).alias("_ghost"), F.explode(
+            F.array("_before", "_after")).alias("t")).where(F.col("t").isNotNull())
+        marked = cut.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+        return both_sides(marked, "_slice").where(~F.col("_ghost")).drop("_slice", "_ghost")
 
-    return _both(rows, keys[0], hot, plain, sliced)
+    return _both(rows, keys[0], hot, both_sides, sliced)
 
 
 def with_previous(
@@ -167,12 +163,16 @@ def live_members(
 ) -> DataFrame:
     """Gains and losses whose running total per key is the number of distinct members seen in [t - horizon, t].
 
-    A member's sighting counts from its time until it is seen again or its horizon has passed.
+    Sightings of a member that follow each other within the horizon form one stay: a gain at its first sighting, a loss
+    when the horizon after its last one has passed.
     """
     span = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    sightings = with_next_time(pairs.select(*keys, member, "t").distinct(), [*keys, member], "_next", hot=hot)
-    end = F.least(F.col("t") + span + F.lit(1), F.coalesce("_next", F.lit(2**62)))
-    return expiring(sightings, end, {out: F.lit(1)}, keys)
+    sightings = with_neighbours(pairs.select(*keys, member, "t").distinct(), [*keys, member], hot=hot)
+    starts = F.col("prev_t").isNull() | (F.col("prev_t") < F.col("t") - span)
+    ends = F.col("next_t").isNull() | (F.col("next_t") > F.col("t") + span)
+    one = F.lit(1).cast("bigint")
+    both = F.stack(F.lit(2), F.when(starts, F.col("t")), one, F.when(ends, F.col("t") + span + F.lit(1)), -one)
+    return sightings.where(starts | ends).select(*keys, both.alias("t", out)).where(F.col("t").isNotNull())
 
 
 def _rolling_quantile(horizon: int, quantile: float):
