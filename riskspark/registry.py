@@ -181,9 +181,12 @@ job("j_prev_txn_asof")(lambda lake: features.previous_events(lake.auth_events).s
 def range_velocity(lake: Lake) -> DataFrame:
     """Earlier events of the same customer within an hour: a range self-join written as gains and losses."""
     rows = lake.auth_events.select("auth_event_id", "customer_id", micros(F.col("event_time")).alias("t"))
-    changes = ranges.expiring(rows, F.col("t") + F.lit(HOUR + 1), {"n_1h": F.lit(1)}, ["customer_id"])
-    live = ranges.running_totals(changes.groupBy("customer_id", "t").agg(F.sum("n_1h").alias("n_1h")),
-                                 ["customer_id"], ["n_1h"])
+    at_time = rows.groupBy("customer_id", "t").agg(F.count("*").alias("n"))
+    changes = at_time.select("customer_id", F.stack(
+        F.lit(2), F.col("t"), F.col("n"), F.lit(True), F.col("t") + F.lit(HOUR + 1), -F.col("n"), F.lit(False)
+    ).alias("t", "n_1h", "here"))
+    live = ranges.running_totals(changes, ["customer_id"], ["n_1h"], ["here"],
+                                 hot=ranges.hot_keys(rows, "customer_id")).where("here")
     return rows.join(live, ["customer_id", "t"]).select("auth_event_id", "n_1h")
 
 
