@@ -11,12 +11,12 @@ MONEY = T.DecimalType(18, 2)
 
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
-    "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-                        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-                        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
-    "embeddings": ("vec_id bigint, embedding array<float>, label int"),
-    "conversations": ("conv_id bigint, turn bigint, role string, text string"),
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
