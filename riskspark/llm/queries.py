@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import mixing, poly_dedup, sentencepiece_codec, sharding, simhash_bk
+from riskspark.llm import (
+    minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, toxicity_knn)
+from riskspark.llm.labelled import held_out
 
 SHARDS = 40
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -17,6 +19,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def model_file() -> str:
     import public_tokenizers
 
@@ -34,11 +40,30 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(documents(spark, folder), model_file())
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_pu.train(docs, labels(spark, folder), folds=4, held=2)
+    return quality_pu.scored(docs, model).select(
+        "doc_id", held_out(4, 2), "score", (F.col("score") >= quality_pu.ACCEPT).cast("int").alias("predicted"))
+
+
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edit_fingerprints(documents(spark, folder))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return poly_dedup.exact_groups(documents(spark, folder)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, folder))
+    return found.select(
+        "doc_id", *[secret_scan.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bk.near_groups(documents(spark, folder), width=3, radius=2).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,11 +74,22 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    index = toxicity_knn.train(docs, labels(spark, folder), folds=5, held=0)
+    return toxicity_knn.scored(docs, index).select(
+        "doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleave": op2_interleave,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality": op4_quality,
+    "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
