@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import (
-    minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, toxicity_knn)
+    minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
+    toxicity_knn)
 from riskspark.llm.labelled import held_out
 
 SHARDS = 40
@@ -29,6 +30,14 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    tree, vocabulary = suffix_tree.learn(suffix_tree.taught(docs, folds=5, held=1))
+    return suffix_tree.score(docs, tree, vocabulary).select(
+        "doc_id", held_out(5, 1), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score")
+
+
 def op2_interleave(spark: SparkSession, folder: str) -> DataFrame:
     """Stratified interleaving into 40 shards; the law is `rows`. Equal texts need not share a shard."""
     return sharding.interleave(documents(spark, folder), SHARDS).select(
@@ -82,6 +91,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_interleave": op2_interleave,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
