@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.slices import with_groups
-from riskspark.llm.textblocks import runs, shingle_hashes, word_hashes, words
+from riskspark.llm.textblocks import mixed, runs, shingle_hashes, word_hashes, words
 from riskspark.session import checkpoint_dir
 
 WIDTH = 5
 COMPONENTS = 128
-ROWS_PER_BAND = 4
+ROWS_PER_BAND = 5
+LEADERS = 16
 SIMILARITY = 0.8
 EMPTY = np.uint32(0xFFFFFFFF)
 _draw = np.random.Generator(np.random.PCG64(7))
@@ -152,43 +153,74 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members gives each row's class, (doc_id, class_id), where a class is the texts with one shingle
-    set; pairs has (left_id, right_id, jaccard) of distinct classes with at least that similarity, left_id < right_id.
-
-    Candidates agree in a band of ROWS_PER_BAND components; at 0.8 a pair is missed with a chance below 1e-7. A class
-    takes its smallest doc_id as name; null texts count as empty, rows without doc_id are left out. Copies collapse
-    before the join, so they are never paired. In a bucket of n classes each is compared with the bucket's others, as
-    rows of a join that Spark spreads, not in one task.
-    """
-    checkpoint_dir(docs.sparkSession)
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, print, bands): a hash of the shingle set, and one key per band of the signature."""
     bands = COMPONENTS // ROWS_PER_BAND
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            sets = [np.unique(h[a:b]) for h, bounds in shingles(column, width)
-                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            signed = signatures(column, width).astype(np.uint64).reshape(-1, bands, ROWS_PER_BAND)
+            prints = [sha256(np.unique(h[a:b]).tobytes()).digest()[:16] for h, bounds in shingles(column, width)
+                      for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            signed = signatures(column, width)[:, :bands * ROWS_PER_BAND].astype(np.uint64).reshape(-1, bands, ROWS_PER_BAND)
             keys = signed[:, :, 0].copy()
             for r in range(1, ROWS_PER_BAND):
-                keys = keys * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, r]
+                keys = mixed(keys) + signed[:, :, r]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "print", "shingles", "bands"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sign, "doc_id bigint, print binary, shingles array<bigint>, bands array<bigint>").checkpoint()
-    classes = rows.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    members = with_groups(rows.select("doc_id", "print"), classes, ["print"], "n").select("doc_id", "class_id")
-    firsts = rows.join(classes.select(F.col("class_id").alias("doc_id"), F.col("print").alias("_p")), "doc_id").where(
-        "print = _p").dropDuplicates(["doc_id"]).select("doc_id", "shingles", "bands").checkpoint()
-    keyed = firsts.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    left = keyed.select(F.col("doc_id").alias("left_id"), "band", "key")
-    right = keyed.select(F.col("doc_id").alias("right_id"), "band", "key")
-    near = left.join(right, ["band", "key"]).where("left_id < right_id").select("left_id", "right_id").distinct()
-    sides = [firsts.select(F.col("doc_id").alias(f"{s}_id"), F.col("shingles").alias(f"{s}_set")) for s in ("left", "right")]
+                [batch.column("doc_id"), pa.array(prints, pa.binary()),
+                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "print", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        work, "doc_id bigint, print binary, bands array<bigint>")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set): the distinct shingle hashes of the documents `ids`; a doc_id with several texts has its least set."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(h[a:b]).view(np.int64) for h, bounds in shingles(batch.column("text"), width)
+                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
+                                             ["doc_id", "set"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return chosen.mapInArrow(work, "doc_id bigint, set array<bigint>").groupBy("doc_id").agg(F.min("set").alias("set"))
+
+
+def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members gives each row's class, (doc_id, class_id), where a class is the texts with one shingle
+    set; pairs has (left_id, right_id, jaccard) of distinct classes with at least that similarity, left_id < right_id.
+
+    Candidates agree in a band of ROWS_PER_BAND components; a pair at 0.8 is missed with a chance of 5e-5, and every
+    candidate is verified on the full shingle sets of whole texts. A class takes its smallest doc_id as name; null texts
+    count as empty; rows without doc_id are left out; the classes of texts with equal doc_id are one. Copies collapse
+    before the join, so they are never paired. In a bucket of up to LEADERS classes all are compared with each other; in a
+    larger one, which only a large cloud of near copies or a common text can fill, each is compared with LEADERS of them,
+    drawn by hash anew for each band, so work stays in proportion to the rows.
+    """
+    checkpoint_dir(docs.sparkSession)
+    rows = _sketches(docs.where("doc_id is not null"), width).checkpoint()
+    classes = rows.groupBy("print").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.first("bands").alias("bands")).checkpoint()
+    members = with_groups(rows.select("doc_id", "print"), classes.select("print", "class_id", "n"), ["print"], "n").select(
+        "doc_id", "class_id")
+    keyed = classes.select("class_id", F.posexplode("bands").alias("band", "key")).withColumn(
+        "draw", F.xxhash64("class_id", "band"))
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = with_groups(keyed, buckets, ["band", "key"], "n").select("class_id", "band", "key", "draw", "n")
+    # The LEADERS smallest draws of a bucket: below a bound that leaves about twice as many, found without a sort.
+    lead = inside.where((F.col("n") <= LEADERS) | (
+        F.col("draw").cast("double") / 2.0 ** 64 + 0.5 < F.lit(2.0 * LEADERS) / F.col("n")))
+    heads = lead.groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("draw", "class_id"))).alias("all")).select(
+        "band", "key", F.slice("all", 1, LEADERS)["class_id"].alias("leaders"))
+    sized = heads.join(buckets, ["band", "key"])
+    near = with_groups(inside.select("class_id", "band", "key"), sized, ["band", "key"], "n").select(
+        "class_id", F.explode("leaders").alias("leader")).where("class_id <> leader").select(
+        F.least("class_id", "leader").alias("left_id"), F.greatest("class_id", "leader").alias("right_id")
+        ).distinct().checkpoint()
+    ids = near.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
+    sets = _sets(docs, ids, width).checkpoint()
+    sides = [sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("set").alias(f"{s}_set")) for s in ("left", "right")]
     common = F.size(F.array_intersect("left_set", "right_set"))
     jaccard = F.when(F.size("left_set") + F.size("right_set") == 0, 1.0).otherwise(
         common / (F.size("left_set") + F.size("right_set") - common))

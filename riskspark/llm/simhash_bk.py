@@ -149,9 +149,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), pa.array(targets, pa.int64())], ["src", "dst"])
 
 
-def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, print, component_id) per row: documents are linked if their fingerprints differ in at most `radius` bits,
-    and component_id is the smallest doc_id that links lead to, over any number of steps, the own one included.
+    and component_id is the smallest doc_id that links lead to, over any number of steps, the own one included. `more`
+    has further links, (src, dst) of doc_ids that occur once.
 
     Null and empty texts have fingerprint 0 and are linked like others. A null doc_id never becomes a component_id while
     its component has another. Repeated rows give repeated rows. Extra columns are left out. Links, components and
@@ -160,16 +161,22 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, width).checkpoint()
     classes = rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).checkpoint()
-    found = components(classes.select(F.col("print").alias("node")), links(classes.select("print"), radius).checkpoint())
+    edges = links(classes.select("print"), radius)
+    if more is not None:
+        ends = [rows.select(F.col("doc_id").alias(f"_{c}"), F.col("print").alias(f"_p_{c}")) for c in ("src", "dst")]
+        edges = edges.unionByName(more.join(ends[0], F.col("src") == F.col("_src")).join(
+            ends[1], F.col("dst") == F.col("_dst")).select(F.col("_p_src").alias("src"), F.col("_p_dst").alias("dst")))
+    found = components(classes.select(F.col("print").alias("node")), edges.checkpoint())
     placed = classes.join(found.withColumnRenamed("node", "print"), "print").checkpoint()
     roots = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("classes"))
     named = with_groups(placed, roots, ["component"], "classes").select("print", "n", "component_id")
     return with_groups(rows, named, ["print"], "n").select("doc_id", "print", "component_id")
 
 
-def first_rows(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def first_rows(docs: DataFrame, width: int = 3, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
     """The rows of `docs`, all columns, that stay: of each component the row with the smallest doc_id. A row without a
     doc_id stays, as it can't be told from others."""
-    kept = near_groups(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_groups(docs, width, radius, more).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null").select(
         *docs.columns)
