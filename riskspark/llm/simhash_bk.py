@@ -61,7 +61,10 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 at = where.tolist()
                 for a, b in zip(found.before[:-1].tolist(), found.before[1:].tolist(), strict=True):
                     n = min(width, b - a)
-                    last = b - n + 1 if n else a
+                    if not n:
+                        out.append(0)
+                        continue
+                    last = b - n + 1
                     out.append(simhash(np.array([digest(text[x:y - 1], SEED) for x, y in
                                                  zip(at[a:last], at[a + n:b + 1], strict=True)], np.uint64)))
             signed = np.array(out, np.uint64).view(np.int64)
@@ -178,5 +181,6 @@ def first_rows(docs: DataFrame, width: int = 3, radius: int = 2, more: DataFrame
     doc_id stays, as it can't be told from others."""
     kept = near_groups(docs, width, radius, more).where("doc_id = component_id").select(
         F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null").select(
-        *docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.join(kept, F.col("_row.doc_id") == F.col("_id"), "left").where(
+        "_id is not null or _row.doc_id is null").select("_row.*")
