@@ -242,11 +242,14 @@ LEFT JOIN ip_places i ON i.ip_address = e.ip_address
 LEFT JOIN ip_places l ON l.ip_address = v.prev_ip
 LEFT JOIN home_places h ON h.customer_id = e.customer_id""",
     "vectors": f"SELECT {OTHERS}, {VECTOR} FROM features",
-    "scores": f"""SELECT *, {r(sigmoid('fraud_probability'), 6)} AS calibrated_probability FROM (
+    "scores": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
+  {r('calibrated_probability', 6)} AS calibrated_probability) FROM raw_scores""",
+    "raw_scores": f"""SELECT *, {sigmoid('fraud_probability')} AS calibrated_probability FROM (
 SELECT *, {rule_score_sql()} AS rule_score, {HIGH_FIRED} AS high_rule_fired,
-  {r(heuristic("'" + C.CHAMPION_VERSION + "'"), 6)} AS fraud_probability, {REASON_CODES} AS reason_codes,
+  {heuristic("'" + C.CHAMPION_VERSION + "'")} AS fraud_probability, {REASON_CODES} AS reason_codes,
   '{C.CHAMPION_VERSION}' AS model_version FROM vectors)""",
-    "scored": f"""SELECT *,
+    "scored": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
+  {r('calibrated_probability', 6)} AS calibrated_probability, {r('final_score', 6)} AS final_score),
   CASE decision WHEN 'approve' THEN 'approved' WHEN 'hard_decline' THEN 'declined' WHEN 'manual_review' THEN 'review'
     WHEN 'step_up' THEN 'challenged' ELSE 'pending' END AS auth_status,
   CASE WHEN decision = 'manual_review' THEN CASE WHEN final_score >= 0.8 THEN 'high_risk'
@@ -257,7 +260,7 @@ FROM (SELECT *, CASE WHEN final_score >= 0.85::DOUBLE THEN 'hard_decline'
   WHEN final_score >= 0.55::DOUBLE OR high_rule_fired THEN 'manual_review'
   WHEN final_score >= 0.35::DOUBLE THEN 'step_up' ELSE 'approve' END AS decision
 FROM (SELECT *, {band('calibrated_probability')} AS risk_band,
-  {r('0.7::DOUBLE * calibrated_probability + 0.3::DOUBLE * rule_score', 6)} AS final_score FROM scores))""",
+  0.7::DOUBLE * calibrated_probability + 0.3::DOUBLE * rule_score AS final_score FROM raw_scores))""",
 }
 del FRAGMENTS["ordered_events"]
 _WORD = re.compile(r"[a-z_0-9]+")

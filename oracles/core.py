@@ -178,6 +178,7 @@ WHERE auth_event_id < (SELECT max(auth_event_id) FROM stored_events) ORDER BY au
 ORDER BY auth_event_id DESC LIMIT 10""",
     "queue_summary": """SELECT queue_name, count(*) FILTER (case_status = 'open') AS open,
   count(*) FILTER (case_status = 'in_progress') AS in_progress, count(*) FILTER (case_status = 'closed') AS closed,
+  count(*) FILTER (coalesce(case_status, '') NOT IN ('open', 'in_progress', 'closed')) AS other,
   count(*) AS total FROM cases GROUP BY queue_name""",
     "queue_age": f"""SELECT queue_name, count(*) FILTER (case_status = 'open') AS open_count,
   count(*) FILTER (case_status = 'in_progress') AS in_progress_count,

@@ -1,7 +1,8 @@
-"""Curves over score histograms: cumulative thresholds, exact AUC and average precision, global ranks.
+"""Curves over scores: cumulative thresholds, AUC and average precision, global ranks.
 
-Scores have at most six decimals, so a histogram by score has at most 1,000,001 rows per group however many rows were
-scored. It is built with partial aggregation; everything after it works on the histogram.
+Thresholds compare unrounded scores: each row falls into a bucket between two thresholds, and a few rows remain after
+partial aggregation. Ranking metrics work on a histogram at six decimals, at most 1,000,001 rows per group however many
+rows were scored; scores closer than that count as ties there.
 """
 
 from __future__ import annotations
@@ -32,14 +33,24 @@ def score_histogram(rows: DataFrame, groups: list[str] | None = None, amount: bo
         *(groups or []), "probability").agg(*measures)
 
 
-def threshold_totals(histogram: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Totals at or above and below each threshold, from one bucket per row and two cumulative sums over the buckets."""
-    cuts = sorted(thresholds)
+def threshold_buckets(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """n, n_fraud, fraud_usd, legit_usd per bucket: the number of ascending cuts at or below the unrounded score."""
     listed = F.array(*[F.lit(float(c)) for c in cuts])
-    bucketed = histogram.withColumn("bucket", F.size(F.filter(listed, lambda c: c <= F.col("probability"))))
+    bucket = F.size(F.filter(listed, lambda c: c <= F.col("probability")))
+    fraud = F.coalesce("is_fraud", F.lit(False))
+    return rows.where(F.col("probability").isNotNull()).groupBy(bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.count_if(fraud).alias("n_fraud"),
+        F.sum(F.when(fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("fraud_usd"),
+        F.sum(F.when(~fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("legit_usd"))
+
+
+def threshold_totals(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Totals at or above and below each threshold, from one bucket per row and two cumulative sums over the buckets.
+    `rows` holds probability, amount_usd and is_fraud (may be null); rows without a score are left out."""
+    cuts = sorted(thresholds)
     measures = ["n", "n_fraud", "fraud_usd", "legit_usd"]
-    per_bucket = bucketed.groupBy("bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    table = histogram.sparkSession.createDataFrame(
+    per_bucket = threshold_buckets(rows, cuts)
+    table = rows.sparkSession.createDataFrame(
         [(i, float(cuts[i - 1]) if i else None) for i in range(len(cuts) + 1)], "bucket int, threshold double")
     filled = F.broadcast(table).join(per_bucket, "bucket", "left").fillna(0, measures).select(
         "bucket", "threshold", *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
@@ -129,17 +140,33 @@ def top_share_totals(rows: DataFrame, shares: list[float], width: int = 1 << 20)
     straddled = placed.select("probability").distinct()
     inside = rows.withColumn("probability", rnd(F.col("probability"), 6)).join(F.broadcast(straddled), "probability")
     fraud = F.coalesce("is_fraud", F.lit(False))
-    ranked = sliced_totals(
-        inside.select(
-            "probability", F.col("auth_event_id").alias("t"), F.lit(1).alias("rank"),
-            F.when(fraud, (F.col("amount_usd") * 100).cast("bigint")).otherwise(F.lit(0)).alias("cents"),
-            F.when(F.col("is_fraud") == F.lit(False), 1).otherwise(0).alias("legit")),
-        ["probability"], ["rank", "cents", "legit"], [], width)
-    found = placed.join(ranked, (placed["probability"] == ranked["probability"])
-                        & (F.col("rank") == F.col("cut") - F.col("n_before")), "inner")
-    steps = found.select(
-        "step", F.col("cut").alias("n"),
-        (F.col("usd_before") + (F.col("cents").cast("decimal(20,0)") / 100)).cast("double").alias("fraud_usd"),
-        (F.col("legit_before") + F.col("legit")).alias("n_legit"))
+    cents = F.when(fraud, (F.col("amount_usd") * 100).cast("bigint")).otherwise(F.lit(0))
+    legit = F.when(F.col("is_fraud") == F.lit(False), 1).otherwise(0)
+    # Rows that share score and id are counted by what they add, then totalled: one row per id goes into the slices.
+    alike = inside.groupBy("probability", F.col("auth_event_id").alias("t"), cents.alias("cents"), legit.alias("legit")).agg(
+        F.count("*").alias("own"))
+    per_id = alike.groupBy("probability", "t").agg(
+        F.sum("own").alias("rank"), F.sum(F.col("cents") * F.col("own")).alias("cents"),
+        F.sum(F.col("legit") * F.col("own")).alias("legit"))
+    sums = ["rank", "cents", "legit"]
+    ranked = sliced_totals(per_id.select("*", *[F.col(c).alias(f"id_{c}") for c in sums]), ["probability"], sums,
+                           [f"id_{c}" for c in sums], width).select(
+        F.col("probability").alias("score"), "t", *[(F.col(c) - F.col(f"id_{c}")).alias(c) for c in sums], "id_rank")
+    within = F.col("cut") - F.col("n_before") - F.col("rank")
+    found = placed.join(ranked, (F.col("probability") == F.col("score")) & (within > 0) & (within <= F.col("id_rank")))
+    found = found.select("step", "cut", "usd_before", "legit_before", "score", "t", "cents", "legit", within.alias("need"))
+    # Inside the id of the cut: largest fraud first, then known genuine rows. As many rows as are needed count.
+    parts = alike.select(F.col("probability").alias("_p"), F.col("t").alias("_t"), F.col("cents").alias("part_cents"),
+                         F.col("legit").alias("part_legit"), "own")
+    order = Window.partitionBy("step").orderBy(F.desc("part_cents"), F.desc("part_legit"))
+    ahead = F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.least(F.col("own"), F.greatest(F.col("need") - F.col("ahead"), F.lit(0)))
+    steps = parts.join(F.broadcast(found), (F.col("_p") == F.col("score")) & (F.col("_t") == F.col("t"))).withColumn(
+        "ahead", ahead).groupBy("step", F.col("cut").alias("n"), "usd_before", "legit_before", "cents", "legit").agg(
+        F.sum(taken * F.col("part_cents")).alias("more_cents"), F.sum(taken * F.col("part_legit")).alias("more_legit")
+    ).select(
+        "step", "n", (F.col("usd_before") + ((F.col("cents") + F.col("more_cents")).cast("decimal(20,0)") / 100)).cast(
+            "double").alias("fraud_usd"),
+        (F.col("legit_before") + F.col("legit") + F.col("more_legit")).alias("n_legit"))
     return cuts.select("step").join(steps, "step", "left").select(
         "step", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "fraud_usd", "n_legit")])

@@ -140,9 +140,11 @@ def case_queue(case_rows: DataFrame, status: str = "open", queue: str | None = N
 
 
 def queue_summary(case_rows: DataFrame) -> DataFrame:
-    return case_rows.groupBy("queue_name").pivot("case_status", ["open", "in_progress", "closed"]).count().select(
-        "queue_name", *[F.coalesce(s, F.lit(0)).alias(s) for s in ("open", "in_progress", "closed")]).withColumn(
-        "total", F.col("open") + F.col("in_progress") + F.col("closed"))
+    """Cases per queue by status; `other` counts every status besides the three, and `total` all rows."""
+    named = ("open", "in_progress", "closed")
+    counts = [F.count_if(F.col("case_status") == s).alias(s) for s in named]
+    return case_rows.groupBy("queue_name").agg(*counts, F.count("*").alias("total")).withColumn(
+        "other", F.col("total") - F.col("open") - F.col("in_progress") - F.col("closed"))
 
 
 def queue_age(case_rows: DataFrame, as_of: Column) -> DataFrame:

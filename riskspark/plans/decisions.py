@@ -22,18 +22,19 @@ def score_events(features: DataFrame, rules: list[S.Rule] = S.DEFAULT_RULES,
     scored = vectorized(features).withColumns({
         "rule_score": S.rules_score(rules),
         "high_rule_fired": S.high_rule_fired(rules),
-        "fraud_probability": rnd(S.heuristic_score(F.lit(version)), 6),
+        "fraud_probability": S.heuristic_score(F.lit(version)),
         "reason_codes": S.reason_codes(),
         "model_version": F.lit(version),
     })
-    scored = scored.withColumn("calibrated_probability", rnd(S.calibrate_sigmoid(F.col("fraud_probability")), 6))
+    scored = scored.withColumn("calibrated_probability", S.calibrate_sigmoid(F.col("fraud_probability")))
     scored = scored.withColumns({
         "risk_band": S.risk_band(F.col("calibrated_probability")),
-        "final_score": rnd(S.blend(F.col("calibrated_probability"), F.col("rule_score")), 6),
+        "final_score": S.blend(F.col("calibrated_probability"), F.col("rule_score")),
     })
     scored = scored.withColumn("decision", S.decide(F.col("final_score"), F.col("high_rule_fired")))
+    # Whatever is decided is decided on unrounded scores; only what is put out has six decimals.
     return scored.withColumns({
         "auth_status": S.auth_status(F.col("decision")),
         "queue_name": F.when(F.col("decision") == "manual_review", S.case_queue_name(F.col("final_score"))),
         "priority": F.when(F.col("decision") == "manual_review", S.case_priority(F.col("final_score"))),
-    })
+    }).withColumns({c: rnd(F.col(c), 6) for c in ("fraud_probability", "calibrated_probability", "final_score")})

@@ -163,7 +163,7 @@ def scored_labelled(lake: Lake) -> DataFrame:
 
 def threshold_economics(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per threshold: who would be declined and what that would save. Unlabelled rows count as genuine."""
-    t = curves.threshold_totals(curves.score_histogram(rows), thresholds)
+    t = curves.threshold_totals(rows, thresholds)
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     declined = F.col("tp") + F.col("fp")
     return t.select(
@@ -177,7 +177,7 @@ def threshold_economics(rows: DataFrame, thresholds: list[float]) -> DataFrame:
 def optimize_threshold(rows: DataFrame, thresholds: list[float] = SWEEP) -> DataFrame:
     """The whole sweep with its optimum marked: best savings within the constraints, else best savings overall; the
     lowest threshold wins a tie."""
-    t = curves.threshold_totals(curves.score_histogram(rows), thresholds)
+    t = curves.threshold_totals(rows, thresholds)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     cost = (F.col("missed_usd") * F.lit(C.MISSED_FRAUD_COST) + F.col("fp_usd") * F.lit(C.FALSE_POSITIVE_COST)
             + (tp + fp) * F.lit(C.REVIEW_COST_USD))
@@ -200,11 +200,8 @@ def optimize_triple(rows: DataFrame) -> DataFrame:
     cuts = sorted({t for triple in triples for t in triple})
     spark = rows.sparkSession
     position = {c: i + 1 for i, c in enumerate(cuts)}
-    listed = F.array(*[F.lit(c) for c in cuts])
     # Buckets between neighbouring cut points: a few dozen rows carry everything the candidates need.
-    buckets = curves.score_histogram(rows).withColumn(
-        "bucket", F.size(F.filter(listed, lambda c: c <= F.col("probability")))).groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.sum("fraud_usd").alias("fraud_usd"), F.sum("legit_usd").alias("legit_usd"))
+    buckets = curves.threshold_buckets(rows, cuts).drop("n_fraud")
     candidates = spark.createDataFrame(
         [(i, d, r, s, position[d], position[r], position[s]) for i, (d, r, s) in enumerate(triples)],
         "i int, decline_threshold double, review_threshold double, step_up_threshold double, d int, r int, s int")

@@ -191,7 +191,7 @@ def range_velocity(lake: Lake) -> DataFrame:
 
 
 job("j_threshold_cross")(lambda lake: curves.threshold_totals(
-    curves.score_histogram(lake.scored_lines), economics.SWEEP).select("threshold", "tp", "fp", "fn", "tn"))
+    lake.scored_lines, economics.SWEEP).select("threshold", "tp", "fp", "fn", "tn"))
 job("j_dim_star")(lambda lake: lake.auth_events.join(lake.devices, "device_id", "left").join(
     lake.ips, "ip_address", "left").join(lake.customers, "customer_id", "left").select(
     "auth_event_id", "emulator_flag", "geo_country_code", "home_country_code"))

@@ -2,7 +2,7 @@
 its checkpoint and stops, so a scheduler may call it as often as results are wanted.
 
 Per-event features need exact look-back windows. They are computed in `foreachBatch` from the new events and the part
-of the event log inside the longest window, with the same operators as the batch job: these split hot keys into time
+of the event log that their entities have, with the same operators as the batch job: these split hot keys into time
 slices, which a per-key state could not. The log itself is the state; a repeated batch overwrites its own part of it.
 """
 
@@ -14,9 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from riskspark.functions import scoring as S
 from riskspark.operators import contracts
+from riskspark.operators.merge import latest
 from riskspark.plans.lake import Lake
 from riskspark.session import checkpoint_dir
 from riskspark.sources import tables
@@ -57,19 +60,57 @@ def _store(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def ingest(spark: SparkSession, folder: str, path: str, files_per_batch: int | None = None) -> StreamingQuery:
-    """Check each event once and split the feed into valid and quarantined rows."""
+def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to apply, late rows) of a batch, and a record of it under `path/progress`.
+
+    A row is late if it is older than the newest event of all earlier batches by more than `delay`. Late rows are returned,
+    not dropped, so each has a place in some output. A row to apply is the first with its id: repeats in the batch, and
+    repeats of rows that earlier batches applied inside the delay, are left out and counted. The record is written by the
+    sink with the batch, so a repeated batch replaces it and no count depends on what the progress listener still holds.
+    """
+    progress, ids = f"{path}/progress", f"{path}/ids"
+    mark = None
+    if number > 0 and _exists(spark, progress):
+        mark = spark.read.schema("newest timestamp_ntz, rows long, applied long, late long, batch int").parquet(
+            progress).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+    behind = F.lit(False) if mark is None else F.coalesce(
+        F.col("event_time") < F.lit(mark).cast("timestamp_ntz") - F.expr(f"interval {delay}"), F.lit(False))
+    marked = batch.withColumn("_late", behind).persist()
+    late = marked.where("_late").drop("_late")
+    first = Window.partitionBy("auth_event_id").orderBy("event_time")
+    fresh = marked.where("not _late").drop("_late").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    if mark is not None:
+        applied = spark.read.schema("auth_event_id long, event_time timestamp_ntz, batch int").parquet(ids).where(
+            (F.col("batch") < number)
+            & (F.col("event_time") >= F.lit(mark).cast("timestamp_ntz") - F.expr(f"interval {delay}")))
+        fresh = fresh.join(applied.select("auth_event_id"), "auth_event_id", "left_anti")
+    _store(fresh.select("auth_event_id", "event_time"), ids, number)
+    record = marked.agg(F.max("event_time").alias("newest"), F.count("*").alias("rows"), F.count_if("_late").alias("late"))
+    count = spark.read.parquet(f"{ids}/batch={number}").agg(F.count("*").alias("applied"))
+    _store(record.crossJoin(count).select("newest", "rows", "applied", "late"), progress, number)
+    return fresh, late
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def ingest(spark: SparkSession, folder: str, path: str, files_per_batch: int | None = None,
+           delay: str = LATENESS) -> StreamingQuery:
+    """Check each event once and split the feed into valid and quarantined rows; late rows are quarantined as such."""
     raw = tables.auth_events(read_feed(spark, folder, files_per_batch)).withColumn(
         "entry_mode", F.lit(None).cast("string"))
-    unique = timed(raw).dropDuplicatesWithinWatermark(["auth_event_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = contracts.validate(batch, contracts.AUTH_EVENT).persist()
-        _store(checked.where("valid").drop("errors", "valid", "event_ts"), f"{path}/valid", number)
-        _store(checked.where("not valid").drop("event_ts"), f"{path}/quarantine", number)
+        fresh, late = _intake(spark, batch, path, number, delay)
+        checked = contracts.validate(fresh, contracts.AUTH_EVENT).persist()
+        _store(checked.where("valid").drop("errors", "valid"), f"{path}/valid", number)
+        held = late.withColumns({"errors": F.array(F.lit(f"late: more than {delay} behind")), "valid": F.lit(False)})
+        _store(checked.where("not valid").unionByName(held), f"{path}/quarantine", number)
         checked.unpersist()
 
-    return run(unique, write, path)
+    return run(raw, write, path)
 
 
 def ingested(lake: Lake) -> DataFrame:
@@ -82,36 +123,64 @@ def ingested(lake: Lake) -> DataFrame:
     return valid.unionByName(held)
 
 
-def score(lake: Lake, path: str, files_per_batch: int | None = None, folder: str | None = None) -> StreamingQuery:
+ENTITIES = ["customer_id", "card_id", "merchant_id", "device_id", "ip_address"]
+
+
+def _history(past: DataFrame, new: DataFrame, chargebacks: DataFrame, horizon_days: int) -> DataFrame:
+    """The rows of the log that features of the new events can depend on.
+
+    Inside the longest window: the rows that share an entity with a new event. Before it: per customer of the batch the
+    last event and the last event with an address, for the distance and the gap to the previous event, however long ago;
+    and the authorizations of a merchant's chargebacks, which count from receipt, not from the authorization.
+    """
+    oldest = new.agg(F.min("event_time")).first()[0]
+    cut = F.to_date(F.lit(oldest).cast("timestamp_ntz") - F.make_dt_interval(F.lit(horizon_days)))
+    recent, older = past.where(F.col("event_date") >= cut), past.where(F.col("event_date") < cut)
+    parts = [recent.join(new.select(c).distinct(), c, "left_semi") for c in ENTITIES]
+    mine = older.join(new.select("customer_id").distinct(), "customer_id", "left_semi")
+    parts += [latest(rows, ["customer_id"], ["event_time", "auth_event_id"], [c for c in past.columns if c != "customer_id"])
+              .select(*past.columns) for rows in (mine, mine.where("ip_address is not null"))]
+    parts.append(older.join(chargebacks.select("auth_event_id").distinct(), "auth_event_id", "left_semi").join(
+        new.select("merchant_id").distinct(), "merchant_id", "left_semi"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates(["auth_event_id"])
+
+
+def score(lake: Lake, path: str, files_per_batch: int | None = None, folder: str | None = None,
+          delay: str = LATENESS) -> StreamingQuery:
     """Score the feed: features of the new events over the log, rules, model and decision, appended per batch.
 
-    Events behind the watermark are dropped by the deduplication and never reach the log.
+    A batch reads only the part of the log that its own entities have; the log keeps all rows. Late rows are kept and
+    counted under `path/late`, and are not scored: their time has been scored without them.
     """
     from riskspark.plans.decisions import score_events
     from riskspark.plans.features import P95_HORIZON, event_features
 
     spark = lake.spark
     raw = tables.normalized_events(tables.auth_events(read_feed(spark, folder or lake.folder, files_per_batch)))
-    unique = timed(raw).dropDuplicatesWithinWatermark(["auth_event_id"]).drop("event_ts")
     log = f"{path}/log"
 
     def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        dated = batch.withColumn("event_date", F.to_date("event_time"))
+        fresh, late = _intake(spark, batch, path, number, delay)
+        _store(late, f"{path}/late", number)
+        dated = fresh.withColumn("event_date", F.to_date("event_time"))
         dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{log}/batch={number}")
-        new = spark.read.parquet(f"{log}/batch={number}").drop("event_date")
-        oldest = new.agg(F.min("event_time")).first()[0]
-        stored = spark.read.parquet(log).where(
-            (F.col("batch") <= number)
-            & (F.col("event_date") >= F.to_date(F.lit(oldest) - F.make_dt_interval(F.lit(P95_HORIZON // 86_400_000_000))))
-        ).drop("batch", "event_date")
+        schema = StructType([*fresh.schema.fields, StructField("event_date", DateType())])
+        new = spark.read.schema(schema).parquet(f"{log}/batch={number}").drop("event_date")
+        if new.isEmpty():
+            return
+        logged = spark.read.schema(schema.add("batch", IntegerType())).parquet(log).where(F.col("batch") < number).drop("batch")
         chargebacks = lake.chargebacks
-        features = event_features(stored, chargebacks, lake.customers, lake.devices, lake.ips, lake.gazetteer)
+        past = _history(logged, new, chargebacks, P95_HORIZON // 86_400_000_000).drop("event_date")
+        features = event_features(past.unionByName(new), chargebacks, lake.customers, lake.devices, lake.ips, lake.gazetteer)
         mine = features.join(new.select("auth_event_id"), "auth_event_id", "left_semi")
         _store(score_events(mine), f"{path}/scored", number)
 
-    return run(unique, write, path)
+    return run(raw, write, path)
 
 
 def scored(lake: Lake) -> DataFrame:
@@ -165,8 +234,6 @@ def rule_topk(lake: Lake, k: int = 10) -> DataFrame:
         F.filter(S.rule_rows(), lambda rule: rule["fired"]), lambda rule: rule["rule_name"])).alias("rule_name"))
     totals = fired.groupBy(F.window("event_ts", "1 hour"), "rule_name").agg(F.count("*").alias("fires"))
     counts = windowed(spark, totals, ["rule_name"], f"{path}/topk")
-    from pyspark.sql.window import Window
-
     # At most one row per rule and hour.
     order = Window.partitionBy("window_start").orderBy(F.col("fires").desc(), "rule_name")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -192,16 +259,15 @@ def label_join(lake: Lake, folder: str | None = None, files_per_batch: int | Non
     return spark.read.parquet(f"{path}/joined").drop("batch")
 
 
-def late_rows(lake: Lake, folder: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """How many events were applied and how many came too late, from the progress of the deduplicating query."""
+def late_rows(lake: Lake, folder: str | None = None, files_per_batch: int | None = None,
+              delay: str = LATENESS) -> DataFrame:
+    """How many events were applied and how many came too late, from the record that the sink keeps of every batch."""
     spark = lake.spark
     path = run_folder(spark)
     raw = tables.auth_events(read_feed(spark, folder or lake.folder, files_per_batch))
-    unique = timed(raw).dropDuplicatesWithinWatermark(["auth_event_id"]).select("auth_event_id")
-    query = run(unique, lambda batch, number: _store(batch, f"{path}/applied", number), path)
-    dropped = sum(state["numRowsDroppedByWatermark"] for step in query.recentProgress for state in step["stateOperators"])
-    return spark.read.parquet(f"{path}/applied").agg(
-        F.count("*").alias("applied"), F.lit(int(dropped)).cast("bigint").alias("dropped"))
+    run(raw, lambda batch, number: _store(_intake(spark, batch, path, number, delay)[1], f"{path}/late", number), path)
+    return spark.read.parquet(f"{path}/progress").agg(
+        F.coalesce(F.sum("applied"), F.lit(0)).alias("applied"), F.coalesce(F.sum("late"), F.lit(0)).alias("dropped"))
 
 
 def velocity_sliding(lake: Lake) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,29 @@ def test_similarity_in_several_passes(spark, monkeypatch):
     cosine = asked @ store.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(store, axis=1)
     for q in range(9):
         assert [got[q, i + 1] for i in range(3)] == list(np.argsort(-cosine[q])[:3])
+
+
+def test_top_share_with_repeated_ids(spark):
+    """Each id twice: every step is filled, with as many rows as it asks for."""
+    rows = [(i // 2, 0.5, Decimal(i), i % 3 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "auth_event_id long, probability double, amount_usd decimal(18,2), is_fraud boolean")
+    got = curves.top_share_totals(df, [k / 20 for k in range(1, 21)], 4).orderBy("step").collect()
+    ordered = sorted(rows, key=lambda r: (r[0], -(r[2] if r[3] else 0), r[3]))
+    for k, r in enumerate(got, 1):
+        assert (r.n, r.fraud_usd, r.n_legit) == (
+            k, float(sum(x[2] for x in ordered[:k] if x[3])), sum(not x[3] for x in ordered[:k]))
+
+
+def test_thresholds_compare_unrounded_scores(spark):
+    df = spark.createDataFrame([(0.5499996, Decimal(1), True), (0.55, Decimal(2), False), (None, Decimal(3), True)],
+                               "probability double, amount_usd decimal(18,2), is_fraud boolean")
+    (row,) = curves.threshold_totals(df, [0.55]).collect()
+    assert (row.tp, row.fp, row.fn, row.tn) == (0, 1, 1, 0)
+
+
+def test_queue_summary_totals_every_status(spark):
+    from riskspark.plans.dashboard import queue_summary
+
+    states = ["open", "resolved_fraud", "resolved_not_fraud", "escalated", None, "closed"]
+    (row,) = queue_summary(spark.createDataFrame([("q", s) for s in states], "queue_name string, case_status string")).collect()
+    assert (row.open, row.in_progress, row.closed, row.other, row.total) == (1, 0, 1, 4, 6)

@@ -75,3 +75,60 @@ def test_late_events_are_counted(lake, weekly, tmp_path):
 def test_sliding_velocity(lake):
     windows = feeds.velocity_sliding(lake)
     assert windows.agg(F.sum("n")).first()[0] == 6 * lake.events.count()
+
+
+def test_long_feed_with_late_chargebacks_scores_as_in_batch(lake, tmp_path):
+    """The month stretched to 200 days: previous events and authorizations lie further back than the longest window."""
+    from types import SimpleNamespace
+
+    from riskspark.plans.features import event_features
+    from riskspark.sources import tables
+
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    seconds = F.timestamp_diff("SECOND", start, F.col("ts"))
+    stretched = lake.events.withColumn("ts", F.timestamp_add("SECOND", (seconds * 7).cast("int"), start)).persist()
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    import glob
+    import shutil
+
+    for i in range(3):
+        part = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 70), F.lit(2)) == i
+        stretched.where(part).coalesce(1).write.parquet(f"{tmp_path}/raw{i}")
+        for source in glob.glob(f"{tmp_path}/raw{i}/*.parquet"):
+            shutil.copy(source, feed / f"events-{i}.parquet")
+        time.sleep(1.1)
+    events = tables.normalized_events(tables.auth_events(stretched))
+    chargebacks = events.where("auth_event_id % 5 = 0").select(
+        "auth_event_id", (F.col("event_time") + F.make_dt_interval(F.lit(115))).alias("chargeback_received_at"))
+    view = SimpleNamespace(spark=lake.spark, folder=str(feed), chargebacks=chargebacks, customers=lake.customers,
+                           devices=lake.devices, ips=lake.ips, gazetteer=lake.gazetteer)
+    feeds.score(view, str(tmp_path / "out"), files_per_batch=1)
+    columns = ["auth_event_id", *FEATURES]
+    want = event_features(events, chargebacks, lake.customers, lake.devices, lake.ips, lake.gazetteer).select(*columns)
+    from riskspark.plans.decisions import score_events
+
+    got = lake.spark.read.parquet(f"{tmp_path}/out/scored").select(*columns)
+    assert got.where("merchant_chargeback_rate_30d > 0").count() > 0
+    vectors = score_events(want).select(*columns)
+    assert sorted(spark_rows(got)[1], key=str) == sorted(spark_rows(vectors)[1], key=str)
+
+
+def test_late_events_are_quarantined(lake, weekly, tmp_path):
+    import glob
+    import shutil
+
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    for path in sorted(glob.glob(f"{weekly}/*.parquet")):
+        shutil.copy2(path, feed)
+    old = lake.events.where(F.dayofmonth("ts") <= 3).withColumn("event_id", F.col("event_id") + 10**9)
+    old.coalesce(1).write.parquet(f"{tmp_path}/raw")
+    time.sleep(1.1)
+    for path in glob.glob(f"{tmp_path}/raw/*.parquet"):
+        shutil.copy(path, feed / "events-late.parquet")
+    feeds.ingest(lake.spark, str(feed), str(tmp_path / "out"), files_per_batch=1)
+    held = lake.spark.read.parquet(f"{tmp_path}/out/quarantine").where(F.exists("errors", lambda e: e.startswith("late")))
+    assert held.count() == old.count()
+    rows = sum(lake.spark.read.parquet(f"{tmp_path}/out/{kind}").count() for kind in ("valid", "quarantine"))
+    assert rows == lake.events.count() + old.count()
