@@ -94,7 +94,7 @@ def _differing(candidates: DataFrame) -> DataFrame:
             for run in runs(batch.column("text")):
                 data, bounds = normalised(run)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    if lead[row]:
+                    if lead[row] and group != keys[row]:
                         group, first = keys[row], data[a:b].copy()
                     elif group != keys[row]:
                         raise ValueError("a copy came without the first text of its group")
@@ -148,11 +148,11 @@ def _candidates(source: DataFrame, rows: DataFrame) -> DataFrame:
                           F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
     length = F.octet_length(F.regexp_replace("text", SPACES, " "))
     texts = keyed.join(ids, ["_id", "_none"]).where(length == F.col("length"))
-    leads = texts.where("doc_id <=> keep_id").groupBy(*KEY, "parts").agg(F.min("text").alias("text")).select(
-        *KEY, F.lit(True).alias("lead"), "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    copies = texts.select(*KEY, F.lit(False).alias("lead"), "text",
-                          F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    return leads.unionByName(copies).repartition(*KEY, "part").sortWithinPartitions(*KEY, "part", F.desc("lead"))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    parts = F.when(first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    dealt = texts.select(*KEY, first.alias("lead"), "text", F.explode(parts).alias("part"))
+    return dealt.repartition(*KEY, "part").sortWithinPartitions(*KEY, "part", F.desc("lead"))
 
 
 def first_rows(docs: DataFrame) -> DataFrame:
