@@ -76,6 +76,7 @@ _economics = f"""SELECT threshold, {ratio('fn + tn', 'n')} AS approval_rate, {ra
   {r('prevented - fp_usd - (tp + fp) * 15.0::DOUBLE', 2)} AS net_savings FROM screen_sweep"""
 FRAGMENTS["screen_economics"] = _economics
 
+_window = "event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-22'"
 BODIES = {
     "economics_summary": business("decided"),
     "economics_by_segment": business(
@@ -129,4 +130,8 @@ GROUP BY 1""",
     "j_dim_star": """SELECT e.auth_event_id, d.emulator_flag, i.geo_country_code, h.home_country_code FROM stored_events e
 LEFT JOIN dim_device d USING (device_id) LEFT JOIN dim_ip i USING (ip_address) LEFT JOIN dim_customer h USING (customer_id)""",
 }
+BODIES["economics_by_segment_window"] = BODIES["economics_by_segment"].replace(
+    "FROM decided d", f"FROM (SELECT * FROM decided WHERE {_window}) d")
+BODIES["loss_curve_window"] = BODIES["loss_curve"].replace(
+    "FROM scored_labelled", f"FROM (SELECT * FROM scored_labelled WHERE {_window})")
 ORACLES = {name: sql(body) for name, body in BODIES.items()}

@@ -7,6 +7,7 @@ from oracles.base import (
     FRAGMENTS, by_probability, heuristic, r, ratio, sigmoid, sql,
 )
 from oracles.core import BODIES as CORE
+from oracles.economics import BODIES as ECONOMICS_BODIES
 from riskspark import constants as C
 
 LGB = C.SHADOW_VERSIONS[0]
@@ -186,6 +187,8 @@ FROM (SELECT x.calibrated_probability AS a, y.calibrated_probability AS b FROM a
   count(*) FILTER (offline IS NULL) AS missing_count,
   {r('coalesce(avg(delta) FILTER (delta > 0.01), 0)', 4)} AS mean_absolute_error,
   {r('coalesce(max(delta) FILTER (delta > 0.01), 0)', 4)} AS max_error FROM parity GROUP BY 1""",
+    "parity_totals": """SELECT count(*) AS checked, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM (
+SELECT auth_event_id, count(*) FILTER (delta > 0.01 OR offline IS NULL) = 0 AS ok FROM parity GROUP BY 1)""",
     "worst_mismatch": f"""SELECT auth_event_id, feature, {r('delta', 4)} AS delta FROM parity WHERE delta > 0.01
 ORDER BY 3 DESC, 1, 2 LIMIT 20""",
     "metric_scoring": f"""SELECT CASE WHEN request_id % 2 = 0 THEN '{C.CHAMPION_VERSION}' ELSE '{LGB}' END AS model_version,
@@ -262,8 +265,8 @@ ORDER BY 2 DESC, 1 LIMIT 10""",
     "w_geo_home": feature_view("geo_distance_from_home_km"),
     "w_geo_last": feature_view("geo_distance_from_last_txn_km"),
     "w_seconds_since_last": feature_view("seconds_since_last_txn"),
-    "j_backfill_anti": """SELECT auth_event_id, event_time AS as_of_time, 'v2.3.1' AS feature_version,
-  DATE '2024-01-25' AS label_snapshot_date FROM auth_events
+    "j_backfill_anti": f"""SELECT auth_event_id, event_time AS as_of_time, 'v2.3.1' AS feature_version,
+  DATE '2024-01-25' AS label_snapshot_date, {', '.join(C.FEATURES)} FROM features
 WHERE event_time < TIMESTAMP '2024-01-24' AND auth_event_id % 7 <> 0""",
     "label_snapshot": """SELECT e.auth_event_id, DATE '2024-02-25' AS snapshot_date, l.label_source AS label_status,
   l.is_fraud AS is_fraud_snapshot, 30 AS maturity_days FROM auth_events e
@@ -301,7 +304,9 @@ LEFT JOIN (SELECT auth_event_id, count(*) AS n FROM fraud_labels GROUP BY 1) l U
   AND auth_event_id % 7 <> 0
 UNION ALL SELECT 'label_snapshot', count(DISTINCT auth_event_id) FROM auth_events e JOIN fraud_labels l USING (auth_event_id)
   WHERE e.event_time < TIMESTAMP '2024-01-27' AND auth_event_id % 9 <> 0 AND l.label_received_at <= TIMESTAMP '2024-02-03'
-UNION ALL SELECT 'drift', 19 UNION ALL SELECT 'shadow', 1""",
+UNION ALL SELECT 'drift', count(DISTINCT feature) FROM daily_long
+UNION ALL SELECT 'shadow', count(*) FROM (SELECT count(*) FROM all_scores
+  WHERE event_time >= TIMESTAMP '2024-02-02' AND event_time < TIMESTAMP '2024-02-03')""",
 }
 ORACLES = {name: sql(body) for name, body in BODIES.items()}
 _early = {
@@ -314,3 +319,22 @@ _mature = BODIES["label_snapshot"].replace("is_fraud AS is_fraud_snapshot", "is_
 ORACLES["training_set"] = sql(f"""SELECT auth_event_id, is_fraud, {', '.join(C.FEATURES)},
   ('0x' || substr(md5(CAST(is_fraud::INT AS VARCHAR) || ':' || auth_event_id), 1, 8))::BIGINT % 5 = 0 AS is_test
 FROM vectors JOIN ({_mature}) s USING (auth_event_id)""")
+_tables = {"economics": "economics_table", "replay": "replay_rows", "model_card": "model_cards"}
+_fields = {
+    "economics": [(n, f"{n} < 0 OR {n} > 1" if n.endswith("_rate") else "false" if n == "net_fraud_savings_usd" else f"{n} < 0")
+                  for n in ("total_transactions", "total_volume_usd", "fraud_transactions", "fraud_volume_usd",
+                            "prevented_fraud_usd", "missed_fraud_usd", "false_positive_count", "false_positive_volume_usd",
+                            "manual_review_count", "manual_review_cost_usd", "approval_rate", "decline_rate", "review_rate",
+                            "challenge_rate", "fraud_basis_points", "net_fraud_savings_usd", "customer_friction_rate")],
+    "replay": [("auth_event_id", "false"), ("rules_fired", "false"), ("decision_type", "decision_type = ''"),
+               ("decision_correct", "false"), ("time_to_label_seconds", "time_to_label_seconds < 0")],
+    "model_card": [("model_version", "model_version = ''"), ("model_type", "false"), ("feature_version", "false"),
+                   ("threshold_decline", "threshold_decline < 0 OR threshold_decline > 1"),
+                   ("auc_roc", "auc_roc < 0 OR auc_roc > 1"), ("top_importances", "false")],
+}
+ORACLES["contract_report"] = sql(" UNION ALL ".join(
+    f"SELECT '{report}' AS report, '{name}' AS field, count(*) AS n_rows, count(*) FILTER ({name} IS NULL) AS n_null, "
+    f"count(*) FILTER ({broken}) AS n_broken FROM {_tables[report]}"
+    for report, fields in _fields.items() for name, broken in fields),
+    {"economics_table": ECONOMICS_BODIES["economics_summary"], "replay_rows": BODIES["replay_decision"],
+     "model_cards": BODIES["model_card"]})

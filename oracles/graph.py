@@ -93,12 +93,12 @@ FROM near JOIN graph_nodes USING (node) JOIN range(1, 4) w(within) ON w.within >
     ELSE 'none' END AS pattern_type
 FROM comp_totals t LEFT JOIN (SELECT component, count(*) AS n FROM graph_pairs JOIN comps ON comps.node = a WHERE a < b GROUP BY 1) e
   USING (component)""",
-    "graph_cluster_feature": f"""SELECT auth_event_id, graph_cluster_risk_score, fraud_probability, calibrated_probability, final_score,
-  CASE WHEN final_score >= 0.85 THEN 'hard_decline' WHEN final_score >= 0.55 OR high THEN 'manual_review'
+    "graph_cluster_feature": f"""SELECT auth_event_id, graph_cluster_risk_score, {r('fraud_probability', 6)} AS fraud_probability,
+  {r('calibrated_probability', 6)} AS calibrated_probability, {r('final_score', 6)} AS final_score, CASE WHEN final_score >= 0.85 THEN 'hard_decline' WHEN final_score >= 0.55 OR high THEN 'manual_review'
     WHEN final_score >= 0.35 THEN 'step_up' ELSE 'approve' END AS decision FROM (
-SELECT *, {r('0.7::DOUBLE * calibrated_probability + 0.3::DOUBLE * rule_score', 6)} AS final_score FROM (
-SELECT *, {r(sigmoid('fraud_probability'), 6)} AS calibrated_probability FROM (
-SELECT auth_event_id, graph_cluster_risk_score, {r(heuristic("'" + C.CHAMPION_VERSION + "'"), 6)} AS fraud_probability,
+SELECT *, 0.7::DOUBLE * calibrated_probability + 0.3::DOUBLE * rule_score AS final_score FROM (
+SELECT *, {sigmoid('fraud_probability')} AS calibrated_probability FROM (
+SELECT auth_event_id, graph_cluster_risk_score, {heuristic("'" + C.CHAMPION_VERSION + "'")} AS fraud_probability,
   {rule_score_sql()} AS rule_score, {HIGH_FIRED} AS high FROM risky_vectors)))""",
     "j_txn_360": """SELECT e.auth_event_id, e.customer_id, e.auth_amount, 2 AS n_scores,
   (SELECT string_agg(risk_band, ',' ORDER BY shadow) FROM all_scores s WHERE s.auth_event_id = e.auth_event_id) AS bands,

@@ -82,9 +82,17 @@ def coerce_features(df: DataFrame, source: str = "feature_json") -> DataFrame:
     return parsed.select(*df.columns, *[feature(name) for name in C.FEATURES if name not in df.columns])
 
 
-def schema_report(df: DataFrame, expected: dict[str, str], report: str) -> DataFrame:
-    """One row per expected field: its type in the frame and whether it is as agreed."""
+def table_report(df: DataFrame, expected: dict[str, str], rules: dict[str, str], report: str) -> DataFrame:
+    """One row per agreed field: rows of the table, rows without a value, and rows that break the field's rule, an SQL text
+    that is true where broken. A field that is missing or has another type than agreed is broken in every row."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = [(report, name, kind, actual.get(name), actual.get(name) == kind) for name, kind in expected.items()]
-    return df.sparkSession.createDataFrame(
-        rows, "report string, field string, expected string, actual string, ok boolean")
+    fields = []
+    for name, kind in expected.items():
+        fits = actual.get(name) == kind
+        broken = F.count_if(F.coalesce(F.expr(rules[name]), F.lit(False))) if fits and name in rules else (
+            F.lit(0).cast("long") if fits else F.count("*"))
+        empty = F.count_if(F.col(name).isNull()) if name in actual else F.count("*")
+        fields.append(F.struct(F.lit(report).alias("report"), F.lit(name).alias("field"), F.count("*").alias("n_rows"),
+                               empty.alias("n_null"), broken.alias("n_broken")).alias(f"_{len(fields)}"))
+    one = df.agg(*fields)
+    return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")

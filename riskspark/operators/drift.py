@@ -18,29 +18,37 @@ def long_features(rows: DataFrame, names: list[str], keep: list[str]) -> DataFra
     return rows.select(*keep, F.stack(F.lit(len(names)), *pairs).alias("feature", "value"))
 
 
-def binned(long: DataFrame, groups: list[str], side: str) -> DataFrame:
-    """Counts per (groups, bin 0..9) for both sides over their joint range, with range, means and null counts.
+def binned_features(rows: DataFrame, names: list[str], groups: list[str], side: str) -> DataFrame:
+    """Counts per (groups, feature, bin 0..9) for both sides over their joint range, with range, means and null counts.
 
-    `side` is a boolean column: true for the later (production) side. The range table has one row per group.
+    `side` is a boolean column: true for the later (production) side. Ranges come from one aggregate over the wide rows,
+    the bin of each value is found in its row, and what is shuffled are counts per bin, not values.
     """
     p = F.col(side)
-    value = F.col("value")
-    spread = long.groupBy(*groups).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.sum(F.when(~p, value.cast(EXACT))).cast("double").alias("train_sum"),
-        F.sum(F.when(p, value.cast(EXACT))).cast("double").alias("prod_sum"),
-        F.count(F.when(~p, value)).alias("n_train"), F.count(F.when(p, value)).alias("n_prod"),
-        F.count_if(p).alias("prod_rows"))
-    scaled = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
-    # Equal values collapse first, so the range is joined to the distinct values only.
-    counted = long.where(value.isNotNull()).groupBy(*groups, "value").agg(
+    values = [F.col(name).cast("double") for name in names]
+    wide = rows.groupBy(*groups).agg(*[F.struct(
+        F.lit(name).alias("feature"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.sum(F.when(~p, v.cast(EXACT))).cast("double").alias("train_sum"),
+        F.sum(F.when(p, v.cast(EXACT))).cast("double").alias("prod_sum"),
+        F.count(F.when(~p, v)).alias("n_train"), F.count(F.when(p, v)).alias("n_prod"),
+        F.count_if(p).alias("prod_rows")).alias(f"_f{i}") for i, (name, v) in enumerate(zip(names, values, strict=True))])
+    parts = F.array(*[F.col(f"_f{i}") for i in range(len(names))])
+    spread = wide.select(*groups, F.explode(parts).alias("_s")).select(*groups, "_s.*")
+    ranges = wide.select(*groups, parts.alias("_ranges"))
+    placed = rows.join(ranges, groups) if groups else rows.crossJoin(F.broadcast(ranges))  # one row without groups
+    items = []
+    for i, (name, v) in enumerate(zip(names, values, strict=True)):
+        lo, hi = F.col("_ranges")[i]["lo"], F.col("_ranges")[i]["hi"]
+        # `least` passes over nulls, so they are left out first.
+        items += [F.lit(name), F.when((hi > lo) & v.isNotNull(), F.least(F.floor((v - lo) / (hi - lo) * BINS), F.lit(BINS - 1)))]
+    bins = placed.select(*groups, side, F.stack(F.lit(len(names)), *items).alias("feature", "bin")).where(
+        F.col("bin").isNotNull()).groupBy(*groups, "feature", "bin").agg(
         F.count_if(~p).alias("t"), F.count_if(p).alias("q"))
-    bins = counted.join(spread.select(*groups, "lo", "hi"), groups).where(F.col("hi") > F.col("lo")).withColumn(
-        "bin", F.least(scaled, F.lit(BINS - 1))).groupBy(*groups, "bin").agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
-    table = bins.groupBy(*groups).agg(*[
+    keys = [*groups, "feature"]
+    table = bins.groupBy(*keys).agg(*[
         F.coalesce(F.sum(F.when(F.col("bin") == b, F.col(c))), F.lit(0)).alias(f"{c}{b}")
         for b in range(BINS) for c in ("t", "q")])
-    return spread.join(table, groups, "left")
+    return spread.join(table, keys, "left")
 
 
 def _sum(parts: list[Column]) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
 MAX_ROUNDS = 60
@@ -31,7 +32,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): every node with the smallest node id it is connected to.
 
     Alternating large-star and small-star rounds. Each round takes one minimum per node (combined before the shuffle)
-    and joins it back to the edges; the number of rounds grows with the logarithm of the longest chain. Each round is
+    and joins it back to the edges, hubs by a bounded broadcast, so no task holds all edges of a hub; the number of rounds grows with the logarithm of the longest chain. Each round is
     checkpointed to the shared folder, which keeps the plan short and survives the loss of executors.
     """
     checkpoint_dir(nodes.sparkSession)
@@ -42,11 +43,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node is linked to the smallest node near it.
         both = pairs.select(
             F.stack(F.lit(2), F.col("u"), F.col("v"), F.col("v"), F.col("u")).alias("x", "y"))
-        smallest = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(smallest, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        smallest = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        large = with_groups(both.where("y > x"), smallest, ["x"], "n").select(
+            F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_groups(large, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         after = _state(pairs)
         if after == before:

@@ -126,19 +126,25 @@ def _decided(lake: Lake, extra: DataFrame | None = None) -> DataFrame:
 
 def summary(lake: Lake, start=None, end=None, country: str | None = None) -> DataFrame:
     """The 17 figures over [start, end), optionally for one merchant country; zeros when nothing matches."""
-    events = lake.auth_events
-    if start is not None:
-        events = events.where(F.col("event_time") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        events = events.where(F.col("event_time") < F.lit(end).cast("timestamp_ntz"))
+    events = within(lake.auth_events, start, end)
     if country is not None:
         events = events.where(F.col("merchant_country_code") == country)
     return business_metrics(_decided(lake, events))
 
 
-def by_segment(lake: Lake) -> DataFrame:
-    """The same figures for five segmentations at once; events of unknown merchants leave the mcc segmentation."""
-    banded = lake.scored_events.select(
+def within(rows: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The rows of [start, end); a side that is None is open."""
+    if start is not None:
+        rows = rows.where(F.col("event_time") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        rows = rows.where(F.col("event_time") < F.lit(end).cast("timestamp_ntz"))
+    return rows
+
+
+def by_segment(lake: Lake, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The same figures over [start, end) for five segmentations at once; events of unknown merchants leave the mcc
+    segmentation."""
+    banded = within(lake.scored_events, start, end).select(
         "auth_event_id", "merchant_id", "merchant_country_code", "channel", "auth_type", "billing_amount_usd",
         "auth_amount", "risk_band")
     mcc = lake.merchants.select("merchant_id", "mcc")
@@ -240,8 +246,9 @@ def best_threshold(lake: Lake) -> DataFrame:
         F.max("net_savings").alias("net_savings"))
 
 
-def loss_curve(rows: DataFrame) -> DataFrame:
-    """Cumulative fraud caught, false positives and load at each tenth of the rows by descending score."""
+def loss_curve(rows: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Cumulative fraud caught, false positives and load at each tenth of the rows of [start, end) by descending score."""
+    rows = within(rows, start, end)
     return curves.top_share_totals(rows, [d / 10.0 for d in range(1, 11)]).select(
         F.col("step").alias("decile"), rnd(F.col("fraud_usd"), 2).alias("cumulative_fraud_caught_usd"),
         F.col("n_legit").alias("cumulative_false_positives"), F.col("n").alias("cumulative_review_load"))

@@ -98,16 +98,10 @@ def eval_regression(results: DataFrame, baseline: str, current: str, max_drop_pc
         F.coalesce(judged & (change < -max_drop_pct), F.lit(False)).alias("regressed"))
 
 
-def split_features(features: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """Long features of both sides of the drift split; `production` marks the later side."""
-    keep = [*(groups or []), "production"]
-    return drift.long_features(
-        features.withColumn("production", F.col("event_time") >= _at(DRIFT_SPLIT)), C.FEATURES, keep)
-
-
 def feature_drift(features: DataFrame, groups: list[str] | None = None) -> DataFrame:
     groups = groups or []
-    table = drift.binned(split_features(features, groups), [*groups, "feature"], "production")
+    sides = features.withColumn("production", F.col("event_time") >= _at(DRIFT_SPLIT))
+    table = drift.binned_features(sides, C.FEATURES, groups, "production")
     psi, js = rnd(drift.psi_clipped(), 6), rnd(drift.jensen_shannon(), 6)
     return table.select(
         *groups, "feature", psi.alias("psi"), js.alias("js"),
@@ -126,8 +120,7 @@ def daily_drift(offline: DataFrame, online: DataFrame, run_date: str) -> DataFra
     time = F.col("event_time")
     train = offline.where((time >= back(120)) & (time < back(30))).withColumn("production", F.lit(False))
     prod = online.where((time >= back(7)) & (time < day)).withColumn("production", F.lit(True))
-    long = drift.long_features(train.unionByName(prod), C.FEATURES, ["production"])
-    table = drift.binned(long, ["feature"], "production")
+    table = drift.binned_features(train.unionByName(prod), C.FEATURES, [], "production")
     psi = rnd(drift.psi_smoothed(), 6)
     return table.select(
         "feature", psi.alias("psi"), drift.mean("train_sum", "n_train").alias("train_mean"),
@@ -136,8 +129,11 @@ def daily_drift(offline: DataFrame, online: DataFrame, run_date: str) -> DataFra
         (psi >= 0.25).alias("alert"))
 
 
-def shadow_experiment(scores: DataFrame, champion: str = C.CHAMPION_VERSION, challenger: str = CHALLENGER) -> DataFrame:
-    """Both models on the same events: mean scores, shares at the review cut, agreement."""
+def shadow_experiment(scores: DataFrame, champion: str = C.CHAMPION_VERSION, challenger: str = CHALLENGER,
+                      start: str | None = None, end: str | None = None) -> DataFrame:
+    """Both models on the same events, optionally those of [start, end): mean scores, shares at the review cut, agreement."""
+    if start is not None:
+        scores = scores.where((F.col("event_time") >= _at(start)) & (F.col("event_time") < _at(end)))
     p = F.col("calibrated_probability")
     both = scores.groupBy("auth_event_id").agg(
         F.max(F.when(F.col("model_version") == champion, p)).alias("a"),
@@ -211,6 +207,12 @@ def parity_report(long: DataFrame, tolerance: float = 0.01) -> DataFrame:
         rnd(F.coalesce(F.max(F.when(off, F.col("delta"))), F.lit(0.0)), 4).alias("max_error"))
 
 
+def parity_totals(long: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Events checked, passed and failed, over all of them: one row."""
+    return parity_events(long, tolerance).agg(
+        F.count("*").alias("checked"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 def worst_mismatches(long: DataFrame, limit: int = 20, tolerance: float = 0.01) -> DataFrame:
     return long.where(F.col("delta") > tolerance).select(
         "auth_event_id", "feature", rnd(F.col("delta"), 4).alias("delta")).orderBy(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from riskspark import constants as C
 from riskspark.plans import economics, evaluation
 from riskspark.plans.features import event_features
 from riskspark.plans.lake import Lake
+from riskspark.sources import sinks
 
 
 def _midnight(day: str, days_back: int = 0) -> Column:
@@ -31,10 +34,10 @@ def existing_offline(lake: Lake, snapshot_date: str) -> DataFrame:
 
 
 def backfill(lake: Lake, snapshot_date: str, existing: DataFrame) -> DataFrame:
-    """Online rows from before the day ahead of the snapshot that have no offline row for it yet."""
-    rows = lake.auth_events.where(F.col("event_time") < _midnight(snapshot_date, 1)).select(
+    """The feature rows of events from before the day ahead of the snapshot that have no offline row for it yet."""
+    rows = lake.feature_events.where(F.col("event_time") < _midnight(snapshot_date, 1)).select(
         "auth_event_id", F.col("event_time").alias("as_of_time"), F.lit(C.FEATURE_VERSION).alias("feature_version"),
-        F.lit(snapshot_date).cast("date").alias("label_snapshot_date"))
+        F.lit(snapshot_date).cast("date").alias("label_snapshot_date"), *C.FEATURES)
     return rows.join(existing, ["auth_event_id", "label_snapshot_date"], "left_anti")
 
 
@@ -54,16 +57,36 @@ def label_snapshot(lake: Lake, snapshot_date: str, maturity_days: int, existing:
     ).join(existing, ["auth_event_id", "snapshot_date"], "left_anti")
 
 
-def daily(lake: Lake, run_date: str) -> DataFrame:
-    """All four jobs of one date: the number of rows each would write."""
+def daily(lake: Lake, run_date: str, path: str) -> DataFrame:
+    """All four jobs of one date, each appended below `path`: job and rows written. Whatever a run finds written for its
+    date it leaves out, so a run that is repeated adds nothing."""
+    spark, day = lake.spark, F.lit(run_date).cast("date")
+
+    def written(name: str, otherwise: DataFrame | None = None) -> DataFrame | None:
+        return spark.read.parquet(f"{path}/{name}") if sinks.exists(spark, f"{path}/{name}") else otherwise
+
+    keys = ["auth_event_id", "label_snapshot_date"]
+    stored = existing_offline(lake, run_date)
+    if (own := written("backfill")) is not None:
+        stored = stored.unionByName(own.select(*keys))
+    snapshots = existing_snapshots(lake, run_date)
+    if (own := written("label_snapshot")) is not None:
+        snapshots = snapshots.unionByName(own.select("auth_event_id", "snapshot_date"))
+    last_day = (datetime.date.fromisoformat(run_date) - datetime.timedelta(days=1)).isoformat()
+    offline = lake.feature_events.where(F.col("event_time") < _midnight(run_date))
     parts = {
-        "backfill": backfill(lake, run_date, existing_offline(lake, run_date)),
-        "label_snapshot": label_snapshot(lake, run_date, 7, existing_snapshots(lake, run_date)),
-        "drift": evaluation.daily_drift(lake.feature_events, lake.feature_events, run_date),
-        "shadow": evaluation.shadow_experiment(lake.model_scores),
+        "backfill": backfill(lake, run_date, stored),
+        "label_snapshot": label_snapshot(lake, run_date, 7, snapshots),
+        "drift": evaluation.daily_drift(offline, lake.feature_events, run_date),
+        "shadow": evaluation.shadow_experiment(lake.model_scores, start=last_day, end=run_date),
     }
-    counts = [rows.agg(F.lit(name).alias("job"), F.count("*").alias("rows_written")) for name, rows in parts.items()]
-    out = counts[0]
-    for part in counts[1:]:
-        out = out.unionByName(part)
-    return out
+    counts = []
+    for name, rows in parts.items():
+        dated = rows.withColumn("run_date", day)
+        if (own := written(name)) is not None and name in ("drift", "shadow"):
+            dated = dated.join(own.select("run_date").distinct(), "run_date", "left_anti")
+        before = 0 if own is None else own.where(F.col("run_date") == day).count()
+        sinks.append(dated, f"{path}/{name}")
+        after = spark.read.parquet(f"{path}/{name}").where(F.col("run_date") == day).count()
+        counts.append((name, after - before))
+    return spark.createDataFrame(counts, "job string, rows_written long")

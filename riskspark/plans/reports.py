@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from riskspark.operators.contracts import schema_report
+from riskspark.operators.contracts import table_report
 from riskspark.plans import economics, evaluation, replay
 from riskspark.plans.lake import Lake
 
@@ -27,10 +27,20 @@ MODEL_CARD = {
 }
 
 
+#: SQL texts that are true where a value breaks the contract; null counts as missing, not as broken.
+RULES = {
+    "economics": {name: f"{name} < 0 or {name} > 1" if name.endswith("_rate") else f"{name} < 0"
+                  for name in ECONOMICS if name != "net_fraud_savings_usd"},
+    "replay": {"time_to_label_seconds": "time_to_label_seconds < 0", "decision_type": "decision_type = ''"},
+    "model_card": {"threshold_decline": "threshold_decline < 0 or threshold_decline > 1",
+                   "auc_roc": "auc_roc < 0 or auc_roc > 1", "model_version": "model_version = ''"},
+}
+
+
 def contract_report(lake: Lake) -> DataFrame:
-    """Economics, replay and model-card tables against their contracts."""
+    """The rows of the economics, replay and model-card tables against their contracts."""
     return (
-        schema_report(economics.summary(lake), ECONOMICS, "economics")
-        .unionByName(schema_report(replay.replay_decisions(lake), REPLAY, "replay"))
-        .unionByName(schema_report(evaluation.model_cards(lake), MODEL_CARD, "model_card"))
+        table_report(economics.summary(lake), ECONOMICS, RULES["economics"], "economics")
+        .unionByName(table_report(replay.replay_decisions(lake), REPLAY, RULES["replay"], "replay"))
+        .unionByName(table_report(evaluation.model_cards(lake), MODEL_CARD, RULES["model_card"], "model_card"))
     )

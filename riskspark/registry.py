@@ -206,6 +206,9 @@ job("threshold_optimize")(lambda lake: economics.optimize_threshold(lake.scored_
 job("threshold_multi")(lambda lake: economics.optimize_triple(lake.scored_lines))
 job("best_threshold_ui")(economics.best_threshold)
 job("loss_curve")(lambda lake: economics.loss_curve(economics.scored_labelled(lake)))
+WINDOW = ("2024-01-08", "2024-01-22")
+job("economics_by_segment_window")(lambda lake: economics.by_segment(lake, *WINDOW))
+job("loss_curve_window")(lambda lake: economics.loss_curve(economics.scored_labelled(lake), *WINDOW))
 
 # Evaluation, drift, parity
 job("model_eval")(evaluation.model_eval)
@@ -234,6 +237,7 @@ def _parity(lake: Lake) -> DataFrame:
 job("j_online_offline")(lambda lake: evaluation.online_offline(lake).select("auth_event_id", "feature_version"))
 job("parity_event")(lambda lake: evaluation.parity_events(_parity(lake)))
 job("parity_report")(lambda lake: evaluation.parity_report(_parity(lake)))
+job("parity_totals")(lambda lake: evaluation.parity_totals(_parity(lake)))
 job("worst_mismatch")(lambda lake: evaluation.worst_mismatches(_parity(lake)))
 
 # Operational metrics and profiles
@@ -275,7 +279,7 @@ job("features_offline")(lambda lake: jobs.offline_features(lake, "2024-01-20 00:
 job("label_snapshot")(lambda lake: jobs.label_snapshot(
     lake, "2024-02-25", 30, jobs.existing_snapshots(lake, "2024-02-25")))
 job("j_backfill_anti")(lambda lake: jobs.backfill(lake, "2024-01-25", jobs.existing_offline(lake, "2024-01-25")))
-job("job_daily")(lambda lake: jobs.daily(lake, "2024-02-03"))
+job("job_daily")(lambda lake: jobs.daily(lake, "2024-02-03", f"{feeds.run_folder(lake.spark)}/daily"))
 
 # Replay and case context
 job("replay_latest_label")(lambda lake: replay.label_span(lake.labels))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def append(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -10,3 +10,9 @@ def append(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

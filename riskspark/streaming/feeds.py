@@ -22,7 +22,7 @@ from riskspark.operators import contracts
 from riskspark.operators.merge import latest
 from riskspark.plans.lake import Lake
 from riskspark.session import checkpoint_dir
-from riskspark.sources import tables
+from riskspark.sources import sinks, tables
 
 LATENESS = "2 days"
 LABEL_HORIZON_DAYS = 120
@@ -70,7 +70,7 @@ def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay
     """
     progress, ids = f"{path}/progress", f"{path}/ids"
     mark = None
-    if number > 0 and _exists(spark, progress):
+    if number > 0 and sinks.exists(spark, progress):
         mark = spark.read.schema("newest timestamp_ntz, rows long, applied long, late long, batch int").parquet(
             progress).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
     behind = F.lit(False) if mark is None else F.coalesce(
@@ -91,11 +91,6 @@ def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay
     return fresh, late
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def ingest(spark: SparkSession, folder: str, path: str, files_per_batch: int | None = None,
            delay: str = LATENESS) -> StreamingQuery:
     """Check each event once and split the feed into valid and quarantined rows; late rows are quarantined as such."""
