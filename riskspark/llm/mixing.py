@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.sharding import seeded
-from riskspark.llm.slices import running, with_groups
+from riskspark.llm.slices import running
+from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"

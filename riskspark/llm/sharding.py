@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.slices import running, with_groups
+from riskspark.llm.slices import running
+from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
 OVERHEAD = 16

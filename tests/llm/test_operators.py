@@ -18,6 +18,7 @@ from riskspark.llm import (
     labelled, minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, slices,
     suffix_tree, textblocks, toxicity_knn)
 from riskspark.llm.queries import model_file
+from riskspark.operators.skew import with_groups
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +69,7 @@ def test_running_totals_by_brute_force(spark):
 def test_hot_and_cold_keys_join_alike(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    out = slices.with_groups(rows, groups, ["k"], "n", hot_share=10).groupBy("n").count().collect()
+    out = with_groups(rows, groups, ["k"], "n", hot_share=10).groupBy("n").count().collect()
     assert {r.n: r["count"] for r in out} == {600: 600, 1: 400}
 
 
