@@ -11,6 +11,7 @@ from riskspark.llm import (
     minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
     toxicity_knn)
 from riskspark.llm.labelled import held_out
+from riskspark.llm.oracles import ORACLES
 
 SHARDS = 40
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -109,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
