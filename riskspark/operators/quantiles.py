@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskspark.operators.ranges import sliced_totals
 
@@ -11,16 +12,21 @@ from riskspark.operators.ranges import sliced_totals
 def ranked_values(rows: DataFrame, value: Column, groups: list[str], decimals: int = 6, width: float = 1.0) -> DataFrame:
     """(groups, value, n, upto): each distinct value with its count and the number of rows at or below it.
 
-    Values are keyed as integers at `decimals` places; the cumulative count runs in value slices of `width`.
+    Cells of `decimals` places are cumulated in slices of `width`; inside a cell the values themselves are in order, so the
+    result is exact for values of any size. Only where very many distinct values share a cell does a window grow long.
     """
-    scale = 10**decimals
-    keyed = rows.where(value.isNotNull()).select(*groups, F.round(value * scale).cast("bigint").alias("t"))
-    counts = keyed.groupBy(*groups, "t").agg(F.count("*").alias("n"))
+    scale, most = float(10**decimals), 2.0**62
+    cell = F.greatest(F.least(F.floor(value.cast("double") * scale).cast("double"), F.lit(most)), F.lit(-most))
+    keyed = rows.where(value.isNotNull()).select(*groups, value.cast("double").alias("value"), cell.cast("bigint").alias("t"))
+    counts = keyed.groupBy(*groups, "t", "value").agg(F.count("*").alias("n"))
+    same = Window.partitionBy(*groups, "t")
+    upto_here = same.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({
+        "_g": F.lit(0), "upto": F.col("n"), "cell_n": F.sum("n").over(same), "inside": F.sum("n").over(upto_here)})
     # The row's own count rides along, so that a rank can be located between `upto - n` and `upto`.
     cumulated = sliced_totals(
-        counts.withColumns({"_g": F.lit(0), "upto": F.col("n")}), [*groups, "_g"], ["upto"],
-        ["n"], int(width * scale))
-    return cumulated.select(*groups, (F.col("t") / F.lit(float(scale))).alias("value"), "n", "upto")
+        placed, [*groups, "_g"], ["upto"], ["value", "n", "cell_n", "inside"], int(width * scale))
+    return cumulated.select(*groups, "value", "n", (F.col("upto") - F.col("cell_n") + F.col("inside")).alias("upto"))
 
 
 def at_ranks(ranked: DataFrame, groups: list[str], wanted: Column) -> DataFrame:
@@ -31,7 +37,8 @@ def at_ranks(ranked: DataFrame, groups: list[str], wanted: Column) -> DataFrame:
         *groups, "w.name", F.col("w.position").alias("position"))
     low, high = F.floor("position"), F.ceil("position")
     join_on = groups or None
-    paired = ranked.join(F.broadcast(asked), join_on) if join_on else ranked.crossJoin(F.broadcast(asked))
+    # Groups are as many as the data has; without groups `asked` has one row per point.
+    paired = ranked.join(asked, join_on) if join_on else ranked.crossJoin(F.broadcast(asked))
     first, last = F.col("upto") - F.col("n"), F.col("upto")
 
     def holds(position: Column) -> Column:

@@ -175,24 +175,36 @@ def online_offline(lake: Lake) -> DataFrame:
         offline_store(lake), ["auth_event_id", "feature_version"])
 
 
+def _offline(name: str) -> Column:
+    """A feature in the parsed offline row, by its own name or its older one; null where missing."""
+    return F.coalesce(*[F.col("_m")[k] for k in (name, C.FEATURE_ALIASES.get(name, name))])
+
+
 def parity_long(joined: DataFrame) -> DataFrame:
-    """(event, feature, online, offline, delta): the offline value by its own name or its older one, else missing."""
+    """(event, feature, online, offline, delta)."""
     parsed = joined.withColumn("_m", F.from_json("feature_json", "map<string,double>"))
     items = []
     for name in C.FEATURES:
-        found = F.coalesce(*[F.col("_m")[k] for k in (name, C.FEATURE_ALIASES.get(name, name))])
-        items += [F.lit(name), F.col(name), found]
+        items += [F.lit(name), F.col(name), _offline(name)]
     return parsed.select(
         "auth_event_id", F.stack(F.lit(len(C.FEATURES)), *items).alias("feature", "online", "offline")
     ).withColumn("delta", F.abs(F.col("online") - F.col("offline")))
 
 
-def parity_events(long: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    return long.groupBy("auth_event_id").agg(
-        F.count_if(F.col("delta") <= tolerance).alias("n_matching"),
-        F.count_if(F.col("delta") > tolerance).alias("n_mismatched"),
-        F.count_if(F.col("offline").isNull()).alias("n_missing"),
-        rnd(F.max("delta"), 4).alias("max_delta"),
+def parity_events(joined: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Per event, found in its row: features that agree, differ and are missing offline, and the largest difference."""
+    parsed = joined.withColumn("_m", F.from_json("feature_json", "map<string,double>"))
+    offline = parsed.select("auth_event_id", F.array(*[_offline(n) for n in C.FEATURES]).alias("_off"),
+                            F.array(*[F.col(n).cast("double") for n in C.FEATURES]).alias("_on"))
+    deltas = offline.select("auth_event_id", "_off", F.zip_with("_on", "_off", lambda a, b: F.abs(a - b)).alias("_d"))
+
+    def count(column: str, test) -> Column:
+        return F.size(F.filter(column, test)).cast("bigint")
+
+    return deltas.select(
+        "auth_event_id", count("_d", lambda d: d <= tolerance).alias("n_matching"),
+        count("_d", lambda d: d > tolerance).alias("n_mismatched"),
+        count("_off", lambda v: v.isNull()).alias("n_missing"), rnd(F.array_max("_d"), 4).alias("max_delta"),
     ).withColumn("passed", (F.col("n_mismatched") == 0) & (F.col("n_missing") == 0))
 
 
@@ -207,9 +219,9 @@ def parity_report(long: DataFrame, tolerance: float = 0.01) -> DataFrame:
         rnd(F.coalesce(F.max(F.when(off, F.col("delta"))), F.lit(0.0)), 4).alias("max_error"))
 
 
-def parity_totals(long: DataFrame, tolerance: float = 0.01) -> DataFrame:
+def parity_totals(joined: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Events checked, passed and failed, over all of them: one row."""
-    return parity_events(long, tolerance).agg(
+    return parity_events(joined, tolerance).agg(
         F.count("*").alias("checked"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
 
 

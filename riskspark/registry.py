@@ -235,9 +235,9 @@ def _parity(lake: Lake) -> DataFrame:
 
 
 job("j_online_offline")(lambda lake: evaluation.online_offline(lake).select("auth_event_id", "feature_version"))
-job("parity_event")(lambda lake: evaluation.parity_events(_parity(lake)))
+job("parity_event")(lambda lake: evaluation.parity_events(evaluation.online_offline(lake)))
 job("parity_report")(lambda lake: evaluation.parity_report(_parity(lake)))
-job("parity_totals")(lambda lake: evaluation.parity_totals(_parity(lake)))
+job("parity_totals")(lambda lake: evaluation.parity_totals(evaluation.online_offline(lake)))
 job("worst_mismatch")(lambda lake: evaluation.worst_mismatches(_parity(lake)))
 
 # Operational metrics and profiles

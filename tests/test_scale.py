@@ -237,3 +237,17 @@ def test_queue_summary_totals_every_status(spark):
     states = ["open", "resolved_fraud", "resolved_not_fraud", "escalated", None, "closed"]
     (row,) = queue_summary(spark.createDataFrame([("q", s) for s in states], "queue_name string, case_status string")).collect()
     assert (row.open, row.in_progress, row.closed, row.other, row.total) == (1, 0, 1, 4, 6)
+
+
+def test_quantiles_of_very_small_and_very_large_values(spark):
+    df = spark.createDataFrame([("s", 1.23e-8), ("s", 2.5e-8), ("l", 1e15), ("l", 3e15), ("l", -4e20)], "g string, v double")
+    got = {r.g: r.m for r in quantiles.quantiles(df, F.col("v"), {"m": 0.5}, ["g"]).collect()}
+    assert got == {"s": pytest.approx(1.865e-8), "l": 1e15}
+
+
+def test_a_job_that_is_repeated_adds_nothing(lake, tmp_path):
+    from riskspark.plans import jobs
+
+    first = {r.job: r.rows_written for r in jobs.daily(lake, "2024-02-03", str(tmp_path)).collect()}
+    assert first["backfill"] > 0 and first["drift"] == 19 and first["shadow"] == 1
+    assert {r.rows_written for r in jobs.daily(lake, "2024-02-03", str(tmp_path)).collect()} == {0}
