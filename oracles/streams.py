@@ -16,6 +16,14 @@ scores AS (SELECT p.label AS query_id, l.vec_id, any_value(l.label) AS category,
   FROM long l JOIN profile p USING (i) JOIN norms n USING (vec_id) JOIN pnorms q ON q.label = p.label GROUP BY 1, 2)
 SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
   vec_id AS case_id, category, score FROM scores
+QUALIFY rank <= 5""",
+    "similar_to_cases": f"""WITH long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+  FROM embeddings), norms AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM long GROUP BY 1),
+scores AS (SELECT q.vec_id AS query_id, l.vec_id, any_value(l.label) AS category, {r('sum(q.x * l.x) / any_value(n.n) / any_value(m.n)', 6)} AS score
+  FROM long q JOIN long l USING (i) JOIN norms n ON n.vec_id = l.vec_id JOIN norms m ON m.vec_id = q.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+  vec_id AS case_id, category, score FROM scores
 QUALIFY rank <= 5""",
     "st_ingest": f"SELECT auth_event_id, errors FROM ({CORE['contract_auth_event']})",
     "st_velocity": f"SELECT auth_event_id, {', '.join(_counts)} FROM vectors",

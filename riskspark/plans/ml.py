@@ -34,6 +34,15 @@ def similar_cases(lake: Lake, k: int = 5) -> DataFrame:
     return payload.join(found, "case_id").select("query_id", "rank", "case_id", "category", "score")
 
 
+def similar_to_cases(lake: Lake, every: int = 100, k: int = 5) -> DataFrame:
+    """The stored cases nearest to a case in hand, by the case's own vector: here those whose id `every` divides, against
+    all. A case that is stored finds itself."""
+    asked = lake.case_vectors.where(F.col("case_id") % every == 0).select(F.col("case_id").alias("query_id"), "vector")
+    found = top_similar(lake.case_vectors, asked, k)
+    payload = lake.case_vectors.select("case_id", "category")
+    return payload.join(found, "case_id").select("query_id", "rank", "case_id", "category", "score")
+
+
 def store_cases(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by point id, the hash of the case id; a new vector replaces the stored one."""
     point = F.xxhash64(F.col("case_id").cast("string")).alias("point_id")
