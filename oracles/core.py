@@ -9,9 +9,10 @@ from riskspark import constants as C
 
 FRAGMENTS.update({
     "model_versions": "SELECT * FROM (VALUES ('xgb-v4.2.0', false), ('lgb-v5.0.0-rc1', true)) v(model_version, shadow)",
-    "all_scores": f"""SELECT *, calibrated_probability >= 0.55::DOUBLE AS predicted_label,
-  {band('calibrated_probability')} AS risk_band FROM (SELECT *, {r(sigmoid('fraud_probability'), 6)} AS calibrated_probability
-FROM (SELECT v.*, m.model_version, m.shadow, {r(heuristic('m.model_version'), 6)} AS fraud_probability
+    "all_scores": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
+  {r('calibrated_probability', 6)} AS calibrated_probability), calibrated_probability >= 0.55::DOUBLE AS predicted_label,
+  {band('calibrated_probability')} AS risk_band FROM (SELECT *, {sigmoid('fraud_probability')} AS calibrated_probability
+FROM (SELECT v.*, m.model_version, m.shadow, {heuristic('m.model_version')} AS fraud_probability
 FROM vectors v CROSS JOIN model_versions m))""",
     "cases": """SELECT auth_event_id AS case_id, auth_event_id, CASE auth_event_id % 4 WHEN 1 THEN 'in_progress'
   WHEN 2 THEN 'closed' ELSE 'open' END AS case_status, queue_name, priority,

@@ -127,13 +127,13 @@ LEFT JOIN (SELECT model, string_agg(feature, ',' ORDER BY rk) AS top_importances
     "replay": f"""SELECT s.*, d.decision_type, l.is_fraud, l.last_received_at, l.first_received_at,
   CASE WHEN d.decision_type IS NOT NULL AND l.is_fraud IS NOT NULL THEN (d.decision_type IN ('approve', 'step_up')) <> l.is_fraud
   END AS decision_correct, {r('(epoch_us(l.first_received_at) - epoch_us(s.event_time)) / 1e6', 3)} AS time_to_label_seconds,
-  {r(sigmoid(r(heuristic("'" + LGB + "'"), 6)), 6)} AS wp
+  {sigmoid(heuristic("'" + LGB + "'"))} AS wp
 FROM scored s LEFT JOIN latest_decision d USING (auth_event_id) LEFT JOIN label_span l USING (auth_event_id)""",
     "label_span": """SELECT l.auth_event_id, l.is_fraud, l.label_received_at AS last_received_at, f.first_received_at FROM latest_label l
 JOIN (SELECT auth_event_id, min(label_received_at) AS first_received_at FROM fraud_labels GROUP BY 1) f USING (auth_event_id)""",
     "fired": "SELECT auth_event_id, rule_id, rule_name FROM (" + CORE["rules_eval"] + ") WHERE fired",
 })
-_blend = r("0.7::DOUBLE * wp + 0.3::DOUBLE * rule_score", 6)
+_blend = "(0.7::DOUBLE * wp + 0.3::DOUBLE * rule_score)"
 _drift_window = """CASE WHEN event_time >= TIMESTAMP '2024-02-03' - INTERVAL 120 DAY AND event_time < TIMESTAMP '2024-02-03' - INTERVAL 30 DAY
   THEN false WHEN event_time >= TIMESTAMP '2024-02-03' - INTERVAL 7 DAY AND event_time < TIMESTAMP '2024-02-03' THEN true END"""
 FRAGMENTS["daily_long"] = "SELECT * FROM (" + unpivot("features", f"{_drift_window} AS production") + \
@@ -279,7 +279,7 @@ WHERE e.event_time < TIMESTAMP '2024-01-26' AND e.auth_event_id % 9 <> 0""",
   decision_correct, time_to_label_seconds, coalesce(t.n, 0) AS n_traces FROM replay r
 LEFT JOIN (SELECT auth_event_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM fired GROUP BY 1) f USING (auth_event_id)
 LEFT JOIN (SELECT conv_id AS auth_event_id, count(*) AS n FROM conversations GROUP BY 1) t USING (auth_event_id)""",
-    "replay_compare": f"""SELECT auth_event_id, decision_type AS actual_decision, wp AS what_if_probability,
+    "replay_compare": f"""SELECT auth_event_id, decision_type AS actual_decision, {r('wp', 6)} AS what_if_probability,
   {by_probability('wp', '0.60', '0.45', '0.30')} AS what_if_decision, CASE WHEN {_blend} >= 0.60 THEN 'hard_decline'
   WHEN {_blend} >= 0.45 OR high_rule_fired THEN 'manual_review' WHEN {_blend} >= 0.30 THEN 'step_up' ELSE 'approve' END AS blend_decision,
   {by_probability('wp', '0.60', '0.45', '0.30')} IS DISTINCT FROM decision_type AS decision_changed FROM replay""",

@@ -113,15 +113,16 @@ def replay_decisions_text(lake: Lake) -> DataFrame:
 
 def what_if(table: DataFrame, version: str, decline: float, review: float, step_up: float) -> DataFrame:
     """Re-score with another model and thresholds. `what_if_decision` ignores rules; `blend_decision` keeps them."""
-    probability = rnd(S.calibrate_sigmoid(rnd(S.heuristic_score(F.lit(version)), 6)), 6)
+    probability = S.calibrate_sigmoid(S.heuristic_score(F.lit(version)))
     scored = table.withColumn("what_if_probability", probability)
-    blended = rnd(S.blend(F.col("what_if_probability"), F.col("rule_score")), 6)
+    blended = S.blend(F.col("what_if_probability"), F.col("rule_score"))
     return scored.withColumns({
         "what_if_decision": S.decide_by_probability(F.col("what_if_probability"), decline, review, step_up),
         "blend_decision": F.when(blended >= decline, "hard_decline")
         .when((blended >= review) | F.col("high_rule_fired"), "manual_review")
         .when(blended >= step_up, "step_up").otherwise("approve"),
-    }).withColumn("decision_changed", ~F.col("what_if_decision").eqNullSafe(F.col("decision_type")))
+    }).withColumns({"decision_changed": ~F.col("what_if_decision").eqNullSafe(F.col("decision_type")),
+                    "what_if_probability": rnd(F.col("what_if_probability"), 6)})
 
 
 def replay_compare(lake: Lake) -> DataFrame:

@@ -42,13 +42,14 @@ def model_scores(vectors: DataFrame, champion: str = C.CHAMPION_VERSION,
         F.struct(F.lit(v).alias("model_version"), F.lit(v != champion).alias("shadow")) for v in versions])
     rows = vectors.withColumn("_m", F.explode(listed)).withColumns({
         "model_version": F.col("_m.model_version"), "shadow": F.col("_m.shadow")}).drop("_m")
-    scored = rows.withColumn("fraud_probability", rnd(S.heuristic_score(F.col("model_version")), 6))
-    scored = scored.withColumn("calibrated_probability", rnd(S.calibrate_sigmoid(F.col("fraud_probability")), 6))
+    scored = rows.withColumn("fraud_probability", S.heuristic_score(F.col("model_version")))
+    scored = scored.withColumn("calibrated_probability", S.calibrate_sigmoid(F.col("fraud_probability")))
+    # Labels and bands come from unrounded scores.
     return scored.withColumns({
         "predicted_label": F.col("calibrated_probability") >= F.lit(C.THRESHOLD_REVIEW),
         "risk_band": S.risk_band(F.col("calibrated_probability")),
         "score_time": F.col("event_time"),
-    })
+    }).withColumns({c: rnd(F.col(c), 6) for c in ("fraud_probability", "calibrated_probability")})
 
 
 def champion_scores(scores: DataFrame) -> DataFrame:
