@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.textblocks import SPACE, Run, runs
+from riskspark.llm.textblocks import Run, SPACE, in_batches, runs
 from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), *[pa.array(p, pa.int64()) for p in parts], pa.array(digests, pa.string())],
                 ["doc_id", *KEY, "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PRINTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, work, PRINTS)
 
 
 def _differing(candidates: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _differing(candidates: DataFrame) -> DataFrame:
             columns = list(zip(*sorted(out), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], KEY)
 
-    return candidates.mapInArrow(work, "length bigint, h0 bigint, h1 bigint").distinct()
+    return candidates.transform(in_batches, work, "length bigint, h0 bigint, h1 bigint").distinct()
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.labelled import first_by_hash, fold, taught
-from riskspark.llm.textblocks import runs, word_hashes, words
+from riskspark.llm.textblocks import in_batches, runs, word_hashes, words
 
 POSITIVES, UNLABELLED = 8_000, 16_000
 EPOCHS, RATE, DECAY = 600, 0.05, 1e-3
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(
                 list(features(batch.column("text"))), pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
-    sample = rows.mapInArrow(work, "doc_id bigint, good boolean, x array<double>").orderBy(
+    sample = rows.transform(in_batches, work, "doc_id bigint, good boolean, x array<double>").orderBy(
         F.xxhash64("doc_id", "x"), "x").limit(positives + unlabelled).toArrow()
     x = np.array(sample.column("x").to_pylist(), float).reshape(sample.num_rows, features(pa.array([""])).shape[1])
     good = np.array(sample.column("good").to_pylist(), bool)
@@ -137,7 +137,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(model.score(features(batch.column("text"))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.transform(in_batches, work, "doc_id bigint, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
@@ -148,4 +149,4 @@ def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(work, schema)
+    return docs.transform(in_batches, work, schema)

@@ -21,8 +21,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.textblocks import in_batches
+
 MARK = "▁"
-CACHE_CHUNKS = 1_000_000
+#: Chunks and pairs of pieces that a worker remembers; about 100 MB. A worker lives on after its task.
+CACHE_CHUNKS = 250_000
 CACHE_CHARS = 64
 WINDOW = 4096
 #: Latin letters, and everything else.
@@ -288,7 +291,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([own.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, work, ENCODED)
 
 
 def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -301,4 +304,4 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, work, DIGESTS)

@@ -6,14 +6,17 @@ the working set stays small whatever the batch holds. One document beyond that s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 RUN_BYTES = 1 << 20
+#: Arrow batches that tasks get, at most (or one row), so that memory doesn't depend on how long texts are.
+BATCH_BYTES = 8 << 20
 
 #: White space is these bytes, and a word any other byte; all are ASCII, so UTF-8 texts are cut at code points.
 SPACE = np.zeros(256, bool)
@@ -45,6 +48,13 @@ class Words(NamedTuple):
     before: np.ndarray
 
 
+def in_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+               schema: str) -> DataFrame:
+    """`mapInArrow` over batches of bounded size."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame.mapInArrow(work, schema)
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2 ** 64, grown by doubling."""
     known = _powers[base]
