@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.textblocks import mixed, runs, shingle_hashes, word_hashes, words
+from riskspark.llm.slices import written
+from riskspark.llm.textblocks import in_batches, mixed, runs, shingle_hashes, word_hashes, words
 from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
@@ -132,7 +133,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         if held:
             yield _ends("tail", part, *held)
 
-    walked = ordered.mapInArrow(walk, PAIRED).checkpoint()
+    walked = ordered.transform(in_batches, walk, PAIRED).checkpoint()
     heads = walked.where("kind = 'head'")
     parts = heads.select("part")
     every = Window.orderBy("part")
@@ -147,7 +148,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(_paired([row["doc_id"]], [row["text"], row["next"]]), names[2:9])
 
     done = walked.where("kind = 'done'").select(*names[2:9])
-    met = pairs.mapInArrow(meet, ", ".join(PAIRED.split(", ")[2:9]))
+    met = pairs.transform(in_batches, meet, ", ".join(PAIRED.split(", ")[2:9]))
     return done.unionByName(met).select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -170,7 +171,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(prints, pa.binary()),
                  pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "print", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, 
         work, "doc_id bigint, print binary, bands array<bigint>")
 
 
@@ -184,7 +185,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                                              ["doc_id", "set"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(work, "doc_id bigint, set array<bigint>").groupBy("doc_id").agg(F.min("set").alias("set"))
+    sets = chosen.transform(in_batches, work, "doc_id bigint, set array<bigint>")
+    return sets.groupBy("doc_id").agg(F.min("set").alias("set"))
 
 
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +220,7 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         "class_id", F.explode("leaders").alias("leader")).where("class_id <> leader").select(
         F.least("class_id", "leader").alias("left_id"), F.greatest("class_id", "leader").alias("right_id")
         ).distinct().checkpoint()
-    ids = near.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
+    ids = written(near.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct())
     sets = _sets(docs, ids, width).checkpoint()
     sides = [sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("set").alias(f"{s}_set")) for s in ("left", "right")]
     common = F.size(F.array_intersect("left_set", "right_set"))

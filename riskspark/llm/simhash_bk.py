@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.textblocks import runs, words
+from riskspark.llm.slices import written
+from riskspark.llm.textblocks import in_batches, runs, words
 from riskspark.operators.graph import components
 from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
@@ -70,7 +71,8 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             signed = np.array(out, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed)], ["doc_id", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, print bigint")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.transform(in_batches, work, "doc_id bigint, print bigint")
 
 
 class BKTree:
@@ -144,7 +146,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
             yield _pairs(out)
         yield _pairs(pairs())
 
-    return stream.mapInArrow(work, "src bigint, dst bigint").distinct()
+    return stream.transform(in_batches, work, "src bigint, dst bigint").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -178,9 +180,9 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2, more: DataFram
 
 def first_rows(docs: DataFrame, width: int = 3, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
     """The rows of `docs`, all columns, that stay: of each component the row with the smallest doc_id. A row without a
-    doc_id stays, as it can't be told from others."""
-    kept = near_groups(docs, width, radius, more).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
+    doc_id stays, as it can't be told from others, and so does a repeated doc_id while one of its texts stays."""
+    gone = near_groups(docs, width, radius, more).groupBy("doc_id").agg(
+        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    dropped = written(gone.where("gone").select(F.col("doc_id").alias("_id")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return rows.join(kept, F.col("_row.doc_id") == F.col("_id"), "left").where(
-        "_id is not null or _row.doc_id is null").select("_row.*")
+    return rows.join(dropped, F.col("_row.doc_id") == F.col("_id"), "left_anti").select("_row.*")

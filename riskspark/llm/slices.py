@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators.skew import with_groups
+from riskspark.session import checkpoint_dir
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows from a table written to the shared folder. Unlike a checkpoint's its size is known to the planner, so a
+    join with it is a broadcast only if it is small enough for Spark's own limit."""
+    path = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
 
 #: Rows of a group that one task sorts at a time, about.
 SLICE_ROWS = 20_000
