@@ -27,6 +27,10 @@ WIDTH = 5
 COMPONENTS = 128
 ROWS_PER_BAND = 5
 LEADERS = 16
+#: Shingles in a block of set comparisons, about, and what each set adds to its own, so that small ones don't pile up.
+BLOCK, EACH = 200_000, 200
+#: Shingles of the vocabulary per matrix product.
+COLUMNS = 2_048
 SIMILARITY = 0.8
 EMPTY = np.uint32(0xFFFFFFFF)
 _draw = np.random.Generator(np.random.PCG64(7))
@@ -189,6 +193,121 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return sets.groupBy("doc_id").agg(F.min("set").alias("set"))
 
 
+def _linked(ids: np.ndarray, component: np.ndarray, second: np.ndarray, sizes: np.ndarray, flat: np.ndarray,
+            similarity: float) -> list[tuple[int, int, float]]:
+    """A spanning forest (left_id, right_id, jaccard) of the pairs with different labels and that similarity: between
+    the rows that are `second` and the others, or among all rows if none is. Every pair's common shingles are counted, as
+    products of 0-1 matrices over the shingles that occur twice."""
+    a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else [np.arange(len(ids))] * 2
+    if not len(a):
+        return []
+    row = np.repeat(np.arange(len(ids)), sizes)
+    column, times = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    kept = times[column] > 1
+    row, column = row[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(ids), COLUMNS), np.float32)
+        has[row[low:high], column[low:high] - start] = 1
+        common += has[a] @ has[b].T
+    jaccard = common.astype(float)
+    jaccard /= np.maximum(sizes[a][:, None] + sizes[b][None, :] - jaccard, 1)
+    near = np.zeros((len(ids), len(ids)), bool)
+    alike = np.zeros((len(ids), len(ids)))
+    near[np.ix_(a, b)] = (jaccard >= similarity) & (component[a][:, None] != component[b][None, :])
+    alike[np.ix_(a, b)] = jaccard
+    near, alike = near | near.T, np.maximum(alike, alike.T)
+    unseen, out = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        todo = [root] if unseen[root] else []
+        unseen[root] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(near[at] & unseen)
+            unseen[found] = False
+            todo += found.tolist()
+            out += [(*sorted((int(ids[at]), int(ids[f]))), float(alike[at, f])) for f in found]
+    return out
+
+
+def _labels(pairs: DataFrame) -> DataFrame:
+    """(class_id, label): classes with one label are linked by `pairs`. A class's label is the class with most pairs among
+    itself and its neighbours; a cloud around a hub gets the hub's name without going through all its links."""
+    both = pairs.select(F.stack(F.lit(2), F.col("left_id"), F.col("right_id"), F.col("right_id"), F.col("left_id")).alias(
+        "class_id", "other"))
+    degrees = both.groupBy(F.col("class_id").alias("other")).agg(F.count("*").alias("degree"))
+    near = with_groups(both, degrees, ["other"], "degree").unionByName(
+        degrees.select(F.col("other").alias("class_id"), "other", "degree"))
+    return near.groupBy("class_id").agg(F.max_by("other", F.struct("degree", "other")).alias("label"))
+
+
+def _rest(big: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that link what `pairs` leave apart in the buckets `big` (class_id, band, key, n): within each, any two
+    classes with different labels are compared by their full sets, block against block.
+
+    Classes with a bucket's most frequent label need no comparison with each other, only with the bucket's other classes.
+    """
+    info = sets.select(F.col("doc_id").alias("class_id"), F.size("set").alias("size")).join(
+        _labels(pairs), "class_id", "left").select("class_id", "size", F.coalesce("label", "class_id").alias("component"))
+    placed = big.join(info, "class_id").checkpoint()
+    parts = placed.groupBy("band", "key", "component").agg(
+        F.count("*").alias("m"), F.sum(F.col("size") + EACH).alias("w"))
+    most = F.struct("m", "component")
+    split = parts.groupBy("band", "key").agg(
+        F.sum("m").alias("members"), F.count("*").alias("parts"), F.sum("w").alias("all_w"),
+        F.max_by("component", most).alias("main"), F.max_by("w", most).alias("main_w")).where("parts > 1").select(
+        "band", "key", "members", "main", F.ceil((F.col("all_w") - F.col("main_w")) / BLOCK).cast("int").alias("others"),
+        F.ceil(F.col("main_w") / BLOCK).cast("int").alias("mains")).checkpoint()
+    numbered = with_groups(placed.select("class_id", "component", "band", "key"), split, ["band", "key"], "members").withColumn(
+        "own", F.col("component") == F.col("main")).withColumn("block", F.pmod(
+            F.xxhash64("class_id"), F.when(F.col("own"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # Cell (i, j): block i, of the other classes, against block j >= i; blocks of the main component come last.
+    at = F.col("block") + F.when(F.col("own"), F.col("others")).otherwise(0)
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    before = F.transform(F.sequence(F.lit(0), F.least(at, F.col("others") - 1)), lambda i: cell(i, at))
+    after = F.when(~F.col("own") & (at < F.col("others") + F.col("mains") - 1), F.transform(
+        F.sequence(at + 1, F.col("others") + F.col("mains") - 1), lambda j: cell(at, j))).otherwise(F.array())
+    dealt = numbered.select("class_id", "component", "band", "key", at.alias("at"), F.explode(F.concat(before, after)).alias(
+        "cell")).select("class_id", "component", "band", "key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"),
+                        (F.col("at") > F.col("cell.i")).alias("second"))
+    cells = ["band", "key", "i", "j"]
+    stream = dealt.join(sets.select(F.col("doc_id").alias("class_id"), "set"), "class_id").repartition(
+        *cells).sortWithinPartitions(*cells, "class_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def done() -> pa.RecordBatch:
+            ids, component, second, sizes, flat = (np.concatenate(c) for c in zip(*held, strict=True))
+            # A cell of two blocks of which one is empty has nothing to compare.
+            lone = current[2] != current[3] and (second.all() or not second.any())
+            found = [] if lone else _linked(ids, component, second, sizes, flat, similarity)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                 pa.array([f[2] for f in found], pa.float64())], ["left_id", "right_id", "jaccard"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cells])
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else []
+            for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                key = tuple(keys[start].tolist())
+                if held and key != current:
+                    yield done()
+                    held = []
+                current, piece = key, batch.slice(start, end - start)
+                held.append((*[piece.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "component", "second")],
+                             piece.column("set").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+                             piece.column("set").flatten().to_numpy(zero_copy_only=False)))
+        if held:
+            yield done()
+
+    return stream.transform(in_batches, work, "left_id bigint, right_id bigint, jaccard double").dropDuplicates(
+        ["left_id", "right_id"])
+
+
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members gives each row's class, (doc_id, class_id), where a class is the texts with one shingle
     set; pairs has (left_id, right_id, jaccard) of distinct classes with at least that similarity, left_id < right_id.
@@ -196,9 +315,11 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     Candidates agree in a band of ROWS_PER_BAND components; a pair at 0.8 is missed with a chance of 5e-5, and every
     candidate is verified on the full shingle sets of whole texts. A class takes its smallest doc_id as name; null texts
     count as empty; rows without doc_id are left out; the classes of texts with equal doc_id are one. Copies collapse
-    before the join, so they are never paired. In a bucket of up to LEADERS classes all are compared with each other; in a
-    larger one, which only a large cloud of near copies or a common text can fill, each is compared with LEADERS of them,
-    drawn by hash anew for each band, so work stays in proportion to the rows.
+    before the join, so they are never paired. In a bucket of up to LEADERS classes all are compared with each other and
+    every pair is listed. Larger ones, which only a large cloud of near copies or a common text can fill, have too many
+    pairs to list; there the pairs link any two classes that chains of pairs link. Each class is first compared with
+    LEADERS others, drawn by hash anew for each band, and the one that shares most with all; what is still apart is then
+    compared in full, so work grows with the square only of what these links leave apart.
     """
     checkpoint_dir(docs.sparkSession)
     rows = _sketches(docs.where("doc_id is not null"), width).checkpoint()
@@ -215,6 +336,12 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         F.col("draw").cast("double") / 2.0 ** 64 + 0.5 < F.lit(2.0 * LEADERS) / F.col("n")))
     heads = lead.groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("draw", "class_id"))).alias("all")).select(
         "band", "key", F.slice("all", 1, LEADERS)["class_id"].alias("leaders"))
+    big = inside.where(F.col("n") > LEADERS).select("class_id", "band", "key", "n").checkpoint()
+    weights = big.groupBy("class_id").agg(F.sum("n").alias("weight"))
+    central = big.join(weights, "class_id").groupBy("band", "key").agg(
+        F.max_by("class_id", F.struct("weight", "class_id")).alias("central"))
+    heads = heads.join(central, ["band", "key"], "left").select("band", "key", F.when(
+        F.col("central").isNull(), F.col("leaders")).otherwise(F.array_append("leaders", F.col("central"))).alias("leaders"))
     sized = heads.join(buckets, ["band", "key"])
     near = with_groups(inside.select("class_id", "band", "key"), sized, ["band", "key"], "n").select(
         "class_id", F.explode("leaders").alias("leader")).where("class_id <> leader").select(
@@ -228,4 +355,7 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         common / (F.size("left_set") + F.size("right_set") - common))
     pairs = near.join(sides[0], "left_id").join(sides[1], "right_id").select(
         "left_id", "right_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
-    return members, pairs
+    if big.isEmpty():
+        return members, pairs
+    pairs = pairs.checkpoint()
+    return members, pairs.unionByName(_rest(big, pairs, sets, similarity))

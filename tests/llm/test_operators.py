@@ -277,6 +277,45 @@ def test_near_pairs_by_brute_force(spark):
     assert {(r.left_id, r.right_id) for r in pairs.collect()} == want and len(want) > 20
 
 
+def linked(ids, pairs):
+    home = {i: i for i in ids}
+    for a, b in pairs:
+        old, new = max(home[a], home[b]), min(home[a], home[b])
+        home = {i: new if h == old else h for i, h in home.items()} if old != new else home
+    return home
+
+
+def template_texts():
+    """A star of copies, alike to their original only, and variants of one text, few of which have a near copy."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    original, form = [word() for _ in range(400)], [word() for _ in range(400)]
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.sample(range(5, 395, 6), n):
+            out[at] = word()
+        return out
+
+    rows = [original] + [changed(original, 6) for _ in range(200)] + [changed(form, 6) for _ in range(1000)]
+    rows += [changed(text, 8) for text in rng.sample(rows[201:], 120)]
+    rng.shuffle(rows)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_large_buckets_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 60_000, raising=False)
+    rows = template_texts()
+    _, pairs = minhash.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    number = {}
+    sets = {i: {number.setdefault(s, len(number)) for s in fx.shingles(t, 5)} for i, t in rows}
+    got = {(r.left_id, r.right_id): r.jaccard for r in pairs.collect()}
+    assert all(v == fx.jaccard(sets[a], sets[b]) and v >= 0.8 for (a, b), v in got.items())
+    want = [(a, b) for a in sets for b in sets if a < b and fx.jaccard(sets[a], sets[b]) >= 0.8]
+    assert linked(sets, got) == linked(sets, want)
+    assert 100 < len(set(linked(sets, want).values())) < len(rows) - 200
+
+
 # 6
 
 
