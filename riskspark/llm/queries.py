@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import (
     minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
-    toxicity_knn)
+    token_alignment, toxicity_knn)
 from riskspark.llm.labelled import held_out
 from riskspark.llm.oracles import ORACLES
 
@@ -91,6 +91,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.aligned(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), model_file()).drop(
+        "groups")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
 
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
