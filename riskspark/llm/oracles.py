@@ -57,4 +57,23 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN
     quota // source_size * size + least(greatest(quota % source_size - before, 0), size) END AS BIGINT) AS taken
 FROM ordered o JOIN words w ON o.source IS NOT DISTINCT FROM w.source"""
 
-ORACLES = {"op2_interleave": OP2, "op6_exact_dedup": OP6, "op9_mixing": OP9}
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({LOWER.format(text='text')}, '{TERM}')) AS term
+  FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER.format(text='text')}, '{TERM}')) AS term FROM benchmark),
+sized AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM docs GROUP BY row),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+held AS (SELECT row, term, count(*) AS tf FROM docs WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, total GROUP BY term, n_docs),
+scored AS (SELECT item_id, row, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weighed USING (term) JOIN sized USING (row), total GROUP BY ALL),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+ORACLES = {"op2_interleave": OP2, "op6_exact_dedup": OP6, "op9_mixing": OP9, "op12_lexical_search": OP12}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import (
-    minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
+    lexical_search, minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
     token_alignment, toxicity_knn)
 from riskspark.llm.labelled import held_out
 from riskspark.llm.oracles import ORACLES
@@ -91,6 +91,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), most=10)
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }

@@ -85,9 +85,9 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[Run]:
         first = last
 
 
-def words(run: Run) -> Words:
-    """Words never cross from one document into the next."""
-    word = ~SPACE[run.data]
+def words(run: Run, space: np.ndarray = SPACE) -> Words:
+    """Words never cross from one document into the next. `space` tells for each byte whether it separates words."""
+    word = ~space[run.data]
     n = len(word)
     opens, closes = word.copy(), word.copy()
     if n:
