@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import (
-    lexical_search, minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
+    decision_list, lexical_search, minhash, mixing, poly_dedup, quality_pu, secret_scan, sentencepiece_codec, sharding, simhash_bk, suffix_tree,
     token_alignment, toxicity_knn)
 from riskspark.llm.labelled import held_out
 from riskspark.llm.oracles import ORACLES
@@ -91,6 +91,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules learned from the labels of all folds but the one of `op4_quality`, so that the same rows measure both."""
+    docs = documents(spark, folder)
+    rules = decision_list.train(docs, labels(spark, folder), folds=4, held=2)
+    return decision_list.judged(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), most=10)
 
@@ -119,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
     "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
