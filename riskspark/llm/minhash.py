@@ -26,7 +26,8 @@ from riskspark.session import checkpoint_dir
 WIDTH = 5
 COMPONENTS = 128
 ROWS_PER_BAND = 5
-LEADERS = 16
+#: Classes of a bucket that are all compared with each other, and leaders of a larger bucket.
+SMALL, LEADERS = 16, 6
 #: Shingles in a block of set comparisons, about, and what each set adds to its own, so that small ones don't pile up.
 BLOCK, EACH = 200_000, 200
 #: Shingles of the vocabulary per matrix product.
@@ -233,25 +234,34 @@ def _linked(ids: np.ndarray, component: np.ndarray, second: np.ndarray, sizes: n
     return out
 
 
-def _labels(pairs: DataFrame) -> DataFrame:
-    """(class_id, label): classes with one label are linked by `pairs`. A class's label is the class with most pairs among
-    itself and its neighbours; a cloud around a hub gets the hub's name without going through all its links."""
-    both = pairs.select(F.stack(F.lit(2), F.col("left_id"), F.col("right_id"), F.col("right_id"), F.col("left_id")).alias(
-        "class_id", "other"))
-    degrees = both.groupBy(F.col("class_id").alias("other")).agg(F.count("*").alias("degree"))
-    near = with_groups(both, degrees, ["other"], "degree").unionByName(
-        degrees.select(F.col("other").alias("class_id"), "other", "degree"))
-    return near.groupBy("class_id").agg(F.max_by("other", F.struct("degree", "other")).alias("label"))
+def _led(pairs: DataFrame) -> DataFrame:
+    """(class_id, leader, jaccard) of verified `pairs` in each direction in which one side led a large bucket."""
+    towards = lambda flag, a, b: F.when(F.col(flag), F.struct(
+        F.col(a).alias("class_id"), F.col(b).alias("leader")))
+    return pairs.where("left_leads or right_leads").select(F.explode(F.array_compact(F.array(
+        towards("right_leads", "left_id", "right_id"), towards("left_leads", "right_id", "left_id")))).alias("_")).select("_.*")
 
 
-def _rest(big: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that link what `pairs` leave apart in the buckets `big` (class_id, band, key, n): within each, any two
+def _labels(led: DataFrame) -> DataFrame:
+    """(class_id, near, label): `near` is the leader that most classes are alike to, of a class's leaders and itself, and
+    `label` that leader's own one. The links class - near lead to the label, so one link per class holds a cloud together."""
+    degrees = led.groupBy("leader").agg(F.count("*").alias("degree"))
+    seen = with_groups(led, degrees, ["leader"], "degree").unionByName(
+        degrees.select(F.col("leader").alias("class_id"), "leader", "degree"))
+    near = seen.groupBy("class_id").agg(F.max_by("leader", F.struct("degree", "leader")).alias("near")).checkpoint()
+    heads = near.groupBy("near").agg(F.count("*").alias("n")).join(
+        near.select(F.col("class_id").alias("near"), F.col("near").alias("label")), "near")
+    return with_groups(near, heads, ["near"], "n").select("class_id", "near", "label")
+
+
+def _rest(big: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that link what leaders leave apart in the buckets `big` (class_id, band, key, n): within each, any two
     classes with different labels are compared by their full sets, block against block.
 
     Classes with a bucket's most frequent label need no comparison with each other, only with the bucket's other classes.
     """
     info = sets.select(F.col("doc_id").alias("class_id"), F.size("set").alias("size")).join(
-        _labels(pairs), "class_id", "left").select("class_id", "size", F.coalesce("label", "class_id").alias("component"))
+        labels, "class_id", "left").select("class_id", "size", F.coalesce("label", "class_id").alias("component"))
     placed = big.join(info, "class_id").checkpoint()
     parts = placed.groupBy("band", "key", "component").agg(
         F.count("*").alias("m"), F.sum(F.col("size") + EACH).alias("w"))
@@ -315,11 +325,12 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     Candidates agree in a band of ROWS_PER_BAND components; a pair at 0.8 is missed with a chance of 5e-5, and every
     candidate is verified on the full shingle sets of whole texts. A class takes its smallest doc_id as name; null texts
     count as empty; rows without doc_id are left out; the classes of texts with equal doc_id are one. Copies collapse
-    before the join, so they are never paired. In a bucket of up to LEADERS classes all are compared with each other and
+    before the join, so they are never paired. In a bucket of up to SMALL classes all are compared with each other and
     every pair is listed. Larger ones, which only a large cloud of near copies or a common text can fill, have too many
     pairs to list; there the pairs link any two classes that chains of pairs link. Each class is first compared with
-    LEADERS others, drawn by hash anew for each band, and the one that shares most with all; what is still apart is then
-    compared in full, so work grows with the square only of what these links leave apart.
+    LEADERS others, the first by one hash for all bands, so that buckets of one cloud share them, and with the one that
+    shares most buckets; of these a class keeps one link, to the leader that most classes are alike to. What is still
+    apart is then compared in full, so work grows with the square only of what these links leave apart.
     """
     checkpoint_dir(docs.sparkSession)
     rows = _sketches(docs.where("doc_id is not null"), width).checkpoint()
@@ -328,34 +339,45 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     members = with_groups(rows.select("doc_id", "print"), classes.select("print", "class_id", "n"), ["print"], "n").select(
         "doc_id", "class_id")
     keyed = classes.select("class_id", F.posexplode("bands").alias("band", "key")).withColumn(
-        "draw", F.xxhash64("class_id", "band"))
+        "draw", F.xxhash64("class_id"))
     buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     inside = with_groups(keyed, buckets, ["band", "key"], "n").select("class_id", "band", "key", "draw", "n")
-    # The LEADERS smallest draws of a bucket: below a bound that leaves about twice as many, found without a sort.
-    lead = inside.where((F.col("n") <= LEADERS) | (
-        F.col("draw").cast("double") / 2.0 ** 64 + 0.5 < F.lit(2.0 * LEADERS) / F.col("n")))
-    heads = lead.groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("draw", "class_id"))).alias("all")).select(
-        "band", "key", F.slice("all", 1, LEADERS)["class_id"].alias("leaders"))
-    big = inside.where(F.col("n") > LEADERS).select("class_id", "band", "key", "n").checkpoint()
+    # The smallest draws of a bucket: below a bound that leaves several times as many, found without a sort.
+    lead = inside.where((F.col("n") <= SMALL) | (
+        F.col("draw").cast("double") / 2.0 ** 64 + 0.5 < F.lit(4.0 * LEADERS) / F.col("n")))
+    most = F.when(F.first("n") <= SMALL, F.lit(SMALL)).otherwise(F.lit(LEADERS))
+    heads = lead.groupBy("band", "key").agg(
+        F.array_sort(F.collect_list(F.struct("draw", "class_id"))).alias("all"), most.alias("most")).select(
+        "band", "key", F.slice("all", 1, F.col("most"))["class_id"].alias("leaders"))
+    big = inside.where(F.col("n") > SMALL).select("class_id", "band", "key", "n").checkpoint()
     weights = big.groupBy("class_id").agg(F.sum("n").alias("weight"))
     central = big.join(weights, "class_id").groupBy("band", "key").agg(
         F.max_by("class_id", F.struct("weight", "class_id")).alias("central"))
-    heads = heads.join(central, ["band", "key"], "left").select("band", "key", F.when(
-        F.col("central").isNull(), F.col("leaders")).otherwise(F.array_append("leaders", F.col("central"))).alias("leaders"))
-    sized = heads.join(buckets, ["band", "key"])
-    near = with_groups(inside.select("class_id", "band", "key"), sized, ["band", "key"], "n").select(
-        "class_id", F.explode("leaders").alias("leader")).where("class_id <> leader").select(
-        F.least("class_id", "leader").alias("left_id"), F.greatest("class_id", "leader").alias("right_id")
-        ).distinct().checkpoint()
+    heads = buckets.join(heads, ["band", "key"], "left").join(central, ["band", "key"], "left").select(
+        "band", "key", "n", F.array_compact(F.array_append(F.coalesce("leaders", F.array()), F.col("central"))).alias("leaders"))
+    larger = (F.col("n") > SMALL) & (F.col("class_id") != F.col("leader"))
+    near = with_groups(inside.select("class_id", "band", "key"), heads, ["band", "key"], "n").select(
+        "class_id", F.explode("leaders").alias("leader"), "n").where("class_id <> leader").groupBy(
+        F.least("class_id", "leader").alias("left_id"), F.greatest("class_id", "leader").alias("right_id")).agg(
+        F.bool_or(F.col("n") <= SMALL).alias("listed"),
+        F.bool_or(larger & (F.col("leader") < F.col("class_id"))).alias("left_leads"),
+        F.bool_or(larger & (F.col("leader") > F.col("class_id"))).alias("right_leads")).checkpoint()
     ids = written(near.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct())
     sets = _sets(docs, ids, width).checkpoint()
     sides = [sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("set").alias(f"{s}_set")) for s in ("left", "right")]
     common = F.size(F.array_intersect("left_set", "right_set"))
     jaccard = F.when(F.size("left_set") + F.size("right_set") == 0, 1.0).otherwise(
         common / (F.size("left_set") + F.size("right_set") - common))
-    pairs = near.join(sides[0], "left_id").join(sides[1], "right_id").select(
-        "left_id", "right_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
+    verified = near.join(sides[0], "left_id").join(sides[1], "right_id").select(
+        "left_id", "right_id", jaccard.alias("jaccard"), "listed", "left_leads", "right_leads").where(
+        F.col("jaccard") >= similarity)
+    names = ["left_id", "right_id", "jaccard"]
     if big.isEmpty():
-        return members, pairs
-    pairs = pairs.checkpoint()
-    return members, pairs.unionByName(_rest(big, pairs, sets, similarity))
+        return members, verified.select(names)
+    verified = verified.checkpoint()
+    labels = _labels(_led(verified)).checkpoint()
+    held = labels.where("class_id <> near").select(
+        F.least("class_id", "near").alias("left_id"), F.greatest("class_id", "near").alias("right_id")).distinct()
+    kept = verified.join(held.withColumn("held", F.lit(True)), ["left_id", "right_id"], "left").where("listed or held")
+    rest = _rest(big, labels.select("class_id", "label"), sets, similarity)
+    return members, kept.select(names).unionByName(rest).dropDuplicates(["left_id", "right_id"])

@@ -558,3 +558,20 @@ def test_folds(spark):
     frame = spark.createDataFrame([(None,), (1,), (77,)], "doc_id long")
     got = [r[0] for r in frame.select(labelled.held_out(5, zlib.crc32(b"77") % 5)).collect()]
     assert got[0] is False and got[2] is True
+
+
+def test_links_of_a_cloud_of_near_copies(spark):
+    """However many near copies a text has, a class has a few links, and they are all one group."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    for n in (300, 1200):
+        rows = []
+        for i in range(n):
+            changed = list(words)
+            for _ in range(rng.randrange(1, 9)):
+                changed[rng.randrange(400)] = f"x{rng.random()}"
+            rows.append((i, " ".join(changed)))
+        members, pairs = minhash.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = [(r.left_id, r.right_id) for r in pairs.collect()]
+        assert len(set(linked(range(n), got).values())) == 1
+        assert len(got) <= 8 * n
