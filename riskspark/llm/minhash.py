@@ -243,15 +243,12 @@ def _led(pairs: DataFrame) -> DataFrame:
 
 
 def _labels(led: DataFrame) -> DataFrame:
-    """(class_id, near, label): `near` is the leader that most classes are alike to, of a class's leaders and itself, and
-    `label` that leader's own one. The links class - near lead to the label, so one link per class holds a cloud together."""
+    """(class_id, label): the leader that most classes are alike to, of a class's leaders and itself. The links class -
+    label, one per class, hold a cloud together."""
     degrees = led.groupBy("leader").agg(F.count("*").alias("degree"))
     seen = with_groups(led, degrees, ["leader"], "degree").unionByName(
         degrees.select(F.col("leader").alias("class_id"), "leader", "degree"))
-    near = seen.groupBy("class_id").agg(F.max_by("leader", F.struct("degree", "leader")).alias("near")).checkpoint()
-    heads = near.groupBy("near").agg(F.count("*").alias("n")).join(
-        near.select(F.col("class_id").alias("near"), F.col("near").alias("label")), "near")
-    return with_groups(near, heads, ["near"], "n").select("class_id", "near", "label")
+    return seen.groupBy("class_id").agg(F.max_by("leader", F.struct("degree", "leader")).alias("label"))
 
 
 def _rest(big: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -376,8 +373,8 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         return members, verified.select(names)
     verified = verified.checkpoint()
     labels = _labels(_led(verified)).checkpoint()
-    held = labels.where("class_id <> near").select(
-        F.least("class_id", "near").alias("left_id"), F.greatest("class_id", "near").alias("right_id")).distinct()
+    held = labels.where("class_id <> label").select(
+        F.least("class_id", "label").alias("left_id"), F.greatest("class_id", "label").alias("right_id")).distinct()
     kept = verified.join(held.withColumn("held", F.lit(True)), ["left_id", "right_id"], "left").where("listed or held")
-    rest = _rest(big, labels.select("class_id", "label"), sets, similarity)
+    rest = _rest(big, labels, sets, similarity)
     return members, kept.select(names).unionByName(rest).dropDuplicates(["left_id", "right_id"])

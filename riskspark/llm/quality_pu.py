@@ -125,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives:
 
     sample = rows.transform(in_batches, work, "doc_id bigint, good boolean, x array<double>").orderBy(
         F.xxhash64("doc_id", "x"), "x").limit(positives + unlabelled).toArrow()
-    x = np.array(sample.column("x").to_pylist(), float).reshape(sample.num_rows, features(pa.array([""])).shape[1])
-    good = np.array(sample.column("good").to_pylist(), bool)
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, features(pa.array([""])).shape[1])
+    good = sample.column("good").to_numpy().astype(bool)
     return fit(x[good], x[~good], 0.5 if share is None else float(share))
 
 
