@@ -338,7 +338,8 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     keyed = classes.select("class_id", F.posexplode("bands").alias("band", "key")).withColumn(
         "draw", F.xxhash64("class_id"))
     buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    inside = with_groups(keyed, buckets, ["band", "key"], "n").select("class_id", "band", "key", "draw", "n")
+    inside = with_groups(keyed, buckets, ["band", "key"], "n").select("class_id", "band", "key", "draw", "n").checkpoint()
+    buckets = inside.groupBy("band", "key").agg(F.first("n").alias("n"))
     # The smallest draws of a bucket: below a bound that leaves several times as many, found without a sort.
     lead = inside.where((F.col("n") <= SMALL) | (
         F.col("draw").cast("double") / 2.0 ** 64 + 0.5 < F.lit(4.0 * LEADERS) / F.col("n")))
@@ -346,7 +347,7 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     heads = lead.groupBy("band", "key").agg(
         F.array_sort(F.collect_list(F.struct("draw", "class_id"))).alias("all"), most.alias("most")).select(
         "band", "key", F.slice("all", 1, F.col("most"))["class_id"].alias("leaders"))
-    big = inside.where(F.col("n") > SMALL).select("class_id", "band", "key", "n").checkpoint()
+    big = inside.where(F.col("n") > SMALL).select("class_id", "band", "key", "n")
     weights = big.groupBy("class_id").agg(F.sum("n").alias("weight"))
     central = big.join(weights, "class_id").groupBy("band", "key").agg(
         F.max_by("class_id", F.struct("weight", "class_id")).alias("central"))
