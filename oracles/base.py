@@ -250,7 +250,7 @@ SELECT *, {rule_score_sql()} AS rule_score, {HIGH_FIRED} AS high_rule_fired,
   '{C.CHAMPION_VERSION}' AS model_version FROM vectors)""",
     "scored": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
   {r('calibrated_probability', 6)} AS calibrated_probability, {r('final_score', 6)} AS final_score),
-  CASE decision WHEN 'approve' THEN 'approved' WHEN 'hard_decline' THEN 'declined' WHEN 'manual_review' THEN 'review'
+  calibrated_probability AS raw_probability, CASE decision WHEN 'approve' THEN 'approved' WHEN 'hard_decline' THEN 'declined' WHEN 'manual_review' THEN 'review'
     WHEN 'step_up' THEN 'challenged' ELSE 'pending' END AS auth_status,
   CASE WHEN decision = 'manual_review' THEN CASE WHEN final_score >= 0.8 THEN 'high_risk'
     WHEN final_score >= 0.6 THEN 'medium_risk' ELSE 'general' END END AS queue_name,

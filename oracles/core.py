@@ -10,7 +10,7 @@ from riskspark import constants as C
 FRAGMENTS.update({
     "model_versions": "SELECT * FROM (VALUES ('xgb-v4.2.0', false), ('lgb-v5.0.0-rc1', true)) v(model_version, shadow)",
     "all_scores": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
-  {r('calibrated_probability', 6)} AS calibrated_probability), calibrated_probability >= 0.55::DOUBLE AS predicted_label,
+  {r('calibrated_probability', 6)} AS calibrated_probability), calibrated_probability AS raw_probability, calibrated_probability >= 0.55::DOUBLE AS predicted_label,
   {band('calibrated_probability')} AS risk_band FROM (SELECT *, {sigmoid('fraud_probability')} AS calibrated_probability
 FROM (SELECT v.*, m.model_version, m.shadow, {heuristic('m.model_version')} AS fraud_probability
 FROM vectors v CROSS JOIN model_versions m))""",
@@ -136,13 +136,13 @@ GROUP BY auth_event_id""",
     "case_routing": """SELECT case_id, auth_event_id, 'open' AS case_status, queue_name, priority, created_reason, created_at
 FROM cases""",
     "threshold_decision": f"""SELECT auth_event_id, model_version, CASE WHEN shadow THEN
-  {by_probability('calibrated_probability', '0.60', '0.45', '0.30')} ELSE {by_probability('calibrated_probability')} END
+  {by_probability('raw_probability', '0.60', '0.45', '0.30')} ELSE {by_probability('raw_probability')} END
   AS decision FROM all_scores""",
     "recommend_action": """SELECT c.case_id, s.calibrated_probability,
-  CASE WHEN calibrated_probability >= 0.85 THEN 'CONFIRM_FRAUD' WHEN calibrated_probability >= 0.65 THEN 'ESCALATE'
-    WHEN calibrated_probability >= 0.4 THEN 'GATHER_MORE_INFO' ELSE 'CLOSE_NOT_FRAUD' END AS recommendation,
-  CASE WHEN calibrated_probability >= 0.85 THEN 0.9 WHEN calibrated_probability >= 0.65 THEN 0.7
-    WHEN calibrated_probability >= 0.4 THEN 0.6 ELSE 0.8 END AS confidence
+  CASE WHEN raw_probability >= 0.85 THEN 'CONFIRM_FRAUD' WHEN raw_probability >= 0.65 THEN 'ESCALATE'
+    WHEN raw_probability >= 0.4 THEN 'GATHER_MORE_INFO' ELSE 'CLOSE_NOT_FRAUD' END AS recommendation,
+  CASE WHEN raw_probability >= 0.85 THEN 0.9 WHEN raw_probability >= 0.65 THEN 0.7
+    WHEN raw_probability >= 0.4 THEN 0.6 ELSE 0.8 END AS confidence
 FROM cases c JOIN all_scores s ON s.auth_event_id = c.auth_event_id AND NOT s.shadow""",
     "case_context_text": f"""SELECT c.case_id, {_context} AS context_text FROM cases c JOIN scored s USING (auth_event_id)
 LEFT JOIN label_lines l USING (auth_event_id)""",

@@ -23,7 +23,7 @@ FROM scored s LEFT JOIN latest_decision d USING (auth_event_id) LEFT JOIN (SELEC
   count(*) FILTER (decision_type IN ('approve', 'allow_with_monitoring')) AS a,
   count(*) FILTER (decision_type LIKE '%decline%') AS d, count(*) FILTER (decision_type = 'manual_review') AS r,
   count(*) FILTER (decision_type = 'step_up') AS s FROM decisions GROUP BY 1) n USING (auth_event_id)""",
-    "scored_labelled": """SELECT s.auth_event_id, s.event_time, s.calibrated_probability AS probability,
+    "scored_labelled": """SELECT s.auth_event_id, s.event_time, s.raw_probability AS probability,
   coalesce(nullif(s.billing_amount_usd, 0), s.auth_amount, 0) AS amount_usd, l.is_fraud
 FROM scored s LEFT JOIN latest_label l USING (auth_event_id)""",
 })
@@ -59,7 +59,7 @@ def sweep(rows: str, thresholds: list[float]) -> str:
   CAST(coalesce(sum(amount_usd) FILTER (p < threshold AND f), 0) AS DOUBLE) AS missed,
   CAST(coalesce(sum(amount_usd) FILTER (p >= threshold AND NOT f), 0) AS DOUBLE) AS fp_usd
 FROM (VALUES {listed}) t(threshold) CROSS JOIN
-  (SELECT *, {r('probability', 6)} AS p, coalesce(is_fraud, false) AS f FROM {rows}) s GROUP BY t.threshold"""
+  (SELECT *, probability AS p, coalesce(is_fraud, false) AS f FROM {rows}) s GROUP BY t.threshold"""
 
 
 FRAGMENTS["screen_sweep"] = sweep("scored_labelled", SCREEN_SWEEP)

@@ -74,9 +74,9 @@ FRAGMENTS.update({
     "feature_drift": f"""SELECT feature, {r('psi', 6)} AS psi, {r('js', 6)} AS js,
   {r('coalesce(1 - n_q / nullif(prod_rows, 0), 0)', 6)} AS null_rate, {r('coalesce(t_sum / nullif(n_t, 0), 0)', 4)} AS train_mean,
   {r('coalesce(q_sum / nullif(n_q, 0), 0)', 4)} AS prod_mean FROM split_drift""",
-    "labelled": """SELECT s.*, s.calibrated_probability AS p, l.is_fraud AS f, s.billing_amount_usd AS amount_usd
+    "labelled": """SELECT s.*, s.raw_probability AS p, l.is_fraud AS f, s.billing_amount_usd AS amount_usd
 FROM scored s JOIN latest_label l USING (auth_event_id)""",
-    "labelled_models": """SELECT s.*, s.calibrated_probability AS p, l.is_fraud AS f, s.billing_amount_usd AS amount_usd
+    "labelled_models": """SELECT s.*, s.raw_probability AS p, l.is_fraud AS f, s.billing_amount_usd AS amount_usd
 FROM all_scores s JOIN latest_label l USING (auth_event_id)""",
     "line_models": f"""SELECT '{C.CHAMPION_VERSION}' AS model_version, probability AS p, is_fraud AS f, amount_usd, unnest(['all', segment]) AS segment
 FROM scored_lines UNION ALL SELECT '{LGB}', probability, is_fraud, amount_usd, unnest(['all', segment]) FROM challenger_lines""",
@@ -172,12 +172,12 @@ FROM harness_pairs WHERE metric IN ('auc_roc', 'precision', 'recall', 'f1')""",
     "drift_daily": f"""SELECT feature, {r('psi_smoothed', 6)} AS psi, {r('coalesce(t_sum / nullif(n_t, 0), 0)', 4)} AS train_mean,
   {r('coalesce(q_sum / nullif(n_q, 0), 0)', 4)} AS prod_mean, {ratio('prod_rows - n_q', 'greatest(prod_rows, 1)')} AS null_rate,
   {r('psi_smoothed', 6)} >= 0.25 AS alert FROM ({drift('SELECT * FROM daily_long', 'feature')})""",
-    "shadow_experiment": f"""SELECT {r('CAST(sum(CAST(a AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 6)} AS champion_avg_score,
-  {r('CAST(sum(CAST(b AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 6)} AS challenger_avg_score,
+    "shadow_experiment": f"""SELECT {r('CAST(sum(CAST(' + r('a', 6) + ' AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 6)} AS champion_avg_score,
+  {r('CAST(sum(CAST(' + r('b', 6) + ' AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 6)} AS challenger_avg_score,
   {ratio('count(*) FILTER (a >= 0.55) * 100', 'count(*)')} AS champion_decline_pct,
   {ratio('count(*) FILTER (b >= 0.55) * 100', 'count(*)')} AS challenger_decline_pct,
   {ratio('count(*) FILTER ((a >= 0.55) = (b >= 0.55)) * 100', 'count(*)')} AS agreement_pct, count(*) AS n_events
-FROM (SELECT x.calibrated_probability AS a, y.calibrated_probability AS b FROM all_scores x JOIN all_scores y
+FROM (SELECT x.raw_probability AS a, y.raw_probability AS b FROM all_scores x JOIN all_scores y
   ON x.auth_event_id = y.auth_event_id AND NOT x.shadow AND y.shadow)""",
     "j_online_offline": """SELECT auth_event_id, 'v2.3.1' AS feature_version FROM features""",
     "parity_event": f"""SELECT auth_event_id, count(*) FILTER (delta <= 0.01) AS n_matching, count(*) FILTER (delta > 0.01) AS n_mismatched,
@@ -224,13 +224,13 @@ FROM (SELECT (epoch_us(label_received_at) - epoch_us(event_time)) / 8.64e10 AS d
 FROM (SELECT feature, CAST(sum(CAST(value AS DECIMAL(20,4))) FILTER (f) AS DOUBLE) / count(*) FILTER (f) AS a,
   CAST(sum(CAST(value AS DECIMAL(20,4))) FILTER (NOT f) AS DOUBLE) / count(*) FILTER (NOT f) AS b
 FROM ({unpivot('labelled', 'f')}) GROUP BY 1)""",
-    "detection_rate": f"""SELECT event_type AS fraud_type, count(*) AS n, count(*) FILTER (calibrated_probability > 0.35) AS caught,
-  {ratio('count(*) FILTER (calibrated_probability > 0.35)', 'count(*)')} AS rate FROM scored GROUP BY 1""",
+    "detection_rate": f"""SELECT event_type AS fraud_type, count(*) AS n, count(*) FILTER (raw_probability > 0.35) AS caught,
+  {ratio('count(*) FILTER (raw_probability > 0.35)', 'count(*)')} AS rate FROM scored GROUP BY 1""",
     "fp_concentration": f"""SELECT channel, count(*) AS n, {ratio('count(*)', 'sum(count(*)) OVER ()')} AS share FROM labelled
 WHERE NOT f AND p > 0.35 GROUP BY 1""",
     "ks_two_sample": f"""SELECT {r('max(abs(a / na - b / nb))', 6)} AS ks, any_value(na)::BIGINT AS n_a, any_value(nb)::BIGINT AS n_b FROM (
-SELECT sum((event_time >= {SPLIT})::INT) OVER (ORDER BY calibrated_probability) AS a,
-  sum((event_time < {SPLIT})::INT) OVER (ORDER BY calibrated_probability) AS b,
+SELECT sum((event_time >= {SPLIT})::INT) OVER (ORDER BY raw_probability) AS a,
+  sum((event_time < {SPLIT})::INT) OVER (ORDER BY raw_probability) AS b,
   CAST(sum((event_time >= {SPLIT})::INT) OVER () AS DOUBLE) AS na, CAST(sum((event_time < {SPLIT})::INT) OVER () AS DOUBLE) AS nb FROM scored)""",
     "model_registry": "SELECT * FROM registry",
     "model_health": f"""SELECT g.model_version, g.deployment_status, g.owner, e.auc_roc, e.eval_date, coalesce(d.n, 0) AS drift_alerts,

@@ -1,44 +1,48 @@
-"""Curves over scores: cumulative thresholds, AUC and average precision, global ranks.
+"""Curves over scores: cumulative thresholds, AUC and average precision, global ranks. All compare unrounded scores.
 
-Thresholds compare unrounded scores: each row falls into a bucket between two thresholds, and a few rows remain after
-partial aggregation. Ranking metrics work on a histogram at six decimals, at most 1,000,001 rows per group however many
-rows were scored; scores closer than that count as ties there.
+Thresholds: each row falls into a bucket between two thresholds, and a few rows remain after partial aggregation. Ranking
+metrics need the place of every distinct score in the order of all; `ranks.running` finds it by range partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskspark.functions.numeric import ratio, rnd
-from riskspark.operators.ranges import sliced_totals
+from riskspark.operators import ranks
 
 MONEY_SUM = "decimal(38,2)"
 
 
-def score_histogram(rows: DataFrame, groups: list[str] | None = None, amount: bool = True) -> DataFrame:
-    """n, positives and amounts per (groups, probability rounded to 6 decimals). `is_fraud` may be null."""
+def scores_in_order(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """n, positives and fraud amount per (groups, unrounded probability), with the totals of lower scores (`_before`) and of
+    all (`_total`). `is_fraud` may be null; rows without a score come first."""
     fraud = F.coalesce("is_fraud", F.lit(False))
-    measures = [
+    peers = rows.groupBy(*groups, "probability").agg(
         F.count("*").alias("n"), F.count_if(fraud).alias("n_fraud"),
-        F.count_if(F.col("is_fraud") == F.lit(False)).alias("n_known_legit"),
-    ]
-    if amount:
-        measures += [
-            F.sum(F.when(fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("fraud_usd"),
-            F.sum(F.when(~fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("legit_usd"),
-        ]
-    return rows.withColumn("probability", rnd(F.col("probability"), 6)).groupBy(
-        *(groups or []), "probability").agg(*measures)
+        F.sum(F.when(fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("fraud_usd"))
+    return ranks.running(peers, groups, ["probability"], ["n", "n_fraud"])
+
+
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are at or below a value: a binary tree of comparisons, so it compiles."""
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(float(cuts[middle])), tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(cuts))
 
 
 def threshold_buckets(rows: DataFrame, cuts: list[float]) -> DataFrame:
     """n, n_fraud, fraud_usd, legit_usd per bucket: the number of ascending cuts at or below the unrounded score."""
-    listed = F.array(*[F.lit(float(c)) for c in cuts])
-    bucket = F.size(F.filter(listed, lambda c: c <= F.col("probability")))
     fraud = F.coalesce("is_fraud", F.lit(False))
-    return rows.where(F.col("probability").isNotNull()).groupBy(bucket.alias("bucket")).agg(
+    return rows.where(F.col("probability").isNotNull()).groupBy(bucket_of(F.col("probability"), cuts).alias("bucket")).agg(
         F.count("*").alias("n"), F.count_if(fraud).alias("n_fraud"),
         F.sum(F.when(fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("fraud_usd"),
         F.sum(F.when(~fraud, F.col("amount_usd")).otherwise(F.lit(0))).cast(MONEY_SUM).alias("legit_usd"))
@@ -70,34 +74,26 @@ def threshold_totals(rows: DataFrame, thresholds: list[float]) -> DataFrame:
         F.col("legit_usd_above").cast("double").alias("fp_usd"))
 
 
-def ranking_metrics(histogram: DataFrame, groups: list[str]) -> DataFrame:
-    """Exact AUC (ties averaged) and average precision per group; null where a class is missing."""
-    by_score = Window.partitionBy(*groups).orderBy("probability")
-    lower = by_score.rowsBetween(Window.unboundedPreceding, -1)
-    higher = Window.partitionBy(*groups).orderBy(F.col("probability").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    negative = F.col("n") - F.col("n_fraud")
-    placed = histogram.select(
-        *groups, "n_fraud", negative.alias("n_legit"),
-        F.coalesce(F.sum(negative).over(lower), F.lit(0)).alias("legit_below"),
-        F.sum("n_fraud").over(higher).alias("fraud_from_here"), F.sum("n").over(higher).alias("n_from_here"))
-    wins = F.sum((F.col("n_fraud") * (2 * F.col("legit_below") + F.col("n_legit"))).cast("decimal(38,0)"))
-    precision = F.col("fraud_from_here").cast("double") / F.col("n_from_here")
-    total, legit = F.sum("n_fraud"), F.sum("n_legit")
+def ranking_metrics(ordered: DataFrame, groups: list[str]) -> DataFrame:
+    """Exact AUC (ties averaged) and average precision per group of `scores_in_order`; null where a class is missing."""
+    legit_below = F.col("n_before") - F.col("n_fraud_before")
+    wins = F.sum((F.col("n_fraud") * (2 * legit_below + F.col("n") - F.col("n_fraud"))).cast("decimal(38,0)"))
+    precision = (F.col("n_fraud_total") - F.col("n_fraud_before")).cast("double") / (F.col("n_total") - F.col("n_before"))
+    total, legit = F.sum("n_fraud"), F.sum("n") - F.sum("n_fraud")
     pairs = F.when((total > 0) & (legit > 0), 2.0 * total.cast("double") * legit.cast("double"))
-    return placed.groupBy(*groups).agg(
+    return ordered.groupBy(*groups).agg(
         rnd(wins.cast("double") / pairs, 6).alias("auc_roc"),
         rnd(F.when((total > 0) & (legit > 0), F.sum(F.col("n_fraud") * precision) / total), 6).alias("auc_pr"))
 
 
-def confusion(histogram: DataFrame, groups: list[str], decline: float, review: float) -> DataFrame:
+def confusion(ordered: DataFrame, groups: list[str], decline: float, review: float) -> DataFrame:
     """Counts and shares at the review cut, approval mix by score, and loss sums, per group."""
     at_review, at_decline = F.col("probability") >= review, F.col("probability") >= decline
 
     def total(column: str, test) -> F.Column:
         return F.sum(F.when(test, F.col(column)).otherwise(F.lit(0)))
 
-    sums = histogram.groupBy(*groups).agg(
+    sums = ordered.groupBy(*groups).agg(
         F.sum("n").alias("sample_size"), F.sum("n_fraud").alias("n_fraud"),
         total("n_fraud", at_review).alias("tp"), total("n", at_review).alias("n_review_up"),
         total("n", at_decline).alias("n_decline"),
@@ -117,56 +113,31 @@ def confusion(histogram: DataFrame, groups: list[str], decline: float, review: f
         rnd(F.col("expected_loss"), 2).alias("expected_loss"), rnd(F.col("prevented_loss"), 2).alias("prevented_loss"))
 
 
-def top_share_totals(rows: DataFrame, shares: list[float], width: int = 1 << 20) -> DataFrame:
-    """Totals over the highest-scored share of all rows, ties broken by id, without ranking all rows.
+def top_share_totals(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """Totals over the highest-scored share of all rows, ties broken by id, then largest fraud first, then known genuine
+    rows. `rows` holds auth_event_id, probability, amount_usd and is_fraud (may be null); rows without a score come last.
 
-    `rows` holds auth_event_id, probability, amount_usd and is_fraud (may be null). The histogram settles every score
-    that lies wholly inside a share. Only the scores that straddle a cut are ranked, by running totals over id slices.
+    Rows that agree in all of this are one row with a count, which one pass of running totals places; a share ends inside
+    one of these rows and takes as many of its members as it needs.
     """
-    histogram = score_histogram(rows)
-    down = Window.orderBy(F.col("probability").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    measures = {"n": "n", "usd": "fraud_usd", "legit": "n_known_legit"}
-    # One window over the histogram: at most 1,000,001 rows.
-    before = histogram.select(
-        "probability", F.col("n").alias("n_here"),
-        *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"{m}_before") for m, c in measures.items()])
-    total = histogram.agg(F.sum("n").alias("n_total"))
-    listed = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("share")) for i, s in enumerate(shares)])
-    cuts = total.select("n_total", F.explode(listed).alias("s")).select(
-        "s.step", F.least(F.floor(F.col("n_total") * F.col("s.share")), F.col("n_total")).alias("cut"))
-    # A cut falls into the score whose rows contain its last member.
-    placed = before.crossJoin(F.broadcast(cuts)).where(
-        (F.col("cut") > F.col("n_before")) & (F.col("cut") <= F.col("n_before") + F.col("n_here")))
-    straddled = placed.select("probability").distinct()
-    inside = rows.withColumn("probability", rnd(F.col("probability"), 6)).join(F.broadcast(straddled), "probability")
     fraud = F.coalesce("is_fraud", F.lit(False))
     cents = F.when(fraud, (F.col("amount_usd") * 100).cast("bigint")).otherwise(F.lit(0))
     legit = F.when(F.col("is_fraud") == F.lit(False), 1).otherwise(0)
-    # Rows that share score and id are counted by what they add, then totalled: one row per id goes into the slices.
-    alike = inside.groupBy("probability", F.col("auth_event_id").alias("t"), cents.alias("cents"), legit.alias("legit")).agg(
-        F.count("*").alias("own"))
-    per_id = alike.groupBy("probability", "t").agg(
-        F.sum("own").alias("rank"), F.sum(F.col("cents") * F.col("own")).alias("cents"),
-        F.sum(F.col("legit") * F.col("own")).alias("legit"))
-    sums = ["rank", "cents", "legit"]
-    ranked = sliced_totals(per_id.select("*", *[F.col(c).alias(f"id_{c}") for c in sums]), ["probability"], sums,
-                           [f"id_{c}" for c in sums], width).select(
-        F.col("probability").alias("score"), "t", *[(F.col(c) - F.col(f"id_{c}")).alias(c) for c in sums], "id_rank")
-    within = F.col("cut") - F.col("n_before") - F.col("rank")
-    found = placed.join(ranked, (F.col("probability") == F.col("score")) & (within > 0) & (within <= F.col("id_rank")))
-    found = found.select("step", "cut", "usd_before", "legit_before", "score", "t", "cents", "legit", within.alias("need"))
-    # Inside the id of the cut: largest fraud first, then known genuine rows. As many rows as are needed count.
-    parts = alike.select(F.col("probability").alias("_p"), F.col("t").alias("_t"), F.col("cents").alias("part_cents"),
-                         F.col("legit").alias("part_legit"), "own")
-    order = Window.partitionBy("step").orderBy(F.desc("part_cents"), F.desc("part_legit"))
-    ahead = F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = F.least(F.col("own"), F.greatest(F.col("need") - F.col("ahead"), F.lit(0)))
-    steps = parts.join(F.broadcast(found), (F.col("_p") == F.col("score")) & (F.col("_t") == F.col("t"))).withColumn(
-        "ahead", ahead).groupBy("step", F.col("cut").alias("n"), "usd_before", "legit_before", "cents", "legit").agg(
-        F.sum(taken * F.col("part_cents")).alias("more_cents"), F.sum(taken * F.col("part_legit")).alias("more_legit")
-    ).select(
-        "step", "n", (F.col("usd_before") + ((F.col("cents") + F.col("more_cents")).cast("decimal(20,0)") / 100)).cast(
-            "double").alias("fraud_usd"),
-        (F.col("legit_before") + F.col("legit") + F.col("more_legit")).alias("n_legit"))
-    return cuts.select("step").join(steps, "step", "left").select(
+    alike = rows.groupBy(
+        F.coalesce(-F.col("probability"), F.lit(float("inf"))).alias("down"), F.col("auth_event_id").alias("id"),
+        (-cents).alias("less"), (-legit).alias("unknown")).agg(F.count("*").alias("own")).select(
+        "*", (-F.col("less") * F.col("own")).cast("decimal(38,0)").alias("cents"),
+        (-F.col("unknown") * F.col("own")).alias("legit"))
+    placed = ranks.running(alike, [], ["down", "id", "less", "unknown"], ["own", "cents", "legit"])
+    first, last = F.col("own_before"), F.col("own_before") + F.col("own")
+    cuts = [F.least(F.floor(F.col("own_total") * F.lit(share)), F.col("own_total")) for share in shares]
+    ends = [(cut > first) & (cut <= last) for cut in cuts]
+    ending = placed.where(reduce(lambda a, b: a | b, ends)).select(F.explode(F.array_compact(F.array(*[
+        F.when(end, F.struct(
+            F.lit(k).alias("step"), cut.alias("n"),
+            ((F.col("cents_before") - (cut - first) * F.col("less")).cast("decimal(20,0)") / 100).cast("double").alias("fraud_usd"),
+            (F.col("legit_before") - (cut - first) * F.col("unknown")).alias("n_legit")))
+        for k, (cut, end) in enumerate(zip(cuts, ends, strict=True), 1)]))).alias("_")).select("_.*")
+    steps = rows.sparkSession.createDataFrame([(k,) for k in range(1, len(shares) + 1)], "step int")
+    return steps.join(F.broadcast(ending), "step", "left").select(  # one row per share at most
         "step", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "fraud_usd", "n_legit")])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskspark.functions.numeric import rnd
+from riskspark.operators import ranks
 
 BINS = 10
 EXACT = "decimal(20,4)"
@@ -103,13 +103,11 @@ def mean(total: str, n: str) -> Column:
 
 
 def ks_statistic(rows: DataFrame, value: Column, side: Column, groups: list[str] | None = None) -> DataFrame:
-    """Largest gap between the two empirical distribution functions of a value with at most six decimals."""
+    """Largest gap between the two empirical distribution functions of a value; equal values are peers."""
     groups = groups or []
-    counts = rows.select(*groups, rnd(value, 6).alias("value"), side.alias("side")).groupBy(*groups, "value").agg(
+    counts = rows.select(*groups, value.alias("value"), side.alias("side")).groupBy(*groups, "value").agg(
         F.count_if(F.col("side")).alias("a"), F.count_if(~F.col("side")).alias("b"))
-    # The histogram bounds this window: at most 1,000,001 distinct values in [0, 1].
-    upto = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*groups)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return counts.select(*groups, gap.alias("gap"), "a", "b").groupBy(*groups).agg(
-        rnd(F.max("gap"), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
+    placed = ranks.running(counts, groups, ["value"], ["a", "b"])
+    return placed.groupBy(*groups).agg(
+        rnd(F.max(F.abs(share("a") - share("b"))), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))

@@ -32,8 +32,9 @@ def score_events(features: DataFrame, rules: list[S.Rule] = S.DEFAULT_RULES,
         "final_score": S.blend(F.col("calibrated_probability"), F.col("rule_score")),
     })
     scored = scored.withColumn("decision", S.decide(F.col("final_score"), F.col("high_rule_fired")))
-    # Whatever is decided is decided on unrounded scores; only what is put out has six decimals.
+    # Whatever is decided is decided on unrounded scores, which go along; only what is put out has six decimals.
     return scored.withColumns({
+        "raw_probability": F.col("calibrated_probability"),
         "auth_status": S.auth_status(F.col("decision")),
         "queue_name": F.when(F.col("decision") == "manual_review", S.case_queue_name(F.col("final_score"))),
         "priority": F.when(F.col("decision") == "manual_review", S.case_priority(F.col("final_score"))),

@@ -162,7 +162,7 @@ def by_segment(lake: Lake, start: str | None = None, end: str | None = None) ->
 def scored_labelled(lake: Lake) -> DataFrame:
     """Champion scores of events with their latest label (null where none): the sweep input."""
     scores = lake.model_scores.where("not shadow").select(
-        "auth_event_id", "event_time", F.col("calibrated_probability").alias("probability"),
+        "auth_event_id", "event_time", F.col("raw_probability").alias("probability"),
         first_nonzero(F.col("billing_amount_usd"), F.col("auth_amount")).alias("amount_usd"))
     return scores.join(latest_label(lake.labels).select("auth_event_id", "is_fraud"), "auth_event_id", "left")
 

@@ -27,17 +27,17 @@ def labelled_scores(lake: Lake, groups: dict[str, Column]) -> DataFrame:
     """Scores of all active models on events with a label, with the latest verdict."""
     label = economics.latest_label(lake.labels).select("auth_event_id", "is_fraud")
     return lake.model_scores.select(
-        "auth_event_id", F.col("calibrated_probability").alias("probability"),
+        "auth_event_id", F.col("raw_probability").alias("probability"),
         F.col("billing_amount_usd").alias("amount_usd"), *[c.alias(n) for n, c in groups.items()],
     ).join(label, "auth_event_id")
 
 
 def model_eval(lake: Lake) -> DataFrame:
     """Per model: ranking metrics, rates at the review cut and the decision mix."""
-    histogram = curves.score_histogram(
+    ordered = curves.scores_in_order(
         labelled_scores(lake, {"model_version": F.col("model_version")}), ["model_version"])
-    ranks = curves.ranking_metrics(histogram, ["model_version"])
-    rates = curves.confusion(histogram, ["model_version"], C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW).select(
+    ranks = curves.ranking_metrics(ordered, ["model_version"])
+    rates = curves.confusion(ordered, ["model_version"], C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW).select(
         "model_version", "sample_size", F.col("precision").alias("precision_at_review"),
         F.col("recall").alias("recall_at_review"), "false_positive_rate", "false_negative_rate")
     n = F.greatest(F.count("*"), F.lit(1))
@@ -56,9 +56,9 @@ def eval_harness(champion: DataFrame, challenger: DataFrame) -> DataFrame:
         challenger.withColumn("model_version", F.lit(CHALLENGER)))
     rows = rows.withColumn("segment", F.explode(F.array(F.lit("all"), F.col("segment"))))
     groups = ["model_version", "segment"]
-    histogram = curves.score_histogram(rows, groups)
-    return curves.ranking_metrics(histogram, groups).join(
-        curves.confusion(histogram, groups, C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), groups)
+    ordered = curves.scores_in_order(rows, groups)
+    return curves.ranking_metrics(ordered, groups).join(
+        curves.confusion(ordered, groups, C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), groups)
 
 
 COMPARED = ["auc_roc", "auc_pr", "precision", "recall", "f1", "false_positive_rate", "false_negative_rate"]
@@ -134,14 +134,14 @@ def shadow_experiment(scores: DataFrame, champion: str = C.CHAMPION_VERSION, cha
     """Both models on the same events, optionally those of [start, end): mean scores, shares at the review cut, agreement."""
     if start is not None:
         scores = scores.where((F.col("event_time") >= _at(start)) & (F.col("event_time") < _at(end)))
-    p = F.col("calibrated_probability")
+    p = F.col("raw_probability")
     both = scores.groupBy("auth_event_id").agg(
         F.max(F.when(F.col("model_version") == champion, p)).alias("a"),
         F.max(F.when(F.col("model_version") == challenger, p)).alias("b"))
     up_a, up_b, n = F.col("a") >= C.THRESHOLD_REVIEW, F.col("b") >= C.THRESHOLD_REVIEW, F.count("*")
 
     def average(column: str) -> Column:
-        return rnd(F.sum(F.col(column).cast("decimal(18,6)")).cast("double") / n, 6)
+        return rnd(F.sum(rnd(F.col(column), 6).cast("decimal(18,6)")).cast("double") / n, 6)
 
     return both.agg(
         average("a").alias("champion_avg_score"), average("b").alias("challenger_avg_score"),
@@ -338,7 +338,7 @@ def feature_separation(lake: Lake) -> DataFrame:
 
 
 def detection_rate(scored: DataFrame) -> DataFrame:
-    caught = F.count_if(F.col("calibrated_probability") > C.THRESHOLD_STEP_UP)
+    caught = F.count_if(F.col("raw_probability") > C.THRESHOLD_STEP_UP)
     return scored.groupBy(F.col("event_type").alias("fraud_type")).agg(
         F.count("*").alias("n"), caught.alias("caught"), ratio(caught, F.count("*")).alias("rate"))
 
@@ -346,14 +346,14 @@ def detection_rate(scored: DataFrame) -> DataFrame:
 def false_positive_concentration(lake: Lake) -> DataFrame:
     """Share of each channel in the genuine events scored above the step-up cut."""
     label = economics.latest_label(lake.labels).where(~F.col("is_fraud")).select("auth_event_id")
-    wrong = lake.scored_events.where(F.col("calibrated_probability") > C.THRESHOLD_STEP_UP).join(label, "auth_event_id")
+    wrong = lake.scored_events.where(F.col("raw_probability") > C.THRESHOLD_STEP_UP).join(label, "auth_event_id")
     counts = wrong.groupBy("channel").agg(F.count("*").alias("n"))
     # One row per channel.
     return counts.select("channel", "n", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
 
 
 def ks_two_sample(scored: DataFrame) -> DataFrame:
-    return drift.ks_statistic(scored, F.col("calibrated_probability"), F.col("event_time") >= _at(DRIFT_SPLIT))
+    return drift.ks_statistic(scored, F.col("raw_probability"), F.col("event_time") >= _at(DRIFT_SPLIT))
 
 
 # --- governance ----------------------------------------------------------------------------------------------------------------
@@ -397,13 +397,13 @@ def model_performance(lake: Lake, groups: dict[str, Column]) -> DataFrame:
     """Champion-score metrics of the events of each registered model."""
     label = economics.latest_label(lake.labels).select("auth_event_id", "is_fraud")
     rows = lake.scored_events.select(
-        "auth_event_id", F.col("calibrated_probability").alias("probability"),
+        "auth_event_id", F.col("raw_probability").alias("probability"),
         F.col("billing_amount_usd").alias("amount_usd"), *[c.alias(n) for n, c in groups.items()]).join(
         label, "auth_event_id")
     names = list(groups)
-    histogram = curves.score_histogram(rows, names)
-    return curves.ranking_metrics(histogram, names).join(
-        curves.confusion(histogram, names, C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), names)
+    ordered = curves.scores_in_order(rows, names)
+    return curves.ranking_metrics(ordered, names).join(
+        curves.confusion(ordered, names, C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), names)
 
 
 def model_health(lake: Lake) -> DataFrame:

@@ -109,9 +109,9 @@ def training_report(lake: Lake) -> DataFrame:
     tested = score_batch(model, rows.where("is_test")).select(
         "is_fraud", F.col("calibrated").alias("probability"), F.lit(0).cast("decimal(18,2)").alias("amount_usd"),
         F.lit("holdout").alias("sample"))
-    histogram = curves.score_histogram(tested, ["sample"])
-    metrics = curves.ranking_metrics(histogram, ["sample"]).join(
-        curves.confusion(histogram, ["sample"], C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), "sample")
+    ordered = curves.scores_in_order(tested, ["sample"])
+    metrics = curves.ranking_metrics(ordered, ["sample"]).join(
+        curves.confusion(ordered, ["sample"], C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW), "sample")
     names = ["auc_roc", "auc_pr", "precision", "recall", "f1", "sample_size"]
     pairs = [item for name in names for item in (F.lit(name), F.col(name).cast("double"))]
     importances = lake.spark.createDataFrame(

@@ -44,18 +44,19 @@ def model_scores(vectors: DataFrame, champion: str = C.CHAMPION_VERSION,
         "model_version": F.col("_m.model_version"), "shadow": F.col("_m.shadow")}).drop("_m")
     scored = rows.withColumn("fraud_probability", S.heuristic_score(F.col("model_version")))
     scored = scored.withColumn("calibrated_probability", S.calibrate_sigmoid(F.col("fraud_probability")))
-    # Labels and bands come from unrounded scores.
+    # Labels, bands and later decisions come from unrounded scores.
     return scored.withColumns({
+        "raw_probability": F.col("calibrated_probability"),
         "predicted_label": F.col("calibrated_probability") >= F.lit(C.THRESHOLD_REVIEW),
         "risk_band": S.risk_band(F.col("calibrated_probability")),
         "score_time": F.col("event_time"),
     }).withColumns({c: rnd(F.col(c), 6) for c in ("fraud_probability", "calibrated_probability")})
 
 
-def champion_scores(scores: DataFrame) -> DataFrame:
+def champion_scores(scores: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """The first non-shadow score of an event, else its first score."""
     return latest(scores, ["auth_event_id"], ["shadow", "score_time", "model_version"],
-                  ["model_version", "fraud_probability", "calibrated_probability", "risk_band"], first=True)
+                  ["model_version", "fraud_probability", "calibrated_probability", "risk_band", *also], first=True)
 
 
 def feature_contributions(vectors: DataFrame, importances: dict[str, float] | None = None) -> DataFrame:
@@ -93,8 +94,9 @@ def recommend(probability: Column) -> tuple[Column, Column]:
 
 
 def recommendations(scored: DataFrame) -> DataFrame:
-    champion = champion_scores(model_scores(scored)).select("auth_event_id", "calibrated_probability")
-    action, confidence = recommend(F.col("calibrated_probability"))
+    champion = champion_scores(model_scores(scored), ("raw_probability",)).select(
+        "auth_event_id", "calibrated_probability", "raw_probability")
+    action, confidence = recommend(F.col("raw_probability"))
     return cases(scored).select("case_id", "auth_event_id").join(champion, "auth_event_id").select(
         "case_id", "calibrated_probability", action.alias("recommendation"), confidence.alias("confidence"))
 

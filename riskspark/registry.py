@@ -119,7 +119,7 @@ def threshold_decision(lake: Lake) -> DataFrame:
 
     return views.model_scores(lake.scored_events).select(
         "auth_event_id", "model_version", S.decide_by_probability(
-            F.col("calibrated_probability"), cut(0.85, 0.60), cut(0.55, 0.45), cut(0.35, 0.30)).alias("decision"))
+            F.col("raw_probability"), cut(0.85, 0.60), cut(0.55, 0.45), cut(0.35, 0.30)).alias("decision"))
 
 
 job("recommend_action")(lambda lake: views.recommendations(lake.scored_events))

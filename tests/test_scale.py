@@ -170,7 +170,7 @@ def test_top_share_with_one_hot_score(spark):
             for i in range(500)]
     df = spark.createDataFrame(rows, "auth_event_id long, probability double, a int, is_fraud boolean").withColumn(
         "amount_usd", F.col("a").cast("decimal(18,2)"))
-    got = {r.step: (r.n, r.fraud_usd, r.n_legit) for r in curves.top_share_totals(df, [d / 10 for d in range(1, 11)], 64).collect()}
+    got = {r.step: (r.n, r.fraud_usd, r.n_legit) for r in curves.top_share_totals(df, [d / 10 for d in range(1, 11)]).collect()}
     ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
     for d in range(1, 11):
         top = ranked[: int(len(rows) * (d / 10))]
@@ -191,11 +191,11 @@ def test_quantiles(spark):
 
 def test_auc_of_a_perfect_classifier(spark):
     rows = [("m", 0.1, 100.0, False)] * 100 + [("m", 0.9, 100.0, True)] * 100
-    histogram = curves.score_histogram(spark.createDataFrame(
+    ordered = curves.scores_in_order(spark.createDataFrame(
         rows, "model string, probability double, amount_usd double, is_fraud boolean"), ["model"])
-    ranks = curves.ranking_metrics(histogram, ["model"]).first()
-    assert (ranks.auc_roc, ranks.auc_pr) == (1.0, 1.0)
-    rates = curves.confusion(histogram, ["model"], .85, .55).first()
+    found = curves.ranking_metrics(ordered, ["model"]).first()
+    assert (found.auc_roc, found.auc_pr) == (1.0, 1.0)
+    rates = curves.confusion(ordered, ["model"], .85, .55).first()
     assert (rates.recall, rates.prevented_loss, rates.expected_loss) == (1.0, 10000.0, 10000.0)
 
 
@@ -217,7 +217,7 @@ def test_top_share_with_repeated_ids(spark):
     """Each id twice: every step is filled, with as many rows as it asks for."""
     rows = [(i // 2, 0.5, Decimal(i), i % 3 == 0) for i in range(20)]
     df = spark.createDataFrame(rows, "auth_event_id long, probability double, amount_usd decimal(18,2), is_fraud boolean")
-    got = curves.top_share_totals(df, [k / 20 for k in range(1, 21)], 4).orderBy("step").collect()
+    got = curves.top_share_totals(df, [k / 20 for k in range(1, 21)]).orderBy("step").collect()
     ordered = sorted(rows, key=lambda r: (r[0], -(r[2] if r[3] else 0), r[3]))
     for k, r in enumerate(got, 1):
         assert (r.n, r.fraud_usd, r.n_legit) == (
@@ -251,3 +251,74 @@ def test_a_job_that_is_repeated_adds_nothing(lake, tmp_path):
     first = {r.job: r.rows_written for r in jobs.daily(lake, "2024-02-03", str(tmp_path)).collect()}
     assert first["backfill"] > 0 and first["drift"] == 19 and first["shadow"] == 1
     assert {r.rows_written for r in jobs.daily(lake, "2024-02-03", str(tmp_path)).collect()} == {0}
+
+
+def test_running_positions_by_brute_force(spark):
+    from riskspark.operators import ranks
+
+    draw = random.Random(17)
+    rows = list({(draw.choice(["a", "b", None, ""]), draw.choice([0.5, draw.random()]), k % 7): draw.randrange(9)
+                 for k in range(600)}.items())
+    df = spark.createDataFrame([(*k, v) for k, v in rows], "g string, p double, i int, n long").repartition(5)
+    for groups, part in ((["g"], df), ([], df.where("g = 'a'"))):
+        out = ranks.running(part, groups, ["p", "i"], ["n"])
+        assert out.count() == part.count()
+        for r in out.collect():
+            same = [(k, v) for k, v in rows if k[0] == r.g]
+            assert (r.n_before, r.n_total) == (sum(v for k, v in same if k[1:] < (r.p, r.i)), sum(v for _, v in same))
+    assert ranks.running(df.limit(0), ["g"], ["p"], ["n"]).count() == 0
+
+
+def test_scores_closer_than_six_decimals_are_ranked(spark):
+    """AUC, average precision, confusion and top shares on raw doubles, 1e-7 apart, with ties, against brute force."""
+    draw = random.Random(23)
+    rows = [(i, 0.55 + draw.randrange(-40, 40) * 1e-7, Decimal(draw.randrange(1, 500)), draw.random() < 0.3) for i in range(400)]
+    df = spark.createDataFrame(rows, "auth_event_id long, probability double, amount_usd decimal(18,2), is_fraud boolean").withColumn(
+        "model", F.lit("m"))
+    ordered = curves.scores_in_order(df, ["model"])
+    bad, good = [r[1] for r in rows if r[3]], [r[1] for r in rows if not r[3]]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good)
+    precision = sum(sum(b >= x for b in bad) / sum(r[1] >= x for r in rows) for x in bad) / len(bad)
+    found = curves.ranking_metrics(ordered, ["model"]).first()
+    assert (found.auc_roc, found.auc_pr) == (pytest.approx(auc, abs=1e-6), pytest.approx(precision, abs=1e-6))
+    rates = curves.confusion(ordered, ["model"], .85, .55).first()
+    assert rates.recall == pytest.approx(sum(b >= .55 for b in bad) / len(bad), abs=1e-6)
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for r in curves.top_share_totals(df, [0.1, 0.37, 1.0]).collect():
+        top = ranked[:int(400 * [0.1, 0.37, 1.0][r.step - 1])]
+        assert (r.n, r.fraud_usd, r.n_legit) == (len(top), sum(x[2] for x in top if x[3]), sum(not x[3] for x in top))
+    (few,) = curves.top_share_totals(df.limit(0), [0.5]).collect()
+    assert (few.n, few.fraud_usd, few.n_legit) == (0, 0, 0)
+
+
+def test_ks_by_brute_force(spark):
+    from riskspark.operators.drift import ks_statistic
+
+    draw = random.Random(29)
+    rows = [(0.5 + draw.randrange(50) * 1e-8, draw.random() < 0.4) for _ in range(300)] + [(0.5 + 2e-7, True)] * 30
+    df = spark.createDataFrame(rows, "v double, s boolean")
+    a, b = [v for v, s in rows if s], [v for v, s in rows if not s]
+    gap = max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v, _ in rows)
+    (row,) = ks_statistic(df, F.col("v"), F.col("s")).collect()
+    assert (row.ks, row.n_a, row.n_b) == (pytest.approx(gap, abs=1e-6), len(a), len(b))
+
+
+def test_buckets_of_a_tree(spark):
+    cuts = sorted({random.Random(1).random() for _ in range(91)})
+    values = [0.0, 1.0, *cuts, *[c - 1e-12 for c in cuts], *[c + 1e-12 for c in cuts]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.b for r in df.select("v", curves.bucket_of(F.col("v"), cuts).alias("b")).collect()}
+    assert got == {v: sum(c <= v for c in cuts) for v in values}
+
+
+def test_decisions_use_unrounded_scores(spark):
+    """0.5499996 rounds to 0.55, but stays below the cut in everything that decides."""
+    from riskspark.plans import evaluation
+
+    df = spark.createDataFrame([(1, "t", 0.3499997, 0.35), (2, "t", 0.36, 0.36)],
+                               "auth_event_id long, event_type string, raw_probability double, calibrated_probability double")
+    assert evaluation.detection_rate(df).first().caught == 1
+    both = spark.createDataFrame([(1, "a", 0.5499996, 0.55), (1, "b", 0.56, 0.56)],
+                                 "auth_event_id long, model_version string, raw_probability double, calibrated_probability double")
+    row = evaluation.shadow_experiment(both, "a", "b").first()
+    assert (row.champion_decline_pct, row.challenger_decline_pct, row.agreement_pct, row.champion_avg_score) == (0, 100, 0, 0.55)
