@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskspark import constants as C
 from riskspark.functions.numeric import rnd
 from riskspark.operators import curves
-from riskspark.operators.similarity import top_similar
+from riskspark.operators.similarity import similar_by_hash, top_similar
 from riskspark.plans import jobs
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
@@ -34,11 +34,11 @@ def similar_cases(lake: Lake, k: int = 5) -> DataFrame:
     return payload.join(found, "case_id").select("query_id", "rank", "case_id", "category", "score")
 
 
-def similar_to_cases(lake: Lake, every: int = 100, k: int = 5) -> DataFrame:
+def similar_to_cases(lake: Lake, every: int = 100, k: int = 5, hashed: bool = False) -> DataFrame:
     """The stored cases nearest to a case in hand, by the case's own vector: here those whose id `every` divides, against
-    all. A case that is stored finds itself."""
+    all. A case that is stored finds itself. `hashed` compares a case only with cases of its buckets."""
     asked = lake.case_vectors.where(F.col("case_id") % every == 0).select(F.col("case_id").alias("query_id"), "vector")
-    found = top_similar(lake.case_vectors, asked, k)
+    found = (similar_by_hash if hashed else top_similar)(lake.case_vectors, asked, k)
     payload = lake.case_vectors.select("case_id", "category")
     return payload.join(found, "case_id").select("query_id", "rank", "case_id", "category", "score")
 

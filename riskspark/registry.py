@@ -313,6 +313,7 @@ job("j_txn_360")(replay.transaction_360_text)
 # Similarity, training and batch scoring
 job("similar_cases")(ml.similar_cases)
 job("similar_to_cases")(ml.similar_to_cases)
+job("similar_by_hash")(lambda lake: ml.similar_to_cases(lake, hashed=True))
 job("case_vector_store")(ml.case_vector_store)
 job("training_set")(lambda lake: ml.training_set(lake))
 job("train_boosted")(ml.training_report)

@@ -199,18 +199,45 @@ def test_auc_of_a_perfect_classifier(spark):
     assert (rates.recall, rates.prevented_loss, rates.expected_loss) == (1.0, 10000.0, 10000.0)
 
 
-def test_similarity_in_several_passes(spark, monkeypatch):
+def test_similarity_in_blocks(spark):
+    """Any number of blocks gives the same rows, ties by id included."""
     import numpy as np
 
     draw = np.random.default_rng(1)
-    store, asked = draw.normal(size=(200, 8)), draw.normal(size=(9, 8))
+    store, asked = draw.integers(-2, 3, size=(200, 4)).astype(float), draw.integers(-2, 3, size=(9, 4)).astype(float)
+    store[7] = 0
     left = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(store)], "case_id long, vector array<double>")
     right = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, vector array<double>")
-    monkeypatch.setattr(similarity, "QUERIES_PER_PASS", 4)
-    got = {(r.query_id, r["rank"]): r.case_id for r in similarity.top_similar(left, right, 3).collect()}
-    cosine = asked @ store.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(store, axis=1)
-    for q in range(9):
-        assert [got[q, i + 1] for i in range(3)] == list(np.argsort(-cosine[q])[:3])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    cosine = np.round(unit(asked) @ unit(store).T, 6)
+    for blocks in ((1000, 1000), (16, 4), (1, 2)):
+        got = {(r.query_id, r["rank"]): r.case_id for r in similarity.top_similar(left, right, 3, *blocks).collect()}
+        assert got == {(q, i + 1): c for q in range(9) for i, c in enumerate(
+            np.lexsort((np.arange(200), -cosine[q]))[:3].tolist())}
+    plan = similarity.top_similar(left, right, 3, 16, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+    for f in (similarity.top_similar, similarity.similar_by_hash):
+        assert f(left.limit(0), right, 3).count() == f(left, right.limit(0), 3).count() == 0
+
+
+def test_recall_of_hashed_similarity(spark):
+    """At least 0.9 of the exact neighbours, on the stored vectors and on clustered ones; large buckets are cut."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(40, 32))
+    made = centres[draw.integers(0, 40, 6000)] + 0.6 * draw.normal(size=(6000, 32))
+    clustered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "case_id long, vector array<double>")
+    from riskspark.plans.lake import Lake
+
+    for vectors, block in ((clustered, 100), (Lake.of(spark, "/root/testdata/sf0.1").case_vectors, 32_768)):
+        asked = vectors.where(F.col("case_id") % 50 == 0).select(F.col("case_id").alias("query_id"), "vector")
+        exact = {(r.query_id, r.case_id) for r in similarity.top_similar(vectors, asked, 5).collect()}
+        found = similarity.similar_by_hash(vectors, asked, 5, bucket_rows=200, block=block).collect()
+        assert len({(r.query_id, r.case_id) for r in found}) == len(found)
+        recall = len(exact & {(r.query_id, r.case_id) for r in found}) / len(exact)
+        print(len(exact), recall)
+        assert recall >= 0.9
 
 
 def test_top_share_with_repeated_ids(spark):
