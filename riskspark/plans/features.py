@@ -31,6 +31,20 @@ ENTITY_KEYS = {
 # device     events in 1 d         accounts in 30 d
 # address    cards in 7 d          accounts in 7 d
 MEASURES = ["m1", "m2", "m3"]
+TOTALS = {
+    "customer_txn_count_1h": (CUSTOMER, "m1"), "customer_txn_count_24h": (CUSTOMER, "m2"),
+    "customer_spend_24h": (CUSTOMER, "m3"), "card_txn_count_10m": (CARD, "m1"), "merchant_txn_count_10m": (MERCHANT, "m1"),
+    "merchant_chargeback_rate_30d": (MERCHANT, "m3"), "device_txn_count_1d": (DEVICE, "m1"),
+    "device_account_count_30d": (DEVICE, "m2"), "ip_account_count_7d": (IP, "m2"), "ip_card_count_7d": (IP, "m1"),
+}
+#: Features that count distinct members: kind of entity, measure, member.
+MEMBERS = {
+    "device_account_count_30d": (DEVICE, "m2", "account_id"), "ip_account_count_7d": (IP, "m2", "account_id"),
+    "ip_card_count_7d": (IP, "m1", "card_id"),
+}
+P95 = {"amount_vs_customer_p95_ratio": (CUSTOMER, "customer_p95"), "amount_vs_merchant_p95_ratio": (MERCHANT, "merchant_p95")}
+PREVIOUS = ["geo_distance_from_last_txn_km", "seconds_since_last_txn"]
+DIMENSIONS = ["geo_distance_from_home_km", "geo_distance_from_last_txn_km", "proxy_vpn_tor_flag", "device_risk_score"]
 
 
 def entity_of(kind: str) -> str:
@@ -47,16 +61,16 @@ def _stacked(rows: list[list[str]], names: list[str]) -> str:
     return f"stack({len(rows)}, {', '.join(', '.join(row) for row in rows)}) as ({', '.join(names)})"
 
 
-def entity_rows(events: DataFrame) -> DataFrame:
-    """One narrow row per (event, entity it touches)."""
-    stack = _stacked([[entity_of(kind)] for kind in ENTITY_KEYS], ["entity"])
+def entity_rows(events: DataFrame, kinds: list[str] = list(ENTITY_KEYS)) -> DataFrame:
+    """One narrow row per (event, entity of these kinds it touches)."""
+    stack = _stacked([[entity_of(kind)] for kind in kinds], ["entity"])
     return _timed(events).selectExpr("auth_event_id", "t", stack).where("entity is not null")
 
 
-def _event_changes(events: DataFrame) -> DataFrame:
+def _event_changes(events: DataFrame, entities: list[str]) -> DataFrame:
     """Events of one entity at one time collapse to a count; the count is a gain now and a loss when each horizon of
     the entity's kind has passed."""
-    stack = _stacked([[entity_of(kind)] for kind in ENTITY_KEYS], ["entity"])
+    stack = _stacked([[entity_of(kind)] for kind in entities], ["entity"])
     at_time = _timed(events).selectExpr(stack, "t", "cents").where("entity is not null").groupBy("entity", "t").agg(
         F.count("*").alias("n"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"))
     kinds = {
@@ -78,11 +92,9 @@ def _event_changes(events: DataFrame) -> DataFrame:
     return kinded.selectExpr("entity", _stacked(rows, ["t", *MEASURES, "here"])).where("t is not null")
 
 
-def _member_changes(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Gains and losses for distinct accounts per device and distinct accounts and cards per address."""
-    rows = [
-        [entity_of(DEVICE), "'m2'", "account_id"], [entity_of(IP), "'m2'", "account_id"],
-        [entity_of(IP), "'m1'", "card_id"]]
+def _member_changes(events: DataFrame, members: list[tuple[str, str, str]], hot: DataFrame | None = None) -> DataFrame:
+    """Gains and losses for distinct members (kind of entity, measure, column)."""
+    rows = [[entity_of(kind), f"'{measure}'", column] for kind, measure, column in members]
     pairs = _timed(events).selectExpr(_stacked(rows, ["entity", "measure", "member"]), "t").where("entity is not null")
     horizon = F.when(F.col("entity").startswith(DEVICE), F.lit(DEVICE_ACCOUNTS)).otherwise(F.lit(IP_MEMBERS))
     changes = ranges.live_members(pairs, ["entity", "measure"], "member", horizon, "n", hot)
@@ -100,51 +112,57 @@ def _chargeback_changes(events: DataFrame, chargebacks: DataFrame) -> DataFrame:
     return changes.selectExpr("entity", "t", "0L as m1", "0L as m2", "cast(m3 as bigint) as m3", "false as here")
 
 
-def velocity_totals(events: DataFrame, chargebacks: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """The three running measures of each entity at every time at which it has an event."""
-    changes = _event_changes(events).unionByName(_member_changes(events, hot)).unionByName(
-        _chargeback_changes(events, chargebacks))
+def velocity_totals(events: DataFrame, chargebacks: DataFrame, names: list[str] = FEATURES,
+                    hot: DataFrame | None = None) -> DataFrame:
+    """The running measures that these features need, of each entity at every time at which it has an event."""
+    kinds = [k for k in ENTITY_KEYS if any(TOTALS[n][0] == k for n in names if n in TOTALS)]
+    changes = _event_changes(events, kinds)
+    if members := [MEMBERS[n] for n in names if n in MEMBERS]:
+        changes = changes.unionByName(_member_changes(events, members, hot))
+    if "merchant_chargeback_rate_30d" in names:
+        changes = changes.unionByName(_chargeback_changes(events, chargebacks))
     return ranges.running_totals(changes, ["entity"], MEASURES, keep=["here"], hot=hot).where("here").drop("here")
 
 
-def amount_p95(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """95th percentile of the amount over the last 90 days per customer and merchant: (entity, t, quantile)."""
-    stack = _stacked([[entity_of(CUSTOMER)], [entity_of(MERCHANT)]], ["entity"])
+def amount_p95(events: DataFrame, hot: DataFrame | None = None, kinds: tuple[str, ...] = (CUSTOMER, MERCHANT)) -> DataFrame:
+    """95th percentile of the amount over the last 90 days per entity of these kinds: (entity, t, quantile)."""
+    stack = _stacked([[entity_of(kind)] for kind in kinds], ["entity"])
     rows = _timed(events).where("cents is not null").selectExpr(stack, "t", "cents as value").where(
         "entity is not null")
     return ranges.range_quantile(rows, "entity", P95_HORIZON, 0.95, hot).withColumn(
         "quantile", F.col("quantile") / 100)
 
 
-def velocity_features(events: DataFrame, chargebacks: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """One row per event with the counts, rates and percentiles of all its entities."""
-    found = (
-        entity_rows(events)
-        .join(velocity_totals(events, chargebacks, hot), ["entity", "t"])
-        .join(amount_p95(events, hot), ["entity", "t"], "left")
-    )
+def entity_kinds(names: list[str]) -> list[str]:
+    """The kinds of entities whose timelines these features need."""
+    asked = {TOTALS[n][0] for n in names if n in TOTALS} | {P95[n][0] for n in names if n in P95}
+    return [k for k in ENTITY_KEYS if k in asked]
+
+
+def velocity_features(events: DataFrame, chargebacks: DataFrame, hot: DataFrame | None = None,
+                      names: list[str] = FEATURES) -> DataFrame:
+    """One row per event with those counts, rates and percentiles of its entities that `names` need; features that share no
+    timeline with them are not computed."""
+    totals, p95 = [n for n in names if n in TOTALS], [n for n in names if n in P95]
+    found = entity_rows(events, entity_kinds(names))
+    if totals:
+        found = found.join(velocity_totals(events, chargebacks, totals, hot), ["entity", "t"], "left")
+    if p95:
+        found = found.join(amount_p95(events, hot, tuple(P95[n][0] for n in p95)), ["entity", "t"], "left")
 
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("entity").startswith(kind), F.col(column)))
 
-    def count(kind: str, column: str, name: str) -> Column:
+    def feature(name: str) -> Column:
+        kind, column = TOTALS[name]
+        if name == "customer_spend_24h":
+            return (F.coalesce(of(kind, column), F.lit(0)).cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias(name)
+        if name == "merchant_chargeback_rate_30d":
+            return F.coalesce(rnd(of(kind, column) / of(kind, "m2"), 4), F.lit(0.0)).alias(name)
         return F.coalesce(of(kind, column), F.lit(0)).cast("bigint").alias(name)
 
     return found.groupBy("auth_event_id").agg(
-        count(CUSTOMER, "m1", "customer_txn_count_1h"),
-        count(CUSTOMER, "m2", "customer_txn_count_24h"),
-        (F.coalesce(of(CUSTOMER, "m3"), F.lit(0)).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
-        .alias("customer_spend_24h"),
-        count(CARD, "m1", "card_txn_count_10m"),
-        count(MERCHANT, "m1", "merchant_txn_count_10m"),
-        F.coalesce(rnd(of(MERCHANT, "m3") / of(MERCHANT, "m2"), 4), F.lit(0.0)).alias("merchant_chargeback_rate_30d"),
-        count(DEVICE, "m1", "device_txn_count_1d"),
-        count(DEVICE, "m2", "device_account_count_30d"),
-        count(IP, "m2", "ip_account_count_7d"),
-        count(IP, "m1", "ip_card_count_7d"),
-        of(CUSTOMER, "quantile").alias("customer_p95"),
-        of(MERCHANT, "quantile").alias("merchant_p95"),
-    )
+        *[feature(n) for n in totals], *[of(P95[n][0], "quantile").alias(P95[n][1]) for n in p95])
 
 
 def previous_events(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -186,37 +204,48 @@ def with_dimensions(
 
 def event_features(
     events: DataFrame, chargebacks: DataFrame, customers: DataFrame, devices: DataFrame, ips: DataFrame,
-    places: DataFrame, hot_rows: int = ranges.HOT_ROWS,
+    places: DataFrame, hot_rows: int = ranges.HOT_ROWS, names: list[str] = FEATURES,
 ) -> DataFrame:
-    """Events with all 19 features as of their own time: frames are [t - horizon, t] and never see the future.
+    """Events with the named features (all 19) as of their own time: frames are [t - horizon, t] and never see the future.
+    Only the timelines, dimensions and joins that these features need are in the plan.
 
     Entities with more than `hot_rows` events are found first; their timelines are cut into slices.
     """
-    hot = ranges.hot_keys(entity_rows(events), "entity", hot_rows)
-    previous_ip = with_coordinates(ips, places, "geo_country_code", "geo_city").select(
-        F.col("ip_address").alias("_last_ip"), F.col("lat").alias("last_lat"), F.col("lon").alias("last_lon"))
-    joined = (
-        with_dimensions(events, customers, devices, ips, places)
-        .join(previous_events(events, hot).select("auth_event_id", "t", "prev_t", "prev_ip"), "auth_event_id", "left")
-        .join(previous_ip, F.col("prev_ip") == F.col("_last_ip"), "left")
-        .join(velocity_features(events, chargebacks, hot), "auth_event_id", "left")
-    )
-    moved = F.when(F.col("ip_lat").isNotNull() & (F.col("prev_ip") == F.col("ip_address")), F.lit(0.0)).otherwise(
-        rnd(haversine_km(F.col("last_lat"), F.col("last_lon"), F.col("ip_lat"), F.col("ip_lon")), 3))
-    amount = F.col("auth_amount").cast("double")
+    any_of = lambda group: any(n in group for n in names)
+    kinds = entity_kinds(names)
+    if any_of(PREVIOUS) and CUSTOMER not in kinds:
+        kinds = [CUSTOMER, *kinds]
+    hot = ranges.hot_keys(entity_rows(events, kinds), "entity", hot_rows) if kinds else None
+    joined, amount = events, F.col("auth_amount").cast("double")
+    if any_of(DIMENSIONS):
+        joined = with_dimensions(joined, customers, devices, ips, places)
+    if any_of(PREVIOUS):
+        joined = joined.join(
+            previous_events(events, hot).select("auth_event_id", "t", "prev_t", "prev_ip"), "auth_event_id", "left")
+    if "geo_distance_from_last_txn_km" in names:
+        joined = joined.join(with_coordinates(ips, places, "geo_country_code", "geo_city").select(
+            F.col("ip_address").alias("_last_ip"), F.col("lat").alias("last_lat"), F.col("lon").alias("last_lon")),
+            F.col("prev_ip") == F.col("_last_ip"), "left")
+    if any_of(TOTALS) or any_of(P95):
+        # An event without any of these entities has no row there: nothing was counted.
+        joined = joined.join(velocity_features(events, chargebacks, hot, names), "auth_event_id", "left").withColumns(
+            {n: F.coalesce(n, F.lit(0)) for n in names if n in TOTALS})
 
     def against(p95: str) -> Column:
         return F.coalesce(
             F.when((F.col(p95) > 0) & (amount != 0), rnd(amount / F.col(p95), 4)), F.lit(0.0))
 
-    return joined.withColumns({
-        "geo_distance_from_last_txn_km": moved,
-        "seconds_since_last_txn": F.expr("(t - prev_t) div 1000000"),
-        "amount_vs_customer_p95_ratio": against("customer_p95"),
-        "amount_vs_merchant_p95_ratio": against("merchant_p95"),
-        "behavioral_risk_score": F.lit(0.0),
-        "graph_cluster_risk_score": F.lit(0.0),
-    }).select(*events.columns, *FEATURES)
+    derived = {
+        "geo_distance_from_last_txn_km": lambda: F.when(
+            F.col("ip_lat").isNotNull() & (F.col("prev_ip") == F.col("ip_address")), F.lit(0.0)).otherwise(
+            rnd(haversine_km(F.col("last_lat"), F.col("last_lon"), F.col("ip_lat"), F.col("ip_lon")), 3)),
+        "seconds_since_last_txn": lambda: F.expr("(t - prev_t) div 1000000"),
+        "amount_vs_customer_p95_ratio": lambda: against("customer_p95"),
+        "amount_vs_merchant_p95_ratio": lambda: against("merchant_p95"),
+        "behavioral_risk_score": lambda: F.lit(0.0),
+        "graph_cluster_risk_score": lambda: F.lit(0.0),
+    }
+    return joined.withColumns({n: column() for n, column in derived.items() if n in names}).select(*events.columns, *names)
 
 
 def scoring_vector(features: DataFrame, *keep: str) -> DataFrame:

@@ -113,12 +113,18 @@ class Lake:
     def case_vectors(self) -> DataFrame:
         return tables.case_vectors(self.scan("embeddings"))
 
-    @cached_property
-    def feature_events(self) -> DataFrame:
+    def some_features(self, names: list[str]) -> DataFrame:
+        """Events with these features; nothing else is computed and nothing persisted."""
         from riskspark.plans.features import event_features
 
         return event_features(
-            self.auth_events, self.chargebacks, self.customers, self.devices, self.ips, self.gazetteer).persist()
+            self.auth_events, self.chargebacks, self.customers, self.devices, self.ips, self.gazetteer, names=names)
+
+    @cached_property
+    def feature_events(self) -> DataFrame:
+        from riskspark.constants import FEATURES
+
+        return self.some_features(FEATURES).persist()
 
     @cached_property
     def scored_events(self) -> DataFrame:

@@ -273,7 +273,7 @@ for _name, _columns in {
     "w_geo_home": ["geo_distance_from_home_km"], "w_geo_last": ["geo_distance_from_last_txn_km"],
     "w_seconds_since_last": ["seconds_since_last_txn"],
 }.items():
-    job(_name)(lambda lake, names=_columns: lake.feature_events.select("auth_event_id", *names))
+    job(_name)(lambda lake, names=_columns: lake.some_features(names).select("auth_event_id", *names))
 job("features_offline")(lambda lake: jobs.offline_features(lake, "2024-01-20 00:00:00").select(
     "auth_event_id", *FEATURES))
 job("label_snapshot")(lambda lake: jobs.label_snapshot(
