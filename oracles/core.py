@@ -7,6 +7,16 @@ from oracles.base import (
 )
 from riskspark import constants as C
 
+
+
+def _json_number(name: str) -> str:
+    """A feature as JSON text. Ratios and rates have four decimals, and below a thousandth they are written as 3.0E-4."""
+    plain = f"CAST({name} AS VARCHAR)"
+    if not name.endswith(("_ratio", "_rate_30d")):
+        return plain
+    return f"CASE WHEN {name} > 0 AND {name} < 0.001 THEN CAST(round({name} * 10000) AS INT) || '.0E-4' ELSE {plain} END"
+
+
 FRAGMENTS.update({
     "model_versions": "SELECT * FROM (VALUES ('xgb-v4.2.0', false), ('lgb-v5.0.0-rc1', true)) v(model_version, shadow)",
     "all_scores": f"""SELECT * REPLACE ({r('fraud_probability', 6)} AS fraud_probability,
@@ -118,6 +128,11 @@ FROM stored_events e LEFT JOIN ip_places i USING (ip_address) LEFT JOIN home_pla
     "device_risk": "SELECT auth_event_id, device_id, device_risk_score FROM features",
     "ip_flags": "SELECT auth_event_id, ip_address, proxy_vpn_tor_flag FROM features",
     "scoring_vector": f"SELECT auth_event_id, {VECTOR} FROM features",
+    "case_vector_store": """SELECT md5(CAST(vec_id AS VARCHAR)) AS point_id, vec_id AS case_id, label AS category,
+  CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings""",
+    # Null fields are left out, as array_to_string does.
+    "feature_json": "SELECT auth_event_id, '{{' || array_to_string([{0}], ',') || '}}' AS feature_json FROM features".format(
+        ", ".join(f"""'"{n}":' || {_json_number(n)}""" for n in C.FEATURES)),
     "json_vector": f"SELECT auth_event_id, {VECTOR} FROM features",
     "rules_eval": _rules,
     "rules_score": "SELECT auth_event_id, rule_score, high_rule_fired FROM scores",

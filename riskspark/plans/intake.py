@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.constants import FEATURES
-from riskspark.operators import contracts
+from riskspark.operators import contracts, snapshots
 from riskspark.operators.merge import latest, merge_snapshot
 from riskspark.plans.lake import Lake
 from riskspark.session import checkpoint_dir
@@ -69,6 +69,14 @@ def label_records(lake: Lake) -> DataFrame:
         F.coalesce("investigator_id", F.lit("label_service")).alias("actor_id"))
 
 
+def _merged(lake: Lake, current: DataFrame, updates: DataFrame, key: str, update_only: list[str]) -> DataFrame:
+    """The snapshot after a merge: written by key hash, then rewritten where updates fall."""
+    path = f"{checkpoint_dir(lake.spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshots.write(current, path, key)
+    snapshots.merge(path, updates, key, lambda stored, new: merge_snapshot(stored, new, key, update_only, {}))
+    return snapshots.read(lake.spark, path).drop(snapshots.SHARD)
+
+
 def upsert_customers(lake: Lake) -> DataFrame:
     """Latest KYC update per customer merged into the customer snapshot."""
     current = lake.customers.select(
@@ -81,7 +89,7 @@ def upsert_customers(lake: Lake) -> DataFrame:
         F.lit("US").alias("home_country_code"))
     updates = latest(arrived, ["customer_id"], ["updated_at", "event_id"],
                      ["kyc_status", "risk_segment", "updated_at", "home_country_code"])
-    return merge_snapshot(current, updates, "customer_id", ["kyc_status", "risk_segment", "updated_at"], {})
+    return _merged(lake, current, updates, "customer_id", ["kyc_status", "risk_segment", "updated_at"])
 
 
 def upsert_devices(lake: Lake) -> DataFrame:
@@ -97,7 +105,7 @@ def upsert_devices(lake: Lake) -> DataFrame:
         "device_id", "device_fingerprint", F.col("event_time").alias("first_seen_at"),
         F.col("event_time").alias("last_seen_at"), F.lit(False).alias("emulator_flag"),
         F.lit(False).alias("rooted_jailbroken_flag"))
-    return merge_snapshot(current, updates, "device_id", ["device_fingerprint", "last_seen_at"], {})
+    return _merged(lake, current, updates, "device_id", ["device_fingerprint", "last_seen_at"])
 
 
 def lifecycle(scored: DataFrame) -> DataFrame:

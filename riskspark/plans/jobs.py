@@ -27,6 +27,12 @@ def offline_features(lake: Lake, cutoff: str) -> DataFrame:
         lake.customers, lake.devices, lake.ips, lake.gazetteer)
 
 
+def offline_training(lake: Lake, run_date: str) -> DataFrame:
+    """What the offline store has for the drift job of a date: features recomputed from the history before the last 30 days."""
+    start = datetime.date.fromisoformat(run_date) - datetime.timedelta(days=30)
+    return offline_features(lake, f"{start} 00:00:00")
+
+
 def existing_offline(lake: Lake, snapshot_date: str) -> DataFrame:
     """Rows an earlier run of the test data has already written."""
     return lake.auth_events.where(F.col("auth_event_id") % 7 == 0).select(
@@ -73,11 +79,10 @@ def daily(lake: Lake, run_date: str, path: str) -> DataFrame:
     if (own := written("label_snapshot")) is not None:
         snapshots = snapshots.unionByName(own.select("auth_event_id", "snapshot_date"))
     last_day = (datetime.date.fromisoformat(run_date) - datetime.timedelta(days=1)).isoformat()
-    offline = lake.feature_events.where(F.col("event_time") < _midnight(run_date))
     parts = {
         "backfill": backfill(lake, run_date, stored),
         "label_snapshot": label_snapshot(lake, run_date, 7, snapshots),
-        "drift": evaluation.daily_drift(offline, lake.feature_events, run_date),
+        "drift": evaluation.daily_drift(offline_training(lake, run_date), lake.feature_events, run_date),
         "shadow": evaluation.shadow_experiment(lake.model_scores, start=last_day, end=run_date),
     }
     counts = []

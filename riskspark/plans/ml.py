@@ -44,8 +44,8 @@ def similar_to_cases(lake: Lake, every: int = 100, k: int = 5, hashed: bool = Fa
 
 
 def store_cases(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by point id, the hash of the case id; a new vector replaces the stored one."""
-    point = F.xxhash64(F.col("case_id").cast("string")).alias("point_id")
+    """Upsert by point id, the MD5 of the case id; a new vector replaces the stored one."""
+    point = F.md5(F.col("case_id").cast("string").cast("binary")).alias("point_id")
     rows = stored.select(point, "*", F.lit(0).alias("_new")).unionByName(new.select(point, "*", F.lit(1).alias("_new")))
     columns = [c for c in rows.columns if c not in ("point_id", "_new")]
     return rows.groupBy("point_id").agg(F.max_by(F.struct(*columns), "_new").alias("r")).select("point_id", "r.*")

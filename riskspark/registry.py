@@ -226,7 +226,8 @@ job("eval_regression")(lambda lake: evaluation.eval_regression(
 job("drift_psi")(lambda lake: evaluation.feature_drift(lake.feature_events).select("feature", "psi"))
 job("drift_js")(lambda lake: evaluation.feature_drift(lake.feature_events).select("feature", "js"))
 job("drift_feature")(lambda lake: evaluation.feature_drift(lake.feature_events))
-job("drift_daily")(lambda lake: evaluation.daily_drift(lake.feature_events, lake.feature_events, "2024-02-03"))
+job("drift_daily")(lambda lake: evaluation.daily_drift(
+    jobs.offline_training(lake, "2024-02-03"), lake.feature_events, "2024-02-03"))
 job("shadow_experiment")(lambda lake: evaluation.shadow_experiment(lake.model_scores))
 
 

@@ -9,7 +9,8 @@ slices, which a per-key state could not. The log itself is the state; a repeated
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +56,15 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], path: str, m
     return query
 
 
-def _store(rows: DataFrame, path: str, batch: int) -> None:
-    """One batch owns one folder, so a batch that runs again replaces its rows."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> None:
+    """One batch owns one folder, so a batch that runs again replaces its rows; within it, a folder per value of `by`."""
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch={batch}")
 
 
-def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to apply, late rows) of a batch, and a record of it under `path/progress`.
+@contextmanager
+def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(rows to apply, late rows) of a batch, cached while the context lasts, and a record of it under `path/progress`.
 
     A row is late if it is older than the newest event of all earlier batches by more than `delay`. Late rows are returned,
     not dropped, so each has a place in some output. A row to apply is the first with its id: repeats in the batch, and
@@ -80,15 +83,19 @@ def _intake(spark: SparkSession, batch: DataFrame, path: str, number: int, delay
     first = Window.partitionBy("auth_event_id").orderBy("event_time")
     fresh = marked.where("not _late").drop("_late").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if mark is not None:
-        applied = spark.read.schema("auth_event_id long, event_time timestamp_ntz, batch int").parquet(ids).where(
-            (F.col("batch") < number)
-            & (F.col("event_time") >= F.lit(mark).cast("timestamp_ntz") - F.expr(f"interval {delay}")))
+        # Only the days that repeats can lie in are read.
+        since = F.lit(mark).cast("timestamp_ntz") - F.expr(f"interval {delay}")
+        applied = spark.read.schema("auth_event_id long, event_time timestamp_ntz, batch int, event_date date").parquet(ids).where(
+            (F.col("batch") < number) & (F.col("event_date") >= F.to_date(since)) & (F.col("event_time") >= since))
         fresh = fresh.join(applied.select("auth_event_id"), "auth_event_id", "left_anti")
-    _store(fresh.select("auth_event_id", "event_time"), ids, number)
+    _store(fresh.select("auth_event_id", "event_time", F.to_date("event_time").alias("event_date")), ids, number, "event_date")
     record = marked.agg(F.max("event_time").alias("newest"), F.count("*").alias("rows"), F.count_if("_late").alias("late"))
-    count = spark.read.parquet(f"{ids}/batch={number}").agg(F.count("*").alias("applied"))
+    count = spark.read.schema("auth_event_id long").parquet(f"{ids}/batch={number}").agg(F.count("*").alias("applied"))
     _store(record.crossJoin(count).select("newest", "rows", "applied", "late"), progress, number)
-    return fresh, late
+    try:
+        yield fresh, late
+    finally:
+        marked.unpersist()
 
 
 def ingest(spark: SparkSession, folder: str, path: str, files_per_batch: int | None = None,
@@ -98,12 +105,12 @@ def ingest(spark: SparkSession, folder: str, path: str, files_per_batch: int | N
         "entry_mode", F.lit(None).cast("string"))
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh, late = _intake(spark, batch, path, number, delay)
-        checked = contracts.validate(fresh, contracts.AUTH_EVENT).persist()
-        _store(checked.where("valid").drop("errors", "valid"), f"{path}/valid", number)
-        held = late.withColumns({"errors": F.array(F.lit(f"late: more than {delay} behind")), "valid": F.lit(False)})
-        _store(checked.where("not valid").unionByName(held), f"{path}/quarantine", number)
-        checked.unpersist()
+        with _intake(spark, batch, path, number, delay) as (fresh, late):
+            checked = contracts.validate(fresh, contracts.AUTH_EVENT).persist()
+            _store(checked.where("valid").drop("errors", "valid"), f"{path}/valid", number)
+            held = late.withColumns({"errors": F.array(F.lit(f"late: more than {delay} behind")), "valid": F.lit(False)})
+            _store(checked.where("not valid").unionByName(held), f"{path}/quarantine", number)
+            checked.unpersist()
 
     return run(raw, write, path)
 
@@ -160,11 +167,11 @@ def score(lake: Lake, path: str, files_per_batch: int | None = None, folder: str
     def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        fresh, late = _intake(spark, batch, path, number, delay)
-        _store(late, f"{path}/late", number)
-        dated = fresh.withColumn("event_date", F.to_date("event_time"))
-        dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{log}/batch={number}")
-        schema = StructType([*fresh.schema.fields, StructField("event_date", DateType())])
+        with _intake(spark, batch, path, number, delay) as (fresh, late):
+            _store(late, f"{path}/late", number)
+            fields = fresh.schema.fields
+            _store(fresh.withColumn("event_date", F.to_date("event_time")), log, number, "event_date")
+        schema = StructType([*fields, StructField("event_date", DateType())])
         new = spark.read.schema(schema).parquet(f"{log}/batch={number}").drop("event_date")
         if new.isEmpty():
             return
@@ -260,7 +267,12 @@ def late_rows(lake: Lake, folder: str | None = None, files_per_batch: int | None
     spark = lake.spark
     path = run_folder(spark)
     raw = tables.auth_events(read_feed(spark, folder or lake.folder, files_per_batch))
-    run(raw, lambda batch, number: _store(_intake(spark, batch, path, number, delay)[1], f"{path}/late", number), path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        with _intake(spark, batch, path, number, delay) as (_, late):
+            _store(late, f"{path}/late", number)
+
+    run(raw, write, path)
     return spark.read.parquet(f"{path}/progress").agg(
         F.coalesce(F.sum("applied"), F.lit(0)).alias("applied"), F.coalesce(F.sum("late"), F.lit(0)).alias("dropped"))
 
