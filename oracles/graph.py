@@ -78,6 +78,7 @@ UNION ALL SELECT node, NULL, 'node', NULL, min(event_time), max(event_time)
 FROM (SELECT event_time, unnest([{', '.join(_nodes)}]) AS node FROM stored_events) WHERE node IS NOT NULL GROUP BY 1""",
     "graph_node_risk": "SELECT * FROM graph_nodes",
     "graph_components": "SELECT * FROM comps",
+    "graph_components_grown": "SELECT * FROM comps",
     "graph_khop": "SELECT root, n_nodes, n_accounts, n_devices, n_ips FROM hop_totals",
     "graph_risk": """SELECT a.*, c.component AS cluster_id FROM account_risk a JOIN comps c ON c.node = 'account:' || a.account_id""",
     "graph_synthetic": "SELECT account_id, synthetic_identity FROM account_risk",

@@ -6,9 +6,10 @@ each other: components move minima along edges, and two-hop totals treat the nei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.operators import snapshots
 from riskspark.operators.skew import with_groups
 from riskspark.session import checkpoint_dir
 
@@ -60,6 +61,61 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "node", F.coalesce("_root", "node").alias("component"))
 
 
+def store_components(path: str, nodes: DataFrame, edges: DataFrame) -> None:
+    """A new component table at `path`, dealt into parts by component; `grow_components` adds to it."""
+    snapshots.write(components(nodes, edges), path, "component")
+
+
+def stored_components(spark: SparkSession, path: str) -> DataFrame:
+    """(node, component) as stored; every touched part has a row without a node, so that it is replaced even if it empties."""
+    return spark.read.parquet(path).where(F.col("node").isNotNull()).select("node", "component")
+
+
+def grow_components(path: str, nodes: DataFrame, edges: DataFrame) -> list[int]:
+    """Adds new nodes and edges to the stored components and returns the parts that were rewritten.
+
+    Both ends of a new edge become the component they are stored under, or themselves if they are new. Components are then
+    found in this small graph alone, and only parts that hold a component that changed its name or gained nodes are written
+    again. An increment that is repeated changes nothing.
+    """
+    spark = nodes.sparkSession
+    checkpoint_dir(spark)
+    fresh = nodes.select("node").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(fresh).distinct()
+    known = stored_components(spark, path).join(ends, "node", "left_semi").withColumnRenamed("component", "_home").checkpoint()
+    placed = ends.join(known, "node", "left").select("node", F.coalesce("_home", "node").alias("at"), F.col("_home").isNull().alias(
+        "new")).checkpoint()
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("_n"))
+    homes = degree.join(placed, "node")
+    contracted = edges.select("src", "dst")
+    for side in ("src", "dst"):
+        other = "dst" if side == "src" else "src"
+        at = homes.select(F.col("node").alias(side), F.col("at").alias("_at"), "_n")
+        contracted = with_groups(contracted, at, [side], "_n").select(F.col(other), F.col("_at").alias(side))
+    found = components(placed.select(F.col("at").alias("node")).distinct(), contracted.distinct()).checkpoint()
+    changed = found.where("node <> component").unionByName(found.join(
+        placed.where("new").select(F.col("at").alias("node")).distinct(), "node", "left_semi")).distinct()
+    parts = changed.select(F.explode(F.array("node", "component")).alias("component")).select(
+        snapshots.shard_of("component").alias("part")).distinct()
+    touched = sorted(r.part for r in parts.collect())  # at most the number of parts
+    if not touched:
+        return []
+    names = found.select(F.col("node").alias("component"), F.col("component").alias("_name"))
+    old = spark.read.parquet(path).where(F.col(snapshots.SHARD).isin(touched) & F.col("node").isNotNull()).join(
+        names, "component", "left").select("node", F.coalesce("_name", "component").alias("component"))
+    added = placed.where("new").select("node", F.col("at").alias("component")).join(names, "component").select(
+        "node", F.col("_name").alias("component"))
+    rows = old.unionByName(added).withColumn(snapshots.SHARD, snapshots.shard_of("component"))
+    marks = spark.createDataFrame([(None, None, t) for t in touched], f"node {_kind(rows)}, component {_kind(rows)}, shard int")
+    rows.unionByName(marks).repartition(snapshots.SHARD).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(snapshots.SHARD).parquet(path)
+    return touched
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["node"].dataType.simpleString()
+
+
 def expand(pairs: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(root, node, hop): every node within `hops` of each root with its distance, the root itself left out.
 

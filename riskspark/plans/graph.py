@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,9 @@ from pyspark.sql.window import Window
 from riskspark.functions.numeric import ratio, rnd
 from riskspark.operators import graph as G
 from riskspark.plans.decisions import score_events
+from riskspark.plans.economics import within
 from riskspark.plans.lake import Lake
+from riskspark.session import checkpoint_dir
 
 MAX_WEIGHT = 50.0
 RISKY = 0.5
@@ -73,6 +77,20 @@ def upsert(lake: Lake, split: str = "2024-01-20 00:00:00") -> DataFrame:
         F.lit(None).cast("double").alias("weight"), "first_seen", "last_seen"))
 
 
+def growing_components(lake: Lake, splits: tuple[str, ...] = ("2024-01-10", "2024-01-20")) -> DataFrame:
+    """(node, component) of the graph, stored for the events before the first time and grown by those after each."""
+    path = f"{checkpoint_dir(lake.spark)}/components-{uuid.uuid4().hex}"
+    times = [None, *splits, None]
+    for k, (start, end) in enumerate(zip(times[:-1], times[1:], strict=True)):
+        links = edges(within(lake.auth_events, start, end))
+        seen = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        if k == 0:
+            G.store_components(path, lake.graph_nodes.select("node"), links)
+        else:
+            G.grow_components(path, seen, links)
+    return G.stored_components(lake.spark, path)
+
+
 def set_node_risk(nodes: DataFrame, updates: DataFrame) -> DataFrame:
     """Nodes with new risk values where given, the old value (0 when none) elsewhere."""
     new = updates.select("node", F.col("risk").alias("_risk"))

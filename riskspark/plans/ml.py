@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +22,10 @@ from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
 
 
+#: Folds of the cross-fitted calibration, and steps of its histogram.
+FOLDS, BINS = 3, 10_000
+
+
 def category_profiles(store: DataFrame) -> DataFrame:
     """The mean vector of each category: one query per category."""
     return store.groupBy(F.col("category").cast("bigint").alias("query_id")).agg(
@@ -75,8 +81,37 @@ def training_set(lake: Lake, snapshot_date: str = "2024-02-25", maturity_days: i
         "is_test", held_out(F.col("is_fraud"), F.col("auth_event_id")))
 
 
+def fold_of(key: Column, folds: int = FOLDS) -> Column:
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 9, 8), 16, 10).cast("bigint") % folds
+
+
+def out_of_fold(estimator: GBTClassifier, vectors: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(label, raw_probability) of every row, under a model that did not see its fold. A fold whose others have one class
+    only is left out."""
+    scored = []
+    for k in range(folds):
+        others = vectors.where(F.col("fold") != k)
+        if others.agg(F.count_distinct("label")).first()[0] < 2:
+            continue
+        scored.append(estimator.fit(others).transform(vectors.where(F.col("fold") == k)).select(
+            "label", vector_to_array("probability")[1].alias("raw_probability")))
+    if not scored:
+        return vectors.select("label", F.lit(0.5).alias("raw_probability"))
+    return reduce(DataFrame.unionByName, scored)
+
+
+def score_bins(rows: DataFrame) -> DataFrame:
+    """(raw_probability, label, n): scores rounded to one in `BINS`, with the share of positives and the number of rows."""
+    return rows.groupBy((F.round(F.col("raw_probability") * BINS) / BINS).alias("raw_probability")).agg(
+        F.avg("label").alias("label"), F.count("*").cast("double").alias("n"))
+
+
 def train_boosted(rows: DataFrame, trees: int = 10, depth: int = 4) -> PipelineModel:
-    """Class-weighted boosted trees and an isotonic calibration of their raw probability, as one fitted pipeline."""
+    """Class-weighted boosted trees and an isotonic calibration of their raw probability, as one fitted pipeline.
+
+    The calibration is cross-fitted: each third of the rows, by a hash of the event, is scored by trees that were fitted on
+    the other two, and violators are pooled on the histogram of these scores, `BINS` + 1 weighted rows at most.
+    """
     train = rows.where(~F.col("is_test")).withColumn("label", F.col("is_fraud").cast("double"))
     # One row: the class weight.
     n, positive = train.agg(F.count("*"), F.sum("label")).first()
@@ -84,11 +119,12 @@ def train_boosted(rows: DataFrame, trees: int = 10, depth: int = 4) -> PipelineM
     assembled = VectorAssembler(inputCols=C.FEATURES, outputCol="features")
     vectors = assembled.transform(train).withColumn(
         "weight", F.when(F.col("label") == 1.0, F.lit(float(weight))).otherwise(F.lit(1.0))).select(
-        "features", "label", "weight").persist()
-    booster = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42, weightCol="weight",
-                            predictionCol="predicted").fit(vectors)
-    raw = booster.transform(vectors).select("label", vector_to_array("probability")[1].alias("raw_probability"))
-    calibration = IsotonicRegression(featuresCol="raw_probability", predictionCol="calibrated").fit(raw)
+        "features", "label", "weight", fold_of(F.col("auth_event_id")).alias("fold")).persist()
+    boosting = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42, weightCol="weight",
+                             predictionCol="predicted")
+    booster = boosting.fit(vectors)
+    calibration = IsotonicRegression(featuresCol="raw_probability", predictionCol="calibrated", weightCol="n").fit(
+        score_bins(out_of_fold(boosting, vectors)))
     vectors.unpersist()
     return PipelineModel([assembled, booster, calibration])
 

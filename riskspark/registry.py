@@ -299,6 +299,7 @@ job("edge_type_profile")(lambda lake: graph.edge_type_profile(lake.graph_edges))
 job("graph_upsert")(graph.upsert)
 job("graph_node_risk")(lambda lake: lake.graph_nodes)
 job("graph_components")(lambda lake: lake.graph_components)
+job("graph_components_grown")(graph.growing_components)
 job("graph_khop")(lambda lake: graph.account_hops(lake).select(
     "root", "n_nodes", "n_accounts", "n_devices", "n_ips"))
 job("graph_risk")(graph.graph_risk)
