@@ -64,13 +64,14 @@ def signatures(column: pa.Array, width: int = WIDTH) -> np.ndarray:
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The share of equal components, row by row: 1 for two texts without words, 0 if only one has none."""
-    return (left == right).mean(1)
+    """The similarity that two fingerprints, a byte of each component, tell: the share of equal bytes, less what agrees by
+    chance, which is one byte in 256 of those that differ."""
+    return np.clip(((left == right).mean(1) * 256 - 1) / 255, 0, 1)
 
 
-def short(signed: np.ndarray) -> list[bytes]:
-    """A byte of each component."""
-    return [row.tobytes() for row in signed.astype(np.uint8)]
+def prints(column: pa.Array) -> np.ndarray:
+    """The fingerprints of texts: the low byte of each component of their signatures."""
+    return signatures(column).astype(np.uint8)
 
 
 def edited(text: str, following: str) -> str:
@@ -86,11 +87,11 @@ PAIRED = ("kind string, part int, doc_id bigint, n_chars bigint, edited_sha256 s
 def _paired(ids: list, texts: list[str]) -> list[pa.Array]:
     """The result columns for all but the last of texts in order."""
     changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-    own, other = signatures(pa.array(texts, pa.large_string())), signatures(pa.array(changed, pa.large_string()))
+    own, other = prints(pa.array(texts, pa.large_string())), prints(pa.array(changed, pa.large_string()))
     n = len(changed)
     return [pa.array(ids[:n], pa.int64()), pa.array(list(map(len, texts[:n])), pa.int64()),
-            pa.array([sha256(t.encode()).hexdigest() for t in changed]), pa.array(short(own[:n]), pa.binary()),
-            pa.array(short(other), pa.binary()), pa.array(likeness(own[:n], other)),
+            pa.array([sha256(t.encode()).hexdigest() for t in changed]), pa.array([row.tobytes() for row in own[:n]], pa.binary()),
+            pa.array([row.tobytes() for row in other], pa.binary()), pa.array(likeness(own[:n], other)),
             pa.array(likeness(own[:n], own[1:]))]
 
 

@@ -14,7 +14,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.textblocks import Run, SPACE, in_batches, runs
@@ -141,30 +141,46 @@ def _candidates(source: DataFrame, rows: DataFrame) -> DataFrame:
     A doc_id that is repeated with different texts of one length meets each of its fingerprints; at worst that has a
     group formed by SHA-256.
     """
-    ids = rows.where("group_size > 1").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), *KEY, "keep_id",
-        F.ceil(F.col("group_size") / COPIES).cast("int").alias("parts")).distinct()
-    keyed = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                          F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
+    many = rows.where("group_size > 1")
+    none = F.col("doc_id").isNull()
+    ids = many.select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), none.alias("_none"), F.when(none, F.col("text_sha256")).otherwise(
+            "").alias("_sha"), *KEY, "keep_id", F.ceil(F.col("group_size") / COPIES).cast("int").alias("parts")).distinct()
+    keyed = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_row_key())
+    first, spread = F.col("doc_id").eqNullSafe(F.col("keep_id")), F.xxhash64("doc_id")
+    if not many.where(none).isEmpty():
+        # Rows without doc_id are told apart by their place in the table: the first of a text leads where no row has one.
+        keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
+        leads = keyed.where("_none").groupBy("_sha").agg(F.min("_row").alias("_lead"))
+        ids = ids.join(leads, "_sha", "left")
+        first = F.when(F.col("_none"), F.col("keep_id").isNull() & (F.col("_row") == F.col("_lead"))).otherwise(first)
+        spread = F.when(F.col("_none"), F.xxhash64("_row")).otherwise(spread)
     length = F.octet_length(F.regexp_replace("text", SPACES, " "))
-    texts = keyed.join(ids, ["_id", "_none"]).where(length == F.col("length"))
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    texts = keyed.join(ids, ["_id", "_none", "_sha"]).where(length == F.col("length"))
     parts = F.when(first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+        F.array(F.pmod(spread, F.col("parts")).cast("int")))
     dealt = texts.select(*KEY, first.alias("lead"), "text", F.explode(parts).alias("part"))
     return dealt.repartition(*KEY, "part").sortWithinPartitions(*KEY, "part", F.desc("lead"))
 
 
+def _row_key(row: str = "") -> list[Column]:
+    """What rows and their groups are joined by: the doc_id, or for rows without one the SHA-256 of the normalised text, so
+    that they are not all one key."""
+    doc_id, text = F.col(f"{row}doc_id").cast("long"), F.coalesce(F.col(f"{row}text"), F.lit(""))
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), F.when(doc_id.isNull(), F.sha2(
+        F.regexp_replace(text, SPACES, " ").cast("binary"), 256)).otherwise("").alias("_sha")]
+
+
 def first_rows(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that stay: one of each group. Among repeated rows of one doc_id and text the one
     stays that is first by the other columns as text."""
     kept = exact_groups(docs).where("kept").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text_sha256").distinct()
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.when(
+            F.col("doc_id").isNull(), F.col("text_sha256")).otherwise("").alias("_sha"), "text_sha256").distinct()
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
-                        F.col("doc_id").isNull().alias("_none"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row")).select("_row", *_row_key("_row."))
     text = F.coalesce(F.col("_row.text"), F.lit(""))
-    joined = keyed.join(kept, ["_id", "_none"]).where(
+    joined = keyed.join(kept, ["_id", "_none", "_sha"]).where(
         F.sha2(F.regexp_replace(text, SPACES, " ").cast("binary"), 256) == F.col("text_sha256"))
     order = Window.partitionBy("_id", "_none", "text_sha256").orderBy(
         *[F.col("_row")[c].cast("string") for c in others] or [F.lit(1)])

@@ -246,6 +246,9 @@ def test_edit_fingerprints(docs, nothing):
     assert by[1].fingerprint == by[2].fingerprint == by[3].fingerprint  # words alone count
     assert by[4].fingerprint == by[5].fingerprint != by[7].fingerprint
     assert by[2].near_next == 1.0 and by[5].near_next == 1.0
+    for r in out:  # what is returned is what was compared
+        same = sum(x == y for x, y in zip(bytes.fromhex(r.fingerprint), bytes.fromhex(r.edited_fingerprint), strict=True)) / 128
+        assert r.near_edited == pytest.approx(max(0, (same * 256 - 1) / 255))
     assert minhash.edit_fingerprints(nothing).count() == 0
     (lonely,) = minhash.edit_fingerprints(docs.where("doc_id = 1")).collect()
     assert lonely.near_next == 1.0
@@ -575,3 +578,18 @@ def test_links_of_a_cloud_of_near_copies(spark):
         got = [(r.left_id, r.right_id) for r in pairs.collect()]
         assert len(set(linked(range(n), got).values())) == 1
         assert len(got) <= 8 * n
+
+
+def test_rows_without_ids_are_not_one_key(spark):
+    """Many rows without doc_id, in groups with and without another row that has one."""
+    rows = [(None, f"text  number {i % 400}") for i in range(2400)] + [(i, f"text number\t{i}") for i in range(200)]
+    rows += [(None, None)] * 700
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = Counter(fx.squeezed(t) for _, t in rows)
+    out = poly_dedup.exact_groups(frame).collect()
+    want = Counter((i, int(k) if (k := fx.squeezed(t).rpartition(" ")[2]) and int(k) < 200 else None, sizes[fx.squeezed(t)])
+                   for i, t in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in out) == want
+    stay = Counter((r.doc_id, fx.squeezed(r.text)) for r in poly_dedup.first_rows(frame).collect())
+    assert stay == Counter([(i, f"text number {i}") for i in range(200)] + [(None, f"text number {i}") for i in range(200, 400)]
+                           + [(None, "")])
