@@ -2,7 +2,7 @@
 
 A text's fingerprint is its length and the values of two polynomials over its bytes, modulo two primes. Texts are hashed
 in chunks, all chunks of a run of documents at once; neighbouring chunks combine by shifting the left one by the length
-of the right one: H(AB) = H(A) * r ** |B| + H(B). So a huge document costs no more memory than its bytes, and pieces hashed
+of the right one: H(AB) = H(A) * r ** |B| + H(B). So a huge document costs a few numbers per byte, and pieces hashed
 apart give the fingerprint of the whole (`combine`). Equal fingerprints only nominate: the texts of a group are compared
 chunk by chunk, as a stream, with the group's first text, and a text that differs leaves the group.
 """
