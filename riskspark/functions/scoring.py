@@ -178,6 +178,7 @@ def auth_status(decision: Column) -> Column:
     return F.coalesce(statuses[decision], F.lit("pending"))
 
 
+# The score cuts of queues and priorities, and their names.
 def case_queue_name(score: Column) -> Column:
     return F.when(score >= 0.8, F.lit("high_risk")).when(score >= 0.6, F.lit("medium_risk")).otherwise(F.lit("general"))
 
