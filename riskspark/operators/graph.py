@@ -1,12 +1,12 @@
 """Graph operators over an edge table: connected components, expansion from roots, two-hop totals.
 
 The graph is never collected. A hub may touch a third of all nodes, so no operator pairs the neighbours of a hub with
-each other: components move minima along edges, and two-hop totals treat the neighbourhoods of hubs as sets.
+each other: components move minima along edges, and two-hop totals count nodes with the same hubs around them once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators import snapshots
@@ -15,6 +15,9 @@ from riskspark.session import checkpoint_dir
 
 MAX_ROUNDS = 60
 HUB_DEGREE = 10_000
+#: Two-step paths that may be listed per edge, and sets that one task meets with the others of a hub.
+PATHS_PER_EDGE = 64
+SET_BLOCK = 1_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -134,40 +137,87 @@ def expand(pairs: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     return reached.where("hop > 0")
 
 
-def two_hop_totals(pairs: DataFrame, weights: DataFrame, roots: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
+def light_degree(degrees: DataFrame, paths_per_edge: int = PATHS_PER_EDGE, most: int = HUB_DEGREE) -> DataFrame:
+    """One row (bound): the degree up to which a node is light, at most `most`.
+
+    Degrees are totalled in classes of powers of two, of which there are at most 64. Light are the classes that, from the
+    smallest on, list at most `paths_per_edge` two-step paths for each edge of the graph.
+    """
+    classes = degrees.select(F.floor(F.log2("degree")).cast("int").alias("class"), F.col("degree").cast("double")).groupBy(
+        "class").agg(F.sum(F.col("degree") * F.col("degree")).alias("paths"), F.sum("degree").alias("ends"))
+    upto = Window.orderBy("class")
+    fits = F.sum("paths").over(upto) <= paths_per_edge * F.sum("ends").over(Window.partitionBy())
+    last = F.max(F.when(F.col("fits"), F.col("class")))
+    return classes.select("class", fits.alias("fits")).agg(F.when(last.isNotNull(), F.least(
+        F.lit(float(most)), F.pow(F.lit(2.0), last + 1) - 1)).otherwise(0.0).alias("bound"))
+
+
+def shared_sets(members: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+    """(s, t): every two set names that share a member, each once and in both orders, from distinct rows (set, member).
+
+    Sets with one member in common meet in a join on it. A member of many sets is cut into blocks of about `block` of them,
+    so a task meets one block of a member's sets with all of them.
+    """
+    sizes = members.groupBy("member").agg(F.count("*").alias("_n")).withColumn(
+        "_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    sized = with_groups(members, sizes, ["member"], "_n")
+    left = sized.select("member", F.col("set").alias("s"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
+    right = sized.select("member", F.col("set").alias("t"), F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int").alias("_b"))
+    return left.join(right, ["member", "_b"]).select("s", "t").distinct()
+
+
+def two_hop_totals(pairs: DataFrame, weights: DataFrame, roots: DataFrame, hub_degree: int | None = None) -> DataFrame:
     """Per root the totals of node weights over all distinct nodes within two hops, the root left out.
 
-    `pairs` is undirected, `weights` holds node and numeric weight columns, `roots` holds root. Exact with hubs:
-    * paths through ordinary nodes are listed, at most `hub_degree` nodes per step;
-    * the nodes around hubs are totalled once per distinct set of hubs, not once per root;
-    * a listed node counts only if no hub of the root touches it, which its own hub set tells.
+    `pairs` is undirected, `weights` holds node and numeric weight columns, `roots` holds root. Two nodes are within two hops
+    if their neighbourhoods, each with the node itself, share a node. Nodes above `hub_degree` (default: `light_degree`)
+    are hubs, and the two ways to share one are counted apart:
+    * paths through light nodes are listed, `PATHS_PER_EDGE` for each edge at most;
+    * nodes with the same hubs around them are one set, named by a 128-bit hash and held as rows (set, hub). Their
+      weights are added up once per set, and a root takes the totals of all sets that share a hub with its own. Members
+      of a clique or leaves of a star are one set, so no hub's neighbours are paired with each other;
+    * a listed node whose set shares a hub with the root's is left out, as it is in these totals.
+    A root without neighbours or weights has zeros.
     """
     names = [c for c in weights.columns if c != "node"]
-    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    hubs = degree.where(F.col("degree") > hub_degree).select(F.col("a").alias("hub"))
-    near_hub = pairs.join(hubs, pairs["b"] == hubs["hub"], "left_semi")
-    hub_sets = near_hub.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("hubs"))
-
-    first = pairs.join(roots, pairs["a"] == roots["root"], "left_semi").select(
-        F.col("a").alias("root"), F.col("b").alias("node"))
-    ordinary = first.join(hubs, first["node"] == hubs["hub"], "left_anti")
-    second = ordinary.join(pairs, ordinary["node"] == pairs["a"]).select("root", F.col("b").alias("node"))
-    listed = first.unionByName(second).where("root <> node").distinct()
-
-    of_root = hub_sets.select(F.col("a").alias("root"), F.col("hubs").alias("root_hubs"))
-    of_node = hub_sets.select(F.col("a").alias("node"), F.col("hubs").alias("node_hubs"))
-    kept = (
-        listed.join(of_root, "root", "left").join(of_node, "node", "left")
-        .where(~F.coalesce(F.arrays_overlap("root_hubs", "node_hubs"), F.lit(False)))
-        .join(weights, "node").groupBy("root").agg(*[F.sum(n).alias(n) for n in names])
-    )
-
-    sets = of_root.join(roots, "root", "left_semi").select("root_hubs").distinct()
-    around = sets.select("root_hubs", F.explode("root_hubs").alias("hub")).join(
-        pairs, F.col("hub") == pairs["a"]).select("root_hubs", F.col("b").alias("node")).distinct()
-    per_set = around.join(weights, "node").groupBy("root_hubs").agg(*[F.sum(n).alias(f"hub_{n}") for n in names])
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
+    bound = light_degree(degrees) if hub_degree is None else degrees.sparkSession.range(1).select(
+        F.lit(float(hub_degree)).alias("bound"))
+    checkpoint_dir(pairs.sparkSession)
+    sized = degrees.crossJoin(F.broadcast(bound)).checkpoint()
+    hubs = sized.where("degree > bound").select(F.col("a").alias("hub"), "degree")
+    light = sized.where("degree <= bound").select(F.col("a").alias("mid"))
+
+    # From a light node to its neighbours and itself; a root that is light is the middle of its own first hop.
+    some = not hubs.isEmpty()
+    closed = (pairs.join(light, pairs["a"] == light["mid"], "left_semi") if some else pairs).select("a", "b").unionByName(
+        light.select(F.col("mid").alias("a"), F.col("mid").alias("b")))
+    first = closed.join(roots.select(F.col("root").alias("b")), "b", "left_semi").select(
+        F.col("b").alias("root"), F.col("a").alias("mid"))
+    listed = first.join(closed, first["mid"] == closed["a"]).select("root", F.col("b").alias("node")).where(
+        "root <> node").distinct()
+    if not some:
+        kept = listed.join(weights, "node").groupBy("root").agg(*[F.sum(n).alias(n) for n in names])
+        return roots.join(kept, "root", "left").select("root", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+    around = with_groups(pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")), hubs, ["hub"], "degree").select(
+        "node", "hub").unionByName(hubs.select(F.col("hub").alias("node"), "hub"))
+    # Counts and exclusive ors of hashes name a set whatever its order, combined before the shuffle and without an array.
+    set_of = around.groupBy("node").agg(F.concat_ws(
+        ":", F.count("*"), F.bit_xor(F.xxhash64("hub")), F.bit_xor(F.xxhash64(F.lit(1), "hub"))).alias("set")).checkpoint()
+    of_set = set_of.groupBy("set").agg(F.min("node").alias("node"))
+    linked = shared_sets(around.join(of_set, "node").select("set", F.col("hub").alias("member"))).checkpoint()
+    per_set = weights.join(set_of, "node").groupBy("set").agg(*[F.sum(n).alias(n) for n in names])
+    reached = linked.join(per_set.withColumnRenamed("set", "t"), "t").groupBy("s").agg(
+        *[F.sum(n).alias(f"hub_{n}") for n in names])
     own = weights.select(F.col("node").alias("root"), *[F.col(n).alias(f"own_{n}") for n in names])
-    from_hubs = of_root.join(roots, "root", "left_semi").join(per_set, "root_hubs").join(own, "root").select(
-        "root", *[(F.col(f"hub_{n}") - F.col(f"own_{n}")).alias(f"hub_{n}") for n in names])
+    placed = roots.select("root").distinct().join(
+        set_of.select(F.col("node").alias("root"), F.col("set").alias("s")), "root", "left")
+    from_hubs = placed.join(reached, "s").join(own, "root", "left").select(
+        "root", *[(F.col(f"hub_{n}") - F.coalesce(f"own_{n}", F.lit(0))).alias(f"hub_{n}") for n in names])
+    both = listed.join(placed, "root", "left").join(
+        set_of.select("node", F.col("set").alias("t")), "node", "left")
+    apart = both.join(linked, ["s", "t"], "left_anti").select("root", "node")
+    kept = apart.join(weights, "node").groupBy("root").agg(*[F.sum(n).alias(n) for n in names])
     return roots.join(kept, "root", "left").join(from_hubs, "root", "left").select(
         "root", *[(F.coalesce(n, F.lit(0)) + F.coalesce(f"hub_{n}", F.lit(0))).alias(n) for n in names])

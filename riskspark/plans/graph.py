@@ -142,13 +142,13 @@ def mule(accounts: Column, mules: Column) -> Column:
     return (accounts >= 4) & (mules >= 1)
 
 
-def account_hops(lake: Lake, hub_degree: int = G.HUB_DEGREE) -> DataFrame:
+def account_hops(lake: Lake, hub_degree: int | None = None) -> DataFrame:
     """Totals within two hops of every account."""
     roots = lake.graph_nodes.where("node_type = 'account'").select(F.col("node").alias("root"))
     return G.two_hop_totals(lake.graph_pairs, node_weights(lake.graph_nodes, lake.graph_pairs), roots, hub_degree)
 
 
-def account_risk(lake: Lake, hub_degree: int = G.HUB_DEGREE) -> DataFrame:
+def account_risk(lake: Lake, hub_degree: int | None = None) -> DataFrame:
     """Per account: cluster within two hops (the account included), risky members, mean risk of the others, patterns."""
     own = node_weights(lake.graph_nodes, lake.graph_pairs).select(
         F.col("node").alias("root"), F.col("n_risky").alias("own_risky"), F.col("n_mules").alias("own_mules"))

@@ -107,7 +107,7 @@ def _graph(spark):
         spark.createDataFrame([(n, 1, i % 5) for i, n in enumerate(nodes)], "node string, n int, w int")
 
 
-@pytest.mark.parametrize("hub_degree", [3, 10, 10_000])
+@pytest.mark.parametrize("hub_degree", [0, 3, 10, 10_000, None])
 def test_two_hops_with_hubs(spark, hub_degree):
     edges, nodes, edge_df, weights = _graph(spark)
     near = {n: set() for n in nodes}
@@ -122,6 +122,40 @@ def test_two_hops_with_hubs(spark, hub_degree):
         assert got[n] == (len(reach), sum(value[m] for m in reach))
 
 
+@pytest.mark.parametrize("hub_degree", [0, 20, None])
+def test_two_hops_of_star_clique_and_chain(spark, hub_degree):
+    """A star of 400 leaves, a clique of 60, and a chain from the star to a node beyond the clique."""
+    edges = [("hub", f"l{i}") for i in range(400)] + [(f"k{i}", f"k{j}") for i in range(60) for j in range(i)]
+    edges += [("l0", "m1"), ("m1", "m2"), ("m2", "k0"), ("k59", "end")]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    value = {n: i % 7 + 1 for i, n in enumerate(sorted(near))}
+    weights = spark.createDataFrame([(n, 1, w) for n, w in value.items()], "node string, n long, w long")
+    pairs = graph.undirected(spark.createDataFrame(edges, "src string, dst string"))
+    got = {r.root: (r.n, r.w) for r in graph.two_hop_totals(
+        pairs, weights, weights.select(F.col("node").alias("root")), hub_degree).collect()}
+    for n in near:
+        reach = (near[n] | {m for x in near[n] for m in near[x]}) - {n}
+        assert got[n] == (len(reach), sum(value[m] for m in reach)), n
+
+
+def test_hub_sets_stay_few(spark):
+    """All members of a clique have one set of hubs, so sets that share a hub are as few as there are kinds of nodes."""
+    members = spark.createDataFrame([("a", f"h{i}") for i in range(50)] + [("b", "h0"), ("c", "h99")], "set string, member string")
+    got = sorted(map(tuple, graph.shared_sets(members, block=1).collect()))
+    assert got == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")]
+
+
+def test_light_degree_bounds_the_paths(spark):
+    rng = random.Random(5)
+    for degrees in ([1] * 500 + [100, 400], [rng.randint(1, 3000) for _ in range(300)], [40] * 41, []):
+        rows = spark.createDataFrame([(d,) for d in degrees], "degree long")
+        (bound,) = graph.light_degree(rows, paths_per_edge=16).first()
+        assert sum(d * d for d in degrees if d <= bound) <= 16 * sum(degrees)
+
+
 def test_components(spark):
     edges, nodes, edge_df, weights = _graph(spark)
     parent = {n: n for n in nodes}
