@@ -396,6 +396,37 @@ def test_markov_models_find_random_tokens(spark):
     assert not out[1001].spans
 
 
+def test_short_random_tokens_and_ordinary_ones(spark):
+    """Keys of 8 to 19 characters are found without a keyword; words, numbers and dates among 120,000 tokens are not."""
+    rng = random.Random(8)
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(["an", "er", "tion", "ve", "lo", "ma", "sti", "ghe"]) for _ in range(rng.randint(2, 7)))
+                  for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", "", "_id", "-2024-05"]) for _ in range(400))
+             + f" secret={draw(letters + letters.upper() + '0123456789', 24)}") for i in range(300)]
+    hidden = {1000 + n: draw(letters + letters.upper() + "0123456789", n) for n in (8, 12, 16, 19)}
+    rows += [(i, f"lovetion {key} anversti") for i, key in hidden.items()]
+    out = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secret_scan.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [key for i, key in hidden.items() if [(s.start, s.end) for s in out[i]] == [(9, 9 + len(key))]]
+    assert len(found) >= 3, found
+    assert sum(len(out[i]) for i in range(300)) <= 12
+
+
+def test_places_of_many_matches(spark):
+    text = "x1y2z3a4 " * 1000 + "é" + " Q7w8E9r0T1" * 3
+    frame = spark.createDataFrame([(text,), ("",), ("none here",)], "text string")
+    matches, gaps = secret_scan._found(F.col("text"), secret_scan.JUDGED)
+    lengths = F.zip_with(F.transform(matches, F.length), F.slice(gaps, 1, F.size(matches)), lambda o, g: F.struct(
+        F.length(g).alias("gap"), o.alias("own")))
+    chunked = frame.select("text", lengths.alias("lengths")).select("text", secret_scan._chunks(F.col("lengths")).alias("c"))
+    got = {r.text: r.starts for r in chunked.select("text", secret_scan._inside(
+        F.col("c"), secret_scan._heads(F.col("c"))).alias("starts")).collect()}
+    import re
+    assert {t: [m.start() for m in re.finditer(secret_scan.JUDGED, t)] for t in got} == got
+
+
 # 8
 
 
