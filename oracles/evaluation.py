@@ -37,6 +37,21 @@ FROM (SELECT {groups}, count(*) AS n, count(*) FILTER (p >= 0.55 AND f) AS tp, c
   CAST(coalesce(sum(amount_usd) FILTER (f AND p >= 0.55), 0) AS DOUBLE) AS saved FROM ({rows}) GROUP BY {groups})"""
 
 
+SELECTED = "event_time BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-22' AND billing_amount_usd >= 50"
+
+
+def model_eval(rows: str, decisions: str, groups: str) -> str:
+    """Ranking metrics, rates and decision mix per group; `decisions` holds the groups and decision_type."""
+    return f"""SELECT {groups}, sample_size, precision AS precision_at_review, recall AS recall_at_review,
+  false_positive_rate, false_negative_rate, auc_roc, auc_pr, coalesce(m.approval_rate, 0) AS approval_rate,
+  coalesce(m.decline_rate, 0) AS decline_rate, coalesce(m.review_rate, 0) AS review_rate
+FROM ({ranks(rows, groups)}) a JOIN ({rates(rows, groups)}) b USING ({groups})
+LEFT JOIN (SELECT {groups}, {ratio("count(*) FILTER (decision_type = 'approve')", 'count(*)')} AS approval_rate,
+  {ratio("count(*) FILTER (decision_type IN ('decline', 'hard_decline'))", 'count(*)')} AS decline_rate,
+  {ratio("count(*) FILTER (decision_type = 'manual_review')", 'count(*)')} AS review_rate FROM ({decisions}) GROUP BY {groups}) m
+  USING ({groups})"""
+
+
 def unpivot(table: str, keep: str, where: str = "true", names=C.FEATURES) -> str:
     return " UNION ALL ".join(
         f"SELECT {keep}, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM {table} WHERE {where}" for n in names)
@@ -146,15 +161,11 @@ def feature_view(*names: str) -> str:
 
 
 BODIES = {
-    "model_eval": f"""SELECT a.model_version, sample_size, precision AS precision_at_review, recall AS recall_at_review,
-  false_positive_rate, false_negative_rate, auc_roc, auc_pr, coalesce(m.approval_rate, 0) AS approval_rate,
-  coalesce(m.decline_rate, 0) AS decline_rate, coalesce(m.review_rate, 0) AS review_rate
-FROM ({ranks('SELECT * FROM labelled_models', 'model_version')}) a
-JOIN ({rates('SELECT * FROM labelled_models', 'model_version')}) b ON a.model_version = b.model_version
-LEFT JOIN (SELECT model_version, {ratio("count(*) FILTER (decision_type = 'approve')", 'count(*)')} AS approval_rate,
-  {ratio("count(*) FILTER (decision_type IN ('decline', 'hard_decline'))", 'count(*)')} AS decline_rate,
-  {ratio("count(*) FILTER (decision_type = 'manual_review')", 'count(*)')} AS review_rate FROM decisions GROUP BY 1) m
-  ON m.model_version = a.model_version""",
+    "model_eval": model_eval("SELECT * FROM labelled_models", "SELECT * FROM decisions", "model_version"),
+    "model_eval_window": model_eval(
+        f"SELECT *, channel AS segment FROM labelled_models WHERE {SELECTED}",
+        f"""SELECT d.*, channel AS segment FROM decisions d JOIN (SELECT * FROM all_scores WHERE {SELECTED}) s
+  ON d.auth_event_id = s.auth_event_id AND d.model_version = s.model_version""", "model_version, segment"),
     "eval_harness": "SELECT * FROM harness",
     "eval_compare": f"""SELECT metric, champion, challenger, {r('challenger - champion', 6)} AS delta,
   {ratio('(challenger - champion) * 100', 'champion', 4)} AS pct_change, improved,

@@ -23,30 +23,48 @@ def _at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def labelled_scores(lake: Lake, groups: dict[str, Column]) -> DataFrame:
-    """Scores of all active models on events with a label, with the latest verdict."""
+def labelled_scores(lake: Lake, groups: dict[str, Column], scores: DataFrame | None = None) -> DataFrame:
+    """Scores of all active models, or the given ones, on events with a label, with the latest verdict."""
     label = economics.latest_label(lake.labels).select("auth_event_id", "is_fraud")
-    return lake.model_scores.select(
+    return (lake.model_scores if scores is None else scores).select(
         "auth_event_id", F.col("raw_probability").alias("probability"),
         F.col("billing_amount_usd").alias("amount_usd"), *[c.alias(n) for n, c in groups.items()],
     ).join(label, "auth_event_id")
 
 
-def model_eval(lake: Lake) -> DataFrame:
-    """Per model: ranking metrics, rates at the review cut and the decision mix."""
-    ordered = curves.scores_in_order(
-        labelled_scores(lake, {"model_version": F.col("model_version")}), ["model_version"])
-    ranks = curves.ranking_metrics(ordered, ["model_version"])
-    rates = curves.confusion(ordered, ["model_version"], C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW).select(
-        "model_version", "sample_size", F.col("precision").alias("precision_at_review"),
+def model_eval(lake: Lake, start: str | None = None, end: str | None = None, segment: Column | None = None,
+               population: Column | None = None) -> DataFrame:
+    """Per model: ranking metrics, rates at the review cut and the decision mix.
+
+    Optionally of the scores made from `start` to `end`, both included, on events that meet the condition `population`, and
+    per value of `segment` (null is the segment 'none'). The mix is that of the decisions the model took on these events; a
+    model without labelled scores among them has no row.
+    """
+    scores = lake.model_scores
+    if start is not None:
+        scores = scores.where(F.col("score_time").between(_at(start), _at(end)))
+    if population is not None:
+        scores = scores.where(population)
+    names = {"model_version": F.col("model_version")}
+    decisions = lake.decisions
+    if segment is not None:
+        names["segment"] = F.coalesce(segment.cast("string"), F.lit("none"))
+    if start is not None or segment is not None or population is not None:
+        decisions = decisions.join(
+            scores.select("auth_event_id", *[c.alias(n) for n, c in names.items()]), ["auth_event_id", "model_version"])
+    groups = list(names)
+    ordered = curves.scores_in_order(labelled_scores(lake, names, scores), groups)
+    ranks = curves.ranking_metrics(ordered, groups)
+    rates = curves.confusion(ordered, groups, C.THRESHOLD_DECLINE, C.THRESHOLD_REVIEW).select(
+        *groups, "sample_size", F.col("precision").alias("precision_at_review"),
         F.col("recall").alias("recall_at_review"), "false_positive_rate", "false_negative_rate")
     n = F.greatest(F.count("*"), F.lit(1))
     kind = F.col("decision_type")
-    mix = lake.decisions.groupBy("model_version").agg(
+    mix = decisions.groupBy(*groups).agg(
         ratio(F.count_if(kind == "approve"), n).alias("approval_rate"),
         ratio(F.count_if(kind.isin("decline", "hard_decline")), n).alias("decline_rate"),
         ratio(F.count_if(kind == "manual_review"), n).alias("review_rate"))
-    return rates.join(ranks, "model_version").join(mix, "model_version", "left").fillna(
+    return rates.join(ranks, groups).join(mix, groups, "left").fillna(
         0.0, ["approval_rate", "decline_rate", "review_rate"])
 
 

@@ -212,6 +212,8 @@ job("loss_curve_window")(lambda lake: economics.loss_curve(economics.scored_labe
 
 # Evaluation, drift, parity
 job("model_eval")(evaluation.model_eval)
+job("model_eval_window")(lambda lake: evaluation.model_eval(
+    lake, *WINDOW, segment=F.col("channel"), population=F.col("billing_amount_usd") >= 50))
 
 
 def _harness(lake: Lake) -> DataFrame:
