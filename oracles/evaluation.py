@@ -272,6 +272,12 @@ ORDER BY 2 DESC, 1 LIMIT 10""",
     "w_device_accounts_30d": feature_view("device_account_count_30d"),
     "w_ip_accounts_7d": feature_view("ip_account_count_7d"),
     "w_ip_cards_7d": feature_view("ip_card_count_7d"),
+    "w_amount_p95_sketch": """SELECT auth_event_id, quantile_disc(cents, 0.95) OVER (PARTITION BY customer_id ORDER BY day
+    RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) / 100.0::DOUBLE AS customer_p95,
+  quantile_disc(cents, 0.95) OVER (PARTITION BY merchant_id ORDER BY day
+    RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) / 100.0::DOUBLE AS merchant_p95
+FROM (SELECT *, epoch_us(event_time) // 86400000000 AS day, CAST(billing_amount_usd * 100 AS BIGINT) AS cents
+  FROM stored_events)""",
     "w_amount_p95": feature_view("amount_vs_customer_p95_ratio", "amount_vs_merchant_p95_ratio"),
     "w_geo_home": feature_view("geo_distance_from_home_km"),
     "w_geo_last": feature_view("geo_distance_from_last_txn_km"),

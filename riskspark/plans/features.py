@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from riskspark.constants import DAY, FEATURES, HOUR, MINUTE
 from riskspark.functions.geo import haversine_km, with_coordinates
 from riskspark.functions.numeric import micros, rnd
-from riskspark.operators import ranges
+from riskspark.operators import ranges, sketches
+from riskspark.operators.skew import with_groups
 
 P95_HORIZON = 90 * DAY
 # --- fixed values: horizons per entity ------------------------------------------------------------------------------
@@ -133,6 +134,24 @@ def amount_p95(events: DataFrame, hot: DataFrame | None = None, kinds: tuple[str
         "quantile", F.col("quantile") / 100)
 
 
+def amount_p95_sketched(events: DataFrame, k: int = sketches.K) -> DataFrame:
+    """The 95th percentile of the amount over the 90 whole days before the day of each event, for its customer and its
+    merchant, from one sketch per entity and day: (auth_event_id, customer_p95, merchant_p95), null without amounts then.
+
+    The exact feature ends at the event itself. This form ends at midnight, so that days can be stored as sketches.
+    """
+    stack = _stacked([[entity_of(kind)] for kind in (CUSTOMER, MERCHANT)], ["entity"])
+    rows = _timed(events).selectExpr("auth_event_id", "t", "cents", stack)
+    touched = rows.where("entity is not null")
+    by_day = sketches.slice_sketches(touched, ["entity"], "t", "cents", DAY, k)
+    days = sketches.moving_quantiles(by_day, ["entity"], P95_HORIZON // DAY, {"p95": 0.95}, k).drop("n")
+    placed = touched.select("auth_event_id", "entity", sketches.slice_of(F.col("t"), DAY).alias("slice"))
+    found = with_groups(placed, days, ["entity", "slice"], "rows")
+    of = lambda kind: F.max(F.when(F.col("entity").startswith(kind), F.col("p95"))) / 100
+    return events.select("auth_event_id").join(found.groupBy("auth_event_id").agg(
+        of(CUSTOMER).alias("customer_p95"), of(MERCHANT).alias("merchant_p95")), "auth_event_id", "left")
+
+
 def entity_kinds(names: list[str]) -> list[str]:
     """The kinds of entities whose timelines these features need."""
     asked = {TOTALS[n][0] for n in names if n in TOTALS} | {P95[n][0] for n in names if n in P95}

@@ -277,6 +277,7 @@ for _name, _columns in {
     "w_seconds_since_last": ["seconds_since_last_txn"],
 }.items():
     job(_name)(lambda lake, names=_columns: lake.some_features(names).select("auth_event_id", *names))
+job("w_amount_p95_sketch")(lambda lake: features.amount_p95_sketched(lake.auth_events))
 job("features_offline")(lambda lake: jobs.offline_features(lake, "2024-01-20 00:00:00").select(
     "auth_event_id", *FEATURES))
 job("label_snapshot")(lambda lake: jobs.label_snapshot(
