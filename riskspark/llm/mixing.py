@@ -4,8 +4,8 @@ Targets: each source gets its weight's share of the mix, but no more than `most`
 shared out again by weight. The mix is made of blocks of `block_tokens` words. Blocks go to sources by highest quotients
 target / (2 k + 1), and since that method only ever adds seats as the house grows, the blocks of shard after shard are the
 differences of apportionments of growing houses: integer quotas per shard that add up to the whole. A source's blocks are
-cut from its documents in a seeded order, repeated from the start where the quota asks for more than there is; so all
-documents but one per source are taken a whole number of times.
+cut from its documents in a seeded order, repeated from the start where the quota asks for more than there is, and each
+shard takes its quota of them in turn; so all documents but one per source are taken a whole number of times.
 """
 
 from __future__ import annotations
@@ -74,14 +74,21 @@ def quotas(aimed: DataFrame, block_tokens: int, shards: int) -> DataFrame:
     return held.select("k", "none", (F.col("house") - 1).alias("shard"), (F.col("held") - before).alias("blocks"))
 
 
-def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, block_tokens: int = 32, shards: int = 8,
-        seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) per row: `taken` words of the document are in the mix.
+def shard_runs(quota: DataFrame, block_tokens: int, most: float) -> DataFrame:
+    """(k, none, runs): of each source the stretch of its repeated words that each shard takes, as an array of shard, first
+    and end. `quota` holds the rows of `quotas` with source_size; no source gives more than `most` times its words."""
+    upto = Window.partitionBy("none", "k").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.least(F.sum("blocks").over(upto) * block_tokens, F.floor(F.col("source_size") * most)).cast("long")
+    ends = quota.select("k", "none", F.col("shard").cast("int").alias("shard"), end.alias("end"))
+    first = F.lag("end", 1, 0).over(Window.partitionBy("none", "k").orderBy("shard"))
+    return ends.select("k", "none", "shard", first.alias("first"), "end").groupBy("k", "none").agg(
+        F.array_sort(F.collect_list(F.struct("shard", "first", "end"))).alias("runs"))
 
-    A null or empty text has size 0 and is taken 0 times; a null source is a source, the last. Rows that repeat doc_id,
-    source and size are interchangeable, each has its own place. Reruns agree, as the order depends on the seed and the
-    rows alone. A source's taken words differ from its target by less than two blocks. Extra columns are left out.
-    """
+
+def _placed(docs: DataFrame, weights: list[float], share: float, most: float, block_tokens: int, shards: int,
+            seed: int) -> DataFrame:
+    """doc_id, source, size, the place `offset` of its first word among the words of its source in the seeded order, and of
+    its source the size, the target, the `words` taken and the runs of the shards."""
     checkpoint_dir(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -90,17 +97,52 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0,
             "draw": seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)}).checkpoint()
     sources = rows.groupBy("k", "none").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aimed = targets(sources.select("k", "none", "source_size"), weights, share, most).checkpoint()
-    held = quotas(aimed, block_tokens, shards).groupBy("k", "none").agg(F.sum("blocks").alias("blocks"))
-    per_source = sources.join(aimed.drop("source_size"), ["k", "none"]).join(held, ["k", "none"], "left").select(
-        "k", "none", "source_size", "n", "target", F.least(
-            F.coalesce("blocks", F.lit(0)) * block_tokens, F.floor(F.col("source_size") * most)).alias("words"))
+    quota = quotas(aimed, block_tokens, shards).join(aimed.select("k", "none", "source_size"), ["k", "none"])
+    per_source = sources.join(aimed.drop("source_size"), ["k", "none"]).join(
+        shard_runs(quota, block_tokens, most), ["k", "none"], "left").select(
+        "k", "none", "source_size", "n", "target", "runs",
+        F.coalesce(F.array_max("runs.end"), F.lit(0).cast("long")).alias("words"))
     ordered = running(rows, ["source"], "draw", ["doc_id", "size"], {"offset": F.col("size")})
-    placed = with_groups(ordered, per_source.checkpoint(), ["k", "none"], "n")
+    return with_groups(ordered, per_source.checkpoint(), ["k", "none"], "n")
+
+
+def mix(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, block_tokens: int = 32, shards: int = 8,
+        seed: int = 42) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) per row: `taken` words of the document are in the mix.
+
+    A null or empty text has size 0 and is taken 0 times; a null source is a source, the last. Rows that repeat doc_id,
+    source and size are interchangeable, each has its own place. Reruns agree, as the order depends on the seed and the
+    rows alone. A source's taken words differ from its target by less than two blocks. Extra columns are left out.
+    """
+    placed = _placed(docs, weights, share, most, block_tokens, shards, seed)
     part = F.least(F.greatest(F.expr("words % source_size") - F.col("offset"), F.lit(0)), F.col("size"))
     taken = F.when(F.col("size") > 0, F.expr("words div source_size") * F.col("size") + part).otherwise(0)
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def sharded(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, block_tokens: int = 32,
+            shards: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of `mix` with `stretches`: which shard takes which words of the document, by shard, then repetition, as an
+    array of shard, start (words of the document before the first one taken) and words.
+
+    Shard after shard takes as many blocks of a source as its quota says, in the seeded order of the source's documents and
+    again from the start where they end; `taken` is the total over the shards. A shard's words of a source equal its quota
+    in words, but where the limit of `most` cuts the last block. Defined as in `mix`; without words there is no stretch.
+    """
+    placed = _placed(docs, weights, share, most, block_tokens, shards, seed)
+    stretches = F.expr("""array_sort(filter(flatten(transform(sequence(0L, words div source_size), again ->
+        transform(coalesce(runs, array()), run -> named_struct(
+            'shard', run.shard, 'again', again,
+            'start', greatest(run.first - again * source_size - offset, 0L),
+            'words', least(run.end - again * source_size - offset, size)
+                - greatest(run.first - again * source_size - offset, 0L))))), s -> s.words > 0))""")
+    found = placed.withColumn("stretches", F.when(F.col("size") > 0, stretches)).withColumn(
+        "stretches", F.expr("transform(stretches, s -> named_struct('shard', s.shard, 'start', s.start, 'words', s.words))"))
+    taken = F.coalesce(F.expr("aggregate(stretches.words, 0L, (a, n) -> a + n)"), F.lit(0).cast("long"))
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.coalesce(
+        "stretches", F.array().cast("array<struct<shard: int, start: bigint, words: bigint>>")).alias("stretches"))
+
+
 def copies(docs: DataFrame, weights: list[float], share: float, most: float = 2.0, seed: int = 42) -> DataFrame:
     """The rows of `docs`, all columns, as often as the mix takes them: a document that a cut goes through, at most one per
     source, counts as often as its nearest whole number (a half: once more). Rows that repeat doc_id, source and size are

@@ -47,15 +47,22 @@ aimed AS (SELECT *, least(source_size * 2.0::DOUBLE,
     coalesce((SELECT level FROM filled WHERE brim > level ORDER BY brim, k LIMIT 1) * w, 'inf'::DOUBLE)) AS target FROM filled),
 seats AS (SELECT source, target / (2 * unnest(range(CAST(round((SELECT sum(target) FROM aimed) / 32) AS BIGINT))) + 1) AS q, k
   FROM aimed),
-won AS (SELECT source, count(*) AS blocks FROM (SELECT source, row_number() OVER (ORDER BY q DESC, k) AS place FROM seats)
-  WHERE place <= (SELECT round(sum(target) / 32) FROM aimed) GROUP BY 1),
-words AS (SELECT a.source, source_size, target, least(coalesce(blocks, 0) * 32, source_size * 2) AS quota
-  FROM aimed a LEFT JOIN won ON a.source IS NOT DISTINCT FROM won.source),
-ordered AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, size
-    ROWS UNBOUNDED PRECEDING) - size AS before FROM sized)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
-    quota // source_size * size + least(greatest(quota % source_size - before, 0), size) END AS BIGINT) AS taken
-FROM ordered o JOIN words w ON o.source IS NOT DISTINCT FROM w.source"""
+placed AS (SELECT source, row_number() OVER (ORDER BY q DESC, k) AS place FROM seats),
+houses AS (SELECT house, floor((SELECT round(sum(target) / 32) FROM aimed) * house / 8) AS seats FROM range(1, 9) t(house)),
+ends AS (SELECT a.source, house, least(32 * (SELECT count(*) FROM placed p WHERE p.source IS NOT DISTINCT FROM a.source
+    AND place <= seats), source_size * 2) AS upto FROM aimed a CROSS JOIN houses),
+runs AS (SELECT source, house - 1 AS shard, lag(upto, 1, 0) OVER (PARTITION BY source ORDER BY house) AS first, upto FROM ends),
+ordered AS (SELECT *, row_number() OVER () AS row, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, size
+    ROWS UNBOUNDED PRECEDING) - size AS before FROM sized),
+cut AS (SELECT row, shard, again, greatest(first - again * source_size - before, 0) AS start,
+    least(upto - again * source_size - before, size) AS until FROM ordered o
+  JOIN aimed a ON o.source IS NOT DISTINCT FROM a.source JOIN runs r ON o.source IS NOT DISTINCT FROM r.source
+  CROSS JOIN range(3) t(again)),
+taken AS (SELECT row, sum(until - start) AS taken, string_agg(shard || ':' || CAST(start AS BIGINT) || '+'
+    || CAST(until - start AS BIGINT), ',' ORDER BY shard, again) AS stretches FROM cut WHERE until > start GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken,
+  coalesce(stretches, '') AS stretches
+FROM ordered o JOIN aimed a ON o.source IS NOT DISTINCT FROM a.source LEFT JOIN taken USING (row)"""
 
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -80,8 +80,10 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(documents(spark, folder), WEIGHTS, SHARE, MOST).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    """`stretches` lists shard:start+words, by shard, then repetition."""
+    listed = F.expr("array_join(transform(stretches, s -> concat(s.shard, ':', s.start, '+', s.words)), ',')")
+    return mixing.sharded(documents(spark, folder), WEIGHTS, SHARE, MOST).select(
+        "doc_id", "size", "source_size", "target", "taken", listed.alias("stretches"))
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

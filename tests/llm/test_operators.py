@@ -523,6 +523,37 @@ def test_mixing(docs, nothing):
     assert mixing.copies(nothing, [1.0], 1.5).count() == 0
 
 
+def test_shards_of_the_mix_keep_their_quotas(spark, docs, nothing):
+    """Each word of a source goes to the shards that the runs of the seeded order give it; shards add up to their quotas."""
+    rows = docs.unionByName(docs.select(*docs.columns)).unionByName(docs.withColumn("source", F.lit(None).cast("string")))
+    for shards, block in ((1, 32), (5, 4)):
+        out = mixing.sharded(rows, [3.0, 1.0, 2.0], 1.5, block_tokens=block, shards=shards).collect()
+        plain = mixing.mix(rows, [3.0, 1.0, 2.0], 1.5, block_tokens=block, shards=shards).collect()
+        seen = lambda rs: Counter((r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken) for r in rs)
+        assert seen(out) == seen(plain)
+        ids = {s: k for k, s in enumerate(sorted({r.source for r in out}, key=lambda s: (s is None, s or "")))}
+        aimed = spark.createDataFrame([(str(ids[r.source]), False, ids[r.source], r.target, r.source_size) for r in out],
+                                      "k string, none boolean, rank int, target double, source_size long").distinct()
+        sizes, quota = {str(ids[r.source]): r.source_size for r in out}, defaultdict(dict)
+        for r in mixing.quotas(aimed, block, shards).collect():
+            quota[r.k][r.shard] = r.blocks * block
+        held = defaultdict(Counter)
+        for r in out:
+            spans = [(s.shard, s.start, s.words) for s in r.stretches]
+            assert r.taken == sum(w for _, _, w in spans) and all(w > 0 and 0 <= a <= a + w <= r["size"] for _, a, w in spans)
+            assert spans == sorted(spans, key=lambda s: s[0])
+            times = Counter(i for _, a, w in spans for i in range(a, a + w))
+            assert not times or max(times.values()) - min(times[i] for i in range(r["size"])) <= 1
+            for shard, _, w in spans:
+                held[str(ids[r.source])][shard] += w
+        for k, wanted in quota.items():
+            room = 2 * sizes[k]
+            for shard in range(shards):
+                assert held[k][shard] == min(wanted.get(shard, 0), room)
+                room -= held[k][shard]
+    assert mixing.sharded(nothing, [1.0], 1.5).count() == 0
+
+
 def test_quotas_are_sainte_lague(spark):
     rng = random.Random(12)
     targets = [round(rng.random() * 4000, 3) for _ in range(9)] + [500.0, 500.0, 0.0]
