@@ -272,6 +272,8 @@ ORDER BY 2 DESC, 1 LIMIT 10""",
     "w_device_accounts_30d": feature_view("device_account_count_30d"),
     "w_ip_accounts_7d": feature_view("ip_account_count_7d"),
     "w_ip_cards_7d": feature_view("ip_card_count_7d"),
+    "features_stored": """SELECT auth_event_id, customer_txn_count_24h, merchant_chargeback_rate_30d, seconds_since_last_txn
+FROM features WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-22'""",
     "w_amount_p95_sketch": """SELECT auth_event_id, quantile_disc(cents, 0.95) OVER (PARTITION BY customer_id ORDER BY day
     RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) / 100.0::DOUBLE AS customer_p95,
   quantile_disc(cents, 0.95) OVER (PARTITION BY merchant_id ORDER BY day

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,12 @@ from riskspark.functions import scoring as S
 from riskspark.functions.geo import haversine_km, with_coordinates
 from riskspark.functions.numeric import micros, rnd
 from riskspark.operators import curves, ranges
-from riskspark.plans import dashboard, economics, evaluation, features, graph, intake, jobs, ml, replay, reports
+from riskspark.plans import (
+    dashboard, economics, evaluation, feature_store, features, graph, intake, jobs, ml, replay, reports)
 from riskspark.plans import scoring_views as views
 from riskspark.plans.decisions import vectorized
 from riskspark.plans.lake import Lake
+from riskspark.session import checkpoint_dir
 from riskspark.streaming import feeds
 
 Job = Callable[[Lake], DataFrame]
@@ -277,6 +280,17 @@ for _name, _columns in {
     "w_seconds_since_last": ["seconds_since_last_txn"],
 }.items():
     job(_name)(lambda lake, names=_columns: lake.some_features(names).select("auth_event_id", *names))
+
+
+@job("features_stored")
+def _stored(lake: Lake) -> DataFrame:
+    """Two groups are stored for the days of the window, and some features of both read back."""
+    path = f"{checkpoint_dir(lake.spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    feature_store.store(lake, path, *WINDOW, groups=["velocity", "previous"])
+    return feature_store.read(lake.spark, path, ["customer_txn_count_24h", "merchant_chargeback_rate_30d",
+                                                 "seconds_since_last_txn"], *WINDOW)
+
+
 job("w_amount_p95_sketch")(lambda lake: features.amount_p95_sketched(lake.auth_events))
 job("features_offline")(lambda lake: jobs.offline_features(lake, "2024-01-20 00:00:00").select(
     "auth_event_id", *FEATURES))
