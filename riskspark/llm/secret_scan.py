@@ -3,8 +3,8 @@
 Two first-order character models are trained from labelled samples: one from values that the fixed patterns found, one from
 the ordinary identifiers and words of texts. A token's log-likelihood ratio, added up over its characters, tells which it
 resembles. Tokens are judged from the least length of a base value on. The ratio that convicts is set for each class of
-lengths by the false alarms on ordinary tokens of other documents than those the models learned from. DataFrame functions
-only: texts are read where they lie, nothing but the bounded training counts is shuffled.
+lengths by the false alarms on ordinary tokens of other documents than those the models learned from. All texts teach or
+calibrate. DataFrame functions only: texts are read where they lie, only their tokens with counts are shuffled.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ PLAIN = r"[A-Za-z][a-z]{7,18}(?![A-Za-z0-9+/_=-])"
 JUDGED = rf"(?<![A-Za-z0-9+/_=-])(?!{PLAIN})[A-Za-z0-9+/_=-]{{8,}}"
 #: These teach what is ordinary, whatever their length.
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_-]{4,}(?![A-Za-z0-9+/_=-])"
-#: Documents in each labelled sample, at most; half of the ordinary ones teach, half set the ratios that convict.
-SAMPLE = 2_000
 PULL = 10.0
 #: The share of ordinary tokens that may be convicted, and the first lengths of the classes that have their own ratio.
 FALSE_ALARMS = 1e-4
@@ -134,33 +132,28 @@ def _class(length: Column) -> Column:
     return sum((F.when(length >= first, 1).otherwise(0) for first in CLASSES[1:]), F.lit(0))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
+def train(docs: DataFrame) -> Models:
     """The models and the ratios that convict.
 
     Labelled random: the values of base spans; labelled ordinary: identifiers and words of 4 characters or more outside of
-    these that two documents or more hold, so that a secret without a label doesn't teach its own likeness, and all numbers.
-    Each comes from
-    at most `sample` documents, taken by the hash of doc_id; a table without secrets leaves the
-    random model even. Only the hashes are sorted, texts stay where they are. At most 69 x 68 counts of each model and a
-    histogram of ratios come to the driver.
+    these that two different texts or more hold, so that a secret without a label doesn't teach its own likeness, and all
+    numbers. Every text counts: by its hash, half of them teach what is ordinary and the other half set the ratios that
+    convict. A table without secrets leaves the random model even. Tokens are counted before they meet the models; at most
+    69 x 68 counts of each model and a histogram of ratios come to the driver.
     """
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("order"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("order"))
     suspect = f"{ASSIGN}|{ACCESS}|{HEX}"
 
-    def first(rows: DataFrame) -> DataFrame:
-        """The rows up to the sample-th smallest hash; rows that share a hash count once."""
-        (cut,) = rows.select("order").distinct().orderBy("order").limit(sample).agg(F.max("order")).first()
-        return rows.where(F.col("order") <= F.lit(cut)).dropDuplicates(["order"])
-
     def tokens(rows: DataFrame, pattern: str) -> DataFrame:
-        """(token, count, several): each token, how often it occurs, and whether more than one document holds it."""
+        """(token, count, several): each token, how often it occurs, and whether more than one text holds it."""
         return rows.select("order", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("token")).groupBy(
             "token").agg(F.count("*").alias("count"), (F.min("order") < F.max("order")).alias("several"))
 
-    dirty = first(texts.where(F.col("text").rlike(suspect)))
+    dirty = texts.where(F.col("text").rlike(suspect))
     value = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(
         "text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
-    plain = first(texts).select(
+    plain = texts.select(
         F.regexp_replace("text", suspect, " ").alias("text"), "order", (F.col("order") % 2 == 0).alias("teaches"))
     secret = dirty.select(F.explode(F.array_distinct(value)).alias("token")).where(F.length("token") >= LEAST_VALUE)
     ordinary = tokens(plain.where("teaches"), IDENTIFIER).where(F.col("several") | F.col("token").rlike("^[0-9-]+$"))
@@ -213,14 +206,14 @@ def _logs(steps: list[int]) -> list[float]:
     return out
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end) in code points, end exclusive, kind an index of KINDS, in order
     of start and kind; `spans` holds the base spans and the random tokens that overlap none of them.
 
     Null texts count as empty and have no spans; rows are independent, repeated rows repeat, a null doc_id stays null, and
     extra columns are left out.
     """
-    models = train(docs, sample)
+    models = train(docs)
     cuts = F.array(*map(F.lit, models.cuts))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     text, empty = F.col("text"), F.array().cast("array<struct<start:int,kind:int,end:int>>")

@@ -414,6 +414,15 @@ def test_short_random_tokens_and_ordinary_ones(spark):
     assert sum(len(out[i]) for i in range(300)) <= 12
 
 
+def test_every_text_teaches_the_secret_models(spark):
+    """Models of 2,500 texts differ from those of the 2,000 with the smallest hashes."""
+    rng = random.Random(9)
+    rows = [(i, f"the harbour {i} password={''.join(rng.choices('abcXYZ0123456789', k=12))}") for i in range(2500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    some = frame.orderBy(F.xxhash64("doc_id")).limit(2000)
+    assert secret_scan.train(frame).ratio != secret_scan.train(some).ratio
+
+
 def test_places_of_many_matches(spark):
     text = "x1y2z3a4 " * 1000 + "é" + " Q7w8E9r0T1" * 3
     frame = spark.createDataFrame([(text,), ("",), ("none here",)], "text string")
