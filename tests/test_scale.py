@@ -1,6 +1,7 @@
 """The ways taken for hot keys, hubs and ties give the same results as brute force."""
 
 import random
+import re
 
 from decimal import Decimal
 
@@ -383,3 +384,13 @@ def test_decisions_use_unrounded_scores(spark):
                                  "auth_event_id long, model_version string, raw_probability double, calibrated_probability double")
     row = evaluation.shadow_experiment(both, "a", "b").first()
     assert (row.champion_decline_pct, row.challenger_decline_pct, row.agreement_pct, row.champion_avg_score) == (0, 100, 0, 0.55)
+
+
+def test_shuffles_start_with_many_partitions(lake):
+    """However few partitions the session names, sorts get small ones; adaptive execution joins those that are tiny."""
+    spark = lake.spark
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    least = 32 * spark.sparkContext.defaultParallelism
+    assert int(re.search(r"hashpartitioning\(.*?, (\d+)\)", plan)[1]) >= least
+    assert counted.rdd.getNumPartitions() < least
