@@ -4,7 +4,7 @@ Two first-order character models are trained from labelled samples: one from val
 the ordinary identifiers and words of texts. A token's log-likelihood ratio, added up over its characters, tells which it
 resembles. Tokens are judged from the least length of a base value on. The ratio that convicts is set for each class of
 lengths by the false alarms on ordinary tokens of other documents than those the models learned from. All texts teach or
-calibrate. DataFrame functions only: texts are read where they lie, only their tokens with counts are shuffled.
+calibrate. DataFrame functions only; to train, texts are shuffled once so that repeated rows count once.
 """
 
 from __future__ import annotations
@@ -136,24 +136,25 @@ def train(docs: DataFrame) -> Models:
     """The models and the ratios that convict.
 
     Labelled random: the values of base spans; labelled ordinary: identifiers and words of 4 characters or more outside of
-    these that two different texts or more hold, so that a secret without a label doesn't teach its own likeness, and all
-    numbers. Every text counts: by its hash, half of them teach what is ordinary and the other half set the ratios that
-    convict. A table without secrets leaves the random model even. Tokens are counted before they meet the models; at most
+    these that two documents or more hold, so that a secret without a label doesn't teach its own likeness, and all
+    numbers. All documents count: by the hash of doc_id (of the text where it is null), half of them teach what is ordinary
+    and the other half set the ratios that convict; rows that share a hash count once. A table without secrets leaves the random model even. Tokens are counted before they meet the models; at most
     69 x 68 counts of each model and a histogram of ratios come to the driver.
     """
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("order"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    texts = docs.select(text.alias("text"), key.alias("order"))
     suspect = f"{ASSIGN}|{ACCESS}|{HEX}"
 
     def tokens(rows: DataFrame, pattern: str) -> DataFrame:
-        """(token, count, several): each token, how often it occurs, and whether more than one text holds it."""
+        """(token, count, several): each token, how often it occurs, and whether more than one document holds it."""
         return rows.select("order", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("token")).groupBy(
             "token").agg(F.count("*").alias("count"), (F.min("order") < F.max("order")).alias("several"))
 
-    dirty = texts.where(F.col("text").rlike(suspect))
+    dirty = texts.where(F.col("text").rlike(suspect)).dropDuplicates(["order"])
     value = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(
         "text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
-    plain = texts.select(
+    plain = texts.dropDuplicates(["order"]).select(
         F.regexp_replace("text", suspect, " ").alias("text"), "order", (F.col("order") % 2 == 0).alias("teaches"))
     secret = dirty.select(F.explode(F.array_distinct(value)).alias("token")).where(F.length("token") >= LEAST_VALUE)
     ordinary = tokens(plain.where("teaches"), IDENTIFIER).where(F.col("several") | F.col("token").rlike("^[0-9-]+$"))
