@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from riskspark.llm.textblocks import in_batches
 
 MARK = "▁"
-#: Chunks and pairs of pieces that a worker remembers; about 100 MB. A worker lives on after its task.
-CACHE_CHUNKS = 250_000
+#: Chunks, and pairs of pieces, that a worker remembers for one task; about 60 MB in all.
+CACHE_CHUNKS = 120_000
 CACHE_CHARS = 64
 WINDOW = 4096
 #: Latin letters, and everything else.
@@ -74,6 +74,10 @@ class Codec:
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, int, str | None]] = {}
 
+    def forget(self) -> None:
+        """Drop what a task has remembered."""
+        self.known, self.apart, self.merges = {}, {}, {}
+
     def history(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The pieces of a short text by merging, best score first, then leftmost; and per merge its score, and what
         was the first and the last part after it."""
@@ -290,6 +294,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([own.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, work, ENCODED)
 
@@ -303,5 +308,6 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, work, DIGESTS)
