@@ -664,3 +664,40 @@ def test_rows_without_ids_are_not_one_key(spark):
     stay = Counter((r.doc_id, fx.squeezed(r.text)) for r in poly_dedup.first_rows(frame).collect())
     assert stay == Counter([(i, f"text number {i}") for i in range(200)] + [(None, f"text number {i}") for i in range(200, 400)]
                            + [(None, "")])
+
+
+def test_all_examples_and_terms_count(spark, monkeypatch):
+    """More examples than one block and more terms than once fitted: neighbours, votes and scores by brute force."""
+    rng = random.Random(17)
+    bad = lambda i: i % 4 == 0
+    # Every toxic text has one of 60 words that no other text has, and harmless ones have a word of their own kind.
+    rows = [(i, " ".join([f"plain{rng.randrange(900)}" for _ in range(4)] + (
+        rng.sample([f"bad{k}" for k in range(60)], 6) if bad(i) else rng.sample([f"good{k}" for k in range(60)], 6)))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labels_of(spark, [(i, None, int(bad(i))) for i in range(1500)])
+    monkeypatch.setattr(toxicity_knn, "ASKED_ROWS", 200)
+    monkeypatch.setattr(toxicity_knn, "EXAMPLE_ROWS", 150)
+    model = toxicity_knn.train(frame, labels, 5, 0)
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert model.examples.agg({"n": "sum"}).first()[0] == len(taught) and len(model.hashes) >= 60
+    texts = dict(rows)
+    df = Counter(w for i in taught for w in set(texts[i].split()))
+    n = len(taught)
+    known = {w for w in df if not w.startswith("plain")}
+    assert len(model.hashes) == len(known)
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(text.split()).items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(texts[i]) for i in texts}
+    out = {r.doc_id: r for r in toxicity_knn.scored(frame, model).collect()}
+    for i in range(0, 1500, 60):
+        like = lambda j: sum(x * vectors[j].get(w, 0.0) for w, x in vectors[i].items())
+        want = sorted((like(j) for j in taught), reverse=True)[:15]
+        assert np.allclose([like(j) for j in out[i].evidence], want)
+        near = [1 / (1.1 - min(like(j), 1.0)) for j in out[i].evidence]
+        vote = sum(x for x, j in zip(near, out[i].evidence, strict=True) if bad(j)) / sum(near)
+        assert out[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * vote + model.offset))))
+    assert np.mean([(r.score >= 0.5) == bad(i) for i, r in out.items()]) > 0.99
