@@ -131,6 +131,60 @@ def test_suffix_tree_distributions_sum_to_one(spark):
     assert np.allclose(both.base_score_x, both.base_score_y) and (both.n_known_x == both.n_known_y).all()
 
 
+def test_suffix_tree_by_brute_force_with_nothing_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    follow = {(a, b): rng.choice("abcd") for a in "abcd" for b in "abcd"}
+
+    def text():
+        out = ["a", "b"]
+        for _ in range(rng.randrange(60)):
+            usual = follow.get(tuple(out[-2:]))
+            out.append(usual if usual and rng.random() < 0.8 else rng.choice([*"abcdabcd", f"w{rng.randrange(400)}"]))
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    # The sequences of the whole tree, as plain dictionaries: context and next word.
+    tokens = {i: [None, *t.split(), None] for i, t in rows}
+    seen = [Counter(tuple(x[p - k:p + 1]) for x in tokens.values() for p in range(max(k, 1), len(x))) for k in range(4)]
+    n, v = sum(seen[0].values()), len(seen[0])
+    states = {}
+
+    def logp(context, word):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return math.log((seen[0][(word,)] + 0.5) / (n + 0.5 * (v + 1)))
+        left, listed = states[context]
+        return listed[word] if word in listed else left + logp(context[1:], word)
+
+    for k in (1, 2, 3):
+        nexts, kept = defaultdict(dict), {}
+        for (*c, w), m in seen[k].items():
+            if m >= 2:
+                nexts[tuple(c)][w] = m
+        for c, found in nexts.items():
+            of = sum(m for (*d, _), m in seen[k].items() if tuple(d) == c)
+            below = {w: logp(c[1:], w) for w in found}
+            listed = {w: math.log((m - 0.5) / of) for w, m in found.items()}
+            room = lambda p: math.log(max(1 - sum(math.exp(x) for x in p.values()), 1e-12))
+            left = room(listed) - room(below)
+            gain = sum(m * (listed[w] - below[w]) for w, m in found.items()) + (of - sum(found.values())) * left
+            if gain > 0.5 * math.log(n) * len(found):
+                kept[c] = left, listed
+        states.update(kept)
+    asked = [*rows, (100, "never seen w1 a b"), (101, None)]
+    want = {i: sum(logp(tuple([None, *(t or "").split()][max(0, p - 2):p + 1]), w) for p, w in enumerate([*(t or "").split(), None]))
+            / math.log(10) for i, t in asked}
+    assert {1, 2} <= {len(c) for c in states}
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    for frequent, share in ((2.0, 2.0), (0.01, 0.01)):
+        monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+        tree, vocabulary = suffix_tree.learn(frame, frequent=frequent, context=share, pair=share)
+        got = {r.doc_id: r.score for r in suffix_tree.score(docs, tree, vocabulary).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_suffix_tree_of_nothing(spark, docs, nothing):
     tree, vocabulary = suffix_tree.learn(nothing)
     assert suffix_tree.score(nothing, tree, vocabulary).count() == 0
