@@ -25,7 +25,7 @@ from riskspark.llm.textblocks import in_batches
 
 MARK = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers for one task; about 60 MB in all.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 200_000
 CACHE_CHARS = 64
 WINDOW = 4096
 #: Latin letters, and everything else.
@@ -62,21 +62,26 @@ class Codec:
         #: Texts are cut where no piece can span: before a mark that follows another character and, if the model keeps
         #: letters apart from other characters, between these.
         self.cut = next((re.compile(c) for c, spans in CUTS if not any(re.search(spans, p) for p in self.ids)), None)
-        self.merges: dict[str, list[tuple[float, str, str]]] = {}
         self.whole = ahocorasick.Automaton()
         for piece in self.ids:
-            if self.history(piece)[0] == [piece]:  # others can never come out
+            # Others can never come out. Where nothing longer matches, one character is tried without being looked up.
+            if len(piece) > 1 and self.history(piece)[0] == [piece]:
                 self.whole.add_word(piece, len(piece))
         self.whole.make_automaton()
         #: The next shorter match where a piece matches; 1 stands for a character without a piece too.
         self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.whole), 1)
                         for p in self.whole if len(p) > 1}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, str | None]] = {}
+        self.printed = {i: str(i) for i in self.surface}
+        self.forget()
 
     def forget(self) -> None:
-        """Drop what a task has remembered."""
-        self.known, self.apart, self.merges = {}, {}, {}
+        """Drop what a task has remembered: what may follow a piece, and the ids of chunks. Chunks have two generations;
+        when the younger one is full, it takes the place of the older one, so frequent chunks stay."""
+        self.apart: dict[str, dict[str, int]] = {}
+        self.pairs = 0
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.merges: dict[str, list[tuple[float, str, str]]] = {}
 
     def history(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The pieces of a short text by merging, best score first, then leftmost; and per merge its score, and what
@@ -107,28 +112,33 @@ class Codec:
     def compatible(self, left: str, right: str) -> bool:
         """Whether these pieces stay as they are when merged together: both are merged again side by side, always the
         better of their next merges, until a merge across the border would come first or both are whole."""
-        key = left, right
-        if (known := self.apart.get(key)) is not None:
-            return known
         ours, theirs = self.steps(left), self.steps(right)
         i = j = 0
-        out = True
         while True:
             mine, other = ours[i + 1][0], theirs[j + 1][0]
             across = self.scores.get(ours[i][2] + theirs[j][1])
             if across is not None and across > mine and across >= other:
-                out = False
-                break
+                return False
             if mine == other == float("-inf"):
-                break
+                return True
             if mine >= other:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) >= CACHE_CHUNKS:
+
+    def fitting(self, left: str, right: str) -> int:
+        """Length of the longest piece that `right` begins with, itself included, and that stays apart from `left`; 0 if
+        none does."""
+        length, piece = len(right), right
+        while length and not self.compatible(left, piece):
+            length = self.shorter[piece] if length > 1 else 0
+            piece = right[:length]
+        if self.pairs >= CACHE_CHUNKS:
             self.apart.clear()
-        self.apart[key] = out
-        return out
+            self.pairs = 0
+        self.apart.setdefault(left, {})[right] = length
+        self.pairs += 1
+        return length
 
     def longest_matches(self, text: str, start: int) -> list[int]:
         """For WINDOW positions from start: the length of the longest piece that matches there, 1 where none does."""
@@ -145,25 +155,31 @@ class Codec:
         size, begin = len(text), 0
         found = self.longest_matches(text, 0)
         failed: bytearray | None = None  # a bit per position from which no sequence leads to the end
-        apart, shorter = self.apart, self.shorter
+        apart, shorter, nothing = self.apart, self.shorter, {}
         out: list[str] = []
         at, last, length = 0, "", found[0] if size else 0
+        after = nothing  # of each piece, what may follow the last one
         while at < size:
             while length:
+                piece = text[at:at + length]
+                if last:
+                    fits = after.get(piece)
+                    if fits is None:
+                        fits = self.fitting(last, piece)
+                    if fits != length:
+                        length, piece = fits, piece[:fits]
+                        if not length:
+                            break
                 end = at + length
-                piece = text[at:end]
                 if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                    fits = apart.get((last, piece)) if last else True
-                    if fits is None:
-                        fits = self.compatible(last, piece)
-                    if fits:
-                        break
+                    break
                 length = shorter[piece] if length > 1 else 0
             if length:
                 out.append(piece)
                 at, last = end, piece
                 if at == size:
                     break
+                after = apart.get(piece, nothing)
                 if not begin <= at < begin + WINDOW:
                     begin = at - at % WINDOW
                     found = self.longest_matches(text, begin)
@@ -177,6 +193,7 @@ class Codec:
             piece = out.pop()
             at -= len(piece)
             last = out[-1] if out else ""
+            after = apart.get(last, nothing)
             length = shorter[piece] if len(piece) > 1 else 0
         return out
 
@@ -219,35 +236,43 @@ class Codec:
         if not text:
             return 0, sha256(b"").hexdigest(), sha256(b"").hexdigest()
         marked = MARK + text.replace(" ", MARK)
-        ids, decoded, n, get = [], {}, 0, self.known.get
-        for k, chunk in enumerate(self.cut.findall(marked) if self.cut else [marked]):
-            if (entry := get(chunk)) is None:
-                entry = self.chunk(chunk)
-            ids.append(entry[0])
-            n += entry[1]
-            if entry[2] is not None:
-                decoded[k] = entry[2]
+        chunks = self.cut.findall(marked) if self.cut else [marked]
+        ids, decoded = list(map(self.known.get, chunks)), {}
+        if None in ids:
+            for k, found in enumerate(ids):
+                if found is None:
+                    ids[k], back = self.chunk(chunks[k])
+                    if back is not None:
+                        decoded[k] = back
         if decoded:
-            back = "".join(decoded.get(k, chunk.replace(MARK, " ")) for k, chunk in enumerate(self.chunks(text)))
+            back = "".join(decoded.get(k, chunk.replace(MARK, " ")) for k, chunk in enumerate(chunks))
         else:
             back = marked.replace(MARK, " ")
-        return n, sha256(",".join(ids).encode()).hexdigest(), sha256(back[1:].encode()).hexdigest()
-
-    def chunk(self, chunk: str) -> tuple[str, int, str | None]:
-        """The ids of a chunk joined by commas, their number, and what they decode to unless that is the chunk itself."""
-        pieces = self.pieces(chunk)
-        try:
-            found = [self.ids[piece] for piece in pieces]
-            back = "".join([self.spoken[i] for i in found])
-        except KeyError:  # bytes
-            found = [i for piece in pieces for i in self.piece_ids(piece)]
-            back = " " * chunk.startswith(MARK) + self.decode(found)
-        entry = ",".join(map(str, found)), len(found), None if back == chunk.replace(MARK, " ") else back
+        joined = ",".join(ids)
+        return joined.count(",") + 1, sha256(joined.encode()).hexdigest(), sha256(back[1:].encode()).hexdigest()
+
+    def chunk(self, chunk: str) -> tuple[str, str | None]:
+        """The ids of a chunk joined by commas, and what they decode to unless that is the chunk itself. A chunk is
+        remembered only if it is short and decodes to itself."""
+        if (entry := self.known.get(chunk)) is not None:
+            return entry, None
+        if (entry := self.older.get(chunk)) is None:
+            pieces = self.pieces(chunk)
+            try:
+                found = [self.ids[piece] for piece in pieces]
+                back = "".join([self.spoken[i] for i in found])
+                entry = ",".join([self.printed[i] for i in found])
+            except KeyError:  # bytes
+                found = [i for piece in pieces for i in self.piece_ids(piece)]
+                back = " " * chunk.startswith(MARK) + self.decode(found)
+                entry = ",".join(map(str, found))
+            if back != chunk.replace(MARK, " "):
+                return entry, back
         if len(chunk) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known.clear()
+            if len(self.known) >= CACHE_CHUNKS // 2:
+                self.older, self.known = self.known, {}
             self.known[chunk] = entry
-        return entry
+        return entry, None
 
 
 def utf8(data: bytes) -> str:

@@ -255,6 +255,22 @@ def test_long_words_cross_windows(library, monkeypatch):
         assert codec.encode(text) == library.encode(text)
 
 
+def test_frequent_chunks_outlast_a_full_memory(library, monkeypatch):
+    """Pairs and chunks overflow many times; the frequent word is encoded once and all texts like the library's."""
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_CHUNKS", 40)
+    codec, rng, asked = sentencepiece_codec.Codec(model_file()), random.Random(4), []
+    pieces = codec.pieces
+    monkeypatch.setattr(codec, "pieces", lambda text: asked.append(text) or pieces(text))
+    for _ in range(60):
+        rare = " ".join("".join(rng.choices("abdehinorst漢", k=9)) for _ in range(10))
+        text = f"harbour {rare} harbour"
+        ids = library.encode(text)
+        assert codec.digest(text) == (
+            len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert asked.count("▁harbour") == 1
+    assert len(codec.known) <= 20 and len(codec.older) <= 20 and sum(map(len, codec.apart.values())) <= 40
+
+
 # 4
 
 
