@@ -74,3 +74,30 @@ def test_calibration_is_cross_fitted(spark):
     assert calibrated == pytest.approx(share, abs=0.02)
     one_class = vectors.withColumn("label", F.lit(1.0))
     assert ml.out_of_fold(GBTClassifier(maxIter=2), one_class).select("raw_probability").distinct().count() == 1
+
+
+def test_a_fit_does_not_pay_for_the_partitions_of_its_rows(spark):
+    """Rows in 90 partitions give the model that they give in two, and the jobs of the fits don't run over all 90."""
+    from riskspark import constants as C
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        x = [rng.random() for _ in C.FEATURES]
+        rows.append((i, *x, rng.random() < x[0], i % 5 == 0))
+    frame = spark.createDataFrame(rows, ", ".join(
+        ["auth_event_id long", *[f"{c} double" for c in C.FEATURES], "is_fraud boolean", "is_test boolean"]))
+    context = spark.sparkContext
+
+    def fitted(parts: int):
+        context.setJobGroup(f"fit-{parts}", "")
+        model = ml.train_boosted(frame.repartition(parts, "auth_event_id"), trees=3, depth=2)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(f"fit-{parts}") for s in tracker.getJobInfo(j).stageIds}
+        return model, [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+
+    (few, _), (many, tasks) = fitted(2), fitted(90)
+    assert sum(n >= 90 for n in tasks) <= 4 and len(tasks) > 20
+    score = lambda model: [r.calibrated for r in ml.score_batch(model, frame).orderBy("auth_event_id").collect()]
+    assert score(many) == pytest.approx(score(few), abs=1e-9)
