@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,6 +186,27 @@ def test_suffix_tree_by_brute_force_with_nothing_broadcast(spark, monkeypatch):
         assert got == pytest.approx(want)
 
 
+def test_suffix_tree_leaves_no_shuffle_files(spark, docs):
+    """What each query shuffled goes when it ends; the scores are whole all the same, and can be read again."""
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        every = store.getAllFiles()
+        return {name for i in range(every.size()) if (name := every.apply(i).getName()).startswith("shuffle_")}
+
+    rows = docs.count()  # they are cached from here on
+    before = files()
+    tree, vocabulary = suffix_tree.learn(docs)
+    out = suffix_tree.score(docs, tree, vocabulary)
+    for _ in range(40):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not {name.split("_")[1] for name in left}
+    assert out.count() == rows and out.count() == rows
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_suffix_tree_of_nothing(spark, docs, nothing):
     tree, vocabulary = suffix_tree.learn(nothing)
     assert suffix_tree.score(nothing, tree, vocabulary).count() == 0
